@@ -67,7 +67,8 @@ def tau_sweep(df: DataFrame, score: str = "score", label: str = "label", grid: l
     """
     taus, by = sorted(grid), list(by)
     steps = F.array(*[F.lit(t) for t in taus])
-    reached = F.size(F.filter(steps, lambda t: t <= F.round(score, 6)))
+    rank = sum(((F.round(score, 6) >= F.lit(t)).cast("int") for t in taus), F.lit(0))
+    reached = F.coalesce(rank, F.lit(0))
     counts = df.groupBy(*by, reached.alias("_step")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")
     )

@@ -171,7 +171,7 @@ def trace(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """
     reached = stage(seeds.select("id").distinct().withColumn("hops", F.lit(0)), "trace-0")
     frontier = reached
-    steps = edges.select(F.col("src").alias("id"), "dst").distinct()
+    steps = edges.select(F.col("src").alias("id"), "dst")
     for hop in range(1, depth + 1):
         found = frontier.join(steps, "id").select(F.col("dst").alias("id")).distinct()
         frontier = stage(found.join(reached, "id", "left_anti").withColumn("hops", F.lit(hop)), f"trace-{hop}")

@@ -93,8 +93,8 @@ def similar_history(df: DataFrame, vec: list[str], k: int = 5, key: str = "varie
     )
     pairs = routed.select(key, "_block", "_to").distinct()
     # toDF gives this second use of the rows columns of its own, so that the cogroup is not a self-join.
-    candidates = points.select(key, F.col("_block").alias("_to"), "_t", *vec).toDF(key, "_to", "_t", *vec)
-    offered = candidates.join(pairs, [key, "_to"])
+    names = [key, "_block", "_to", "_t", *vec]
+    offered = points.withColumnRenamed("_block", "_to").join(pairs, [key, "_to"]).select(*names).toDF(*names)
     far = (
         routed.groupBy(key, "_block", "_to")
         .cogroup(offered.groupBy(key, "_block", "_to"))
@@ -103,6 +103,6 @@ def similar_history(df: DataFrame, vec: list[str], k: int = 5, key: str = "varie
 
     best = Window.partitionBy(key, "_t").orderBy("distance", "_match")
     top = own.unionByName(far).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k)
-    names = rows.select(key, "_t", order)
-    matched = names.select(key, F.col("_t").alias("_match"), F.col(order).alias(f"match_{order}"))
-    return top.join(names, [key, "_t"]).join(matched, [key, "_match"]).select(key, order, f"match_{order}", "distance", "nth")
+    at = rows.select(key, "_t", order)
+    matched = at.select(key, F.col("_t").alias("_match"), F.col(order).alias(f"match_{order}"))
+    return top.join(at, [key, "_t"]).join(matched, [key, "_match"]).select(key, order, f"match_{order}", "distance", "nth")

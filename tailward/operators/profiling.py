@@ -114,9 +114,14 @@ def align_quality(left: DataFrame, right: DataFrame, keys: list[str], cols: list
 
 
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """Rows that break at least one rule, with the names of the broken rules."""
-    broken = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda r: r.isNotNull())
-    return df.withColumn("broken", broken).where(F.size("broken") > 0)
+    """One row per row and broken rule, the rule's name in ``rule``.
+
+    Unfolding the rules instead of filtering on them keeps the predicates out of the
+    projections below: a filter would be pushed through them, and evaluate a computed
+    column such as a price once more for every mention of it.
+    """
+    names = F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()])
+    return df.select("*", F.explode(names).alias("rule")).where(F.col("rule").isNotNull())
 
 
 def rule_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tailward.functions.quantile import weighted_quantiles
+
 ALPHA = 0.95
 METHOD, COMPETITION = "method", "competition"
 
@@ -22,18 +24,34 @@ def daily_closes(quotes: DataFrame, px: str = "fwd") -> DataFrame:
     )
 
 
-def cvar(df: DataFrame, loss: str = "loss", alphas: list[float] | None = None, by: list[str] | None = None) -> DataFrame:
-    """Per group and level: VaR (exact quantile of loss) and CVaR (mean of the losses from VaR on)."""
-    by = by or []
+def _var_in_groups(known: DataFrame, by: list[str], levels: list[float]) -> DataFrame:
+    marks = known.groupBy(*by).agg(F.percentile("_loss", F.array(*[F.lit(a) for a in levels])).alias("_vars"))
+    pairs = [F.struct(F.lit(a).alias("alpha"), F.get("_vars", F.lit(i)).alias("var")) for i, a in enumerate(levels)]
+    return marks.select(*by, F.inline(F.array(*pairs)))
+
+
+def _var_spread(known: DataFrame, by: list[str], levels: list[float]) -> DataFrame:
+    counts = known.groupBy(*by, "_loss").agg(F.count(F.lit(1)).alias("_n"))
+    found = weighted_quantiles(counts, by, "_loss", "_n", levels)
+    return found.select(*by, F.col("q").alias("alpha"), F.col("quantile").alias("var"))
+
+
+def cvar(
+    df: DataFrame, loss: str = "loss", alphas: list[float] | None = None, by: list[str] | None = None, spread: bool = False
+) -> DataFrame:
+    """Per group and level: VaR (exact quantile of loss) and CVaR (mean of the losses from VaR on).
+
+    A percentile aggregate holds the distinct losses of a group in one task, which fits
+    what one variety can have (a row per bar or day). ``spread`` is for groups that
+    collect many varieties: it finds the same quantiles over range partitions.
+    """
     levels = alphas or [ALPHA]
     known = df.where(F.col(loss).isNotNull()).withColumn("_loss", F.round(loss, 9))
-    marks = known.groupBy(*by).agg(F.percentile("_loss", F.array(*[F.lit(a) for a in levels])).alias("_vars"))
-    pairs = [F.struct(F.lit(a).alias("alpha"), F.round(F.get("_vars", F.lit(i)), 9).alias("var")) for i, a in enumerate(levels)]
-    cuts = marks.select(*by, F.inline(F.array(*pairs)))
-    # One row of cuts per group and level; without groups it is one row, attached through a constant.
     on = by or ["_all"]
     if not by:
-        known, cuts = known.withColumn("_all", F.lit(1)), cuts.withColumn("_all", F.lit(1))
+        known = known.withColumn("_all", F.lit(1))
+    find = _var_spread if spread else _var_in_groups
+    cuts = find(known, on, levels).withColumn("var", F.round("var", 9))
     out = known.join(cuts, on).groupBy(*on, "alpha", "var").agg(
         F.avg(F.when(F.col("_loss") >= F.col("var"), F.col("_loss"))).alias("cvar"),
         F.count(F.lit(1)).alias("n_losses"),

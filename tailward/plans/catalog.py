@@ -39,7 +39,7 @@ def query(name: str) -> Callable[[Callable[[Products], DataFrame]], Callable[[Pr
     return register
 
 
-def rounded(df: DataFrame, cols: list[str], digits: int = 8) -> DataFrame:
+def rounded(df: DataFrame, cols: list[str], digits: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
@@ -84,7 +84,7 @@ def _(p: Products) -> DataFrame:
 @query("s4_write_graph")
 def _(p: Products) -> DataFrame:
     path = scratch_path(p.spark, "graph")
-    archive.write_graph(*p.graph, path)
+    archive.write_graph(p.nodes, p.edges, path)
     nodes, edges = archive.read_graph(p.spark, path)
     return nodes.select(F.lit("node").alias("part"), "id", F.col("type").alias("kind"), F.lit(None).cast("string").alias("dst")).unionByName(
         edges.select(F.lit("edge").alias("part"), F.col("src").alias("id"), F.col("relation").alias("kind"), "dst")
@@ -123,8 +123,7 @@ def _(p: Products) -> DataFrame:
 
 @query("p4_violations")
 def _(p: Products) -> DataFrame:
-    bad = profiling.violations(pricing.black76_price(p.quotes), RULES)
-    return bad.select("quote_id", F.array_join("broken", ",").alias("broken"))
+    return profiling.violations(pricing.black76_price(p.quotes), RULES).select("quote_id", "rule")
 
 
 @query("p5_dedup_latest")
@@ -338,7 +337,8 @@ def _(p: Products) -> DataFrame:
 
 @query("c3_dual_side")
 def _(p: Products) -> DataFrame:
-    return rounded(tailrisk.cvar(tailrisk.dual_side(tailrisk.log_returns(p.bars)), by=["side"]), ["var", "cvar"])
+    losses = tailrisk.dual_side(tailrisk.log_returns(p.bars))
+    return rounded(tailrisk.cvar(losses, by=["side"], spread=True), ["var", "cvar"])
 
 
 @query("c4_de_expose")
@@ -371,7 +371,7 @@ def _(p: Products) -> DataFrame:
 
 @query("k1_kg_nodes")
 def _(p: Products) -> DataFrame:
-    return p.graph[0]
+    return p.nodes
 
 
 @query("k2_trigger_edges")
@@ -401,7 +401,7 @@ def _(p: Products) -> DataFrame:
 
 @query("k7_kg_edges")
 def _(p: Products) -> DataFrame:
-    return p.graph[1]
+    return p.edges
 
 
 @query("k8_attribution_path")

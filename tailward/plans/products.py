@@ -88,8 +88,8 @@ class Products:
     def labelled(self) -> DataFrame:
         """Scored bars with the label and a rule score in (0, 1) from their largest move."""
         sizes = [F.coalesce(warnings.strength(c), F.lit(0.0)) for c in features.FEATURES]
-        top = F.greatest(*sizes)
-        return events.label_bars(self.scored, self.exo).withColumn("score", F.round(top / (top + 1), 6))
+        scored = self.scored.withColumn("_top", F.greatest(*sizes)).withColumn("score", F.round(F.col("_top") / (F.col("_top") + 1), 6))
+        return stage(events.label_bars(scored.drop("_top"), self.exo), "labelled")
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -116,10 +116,19 @@ class Products:
     def explained(self) -> DataFrame:
         return graph.explain(self.warned, self.macro)
 
+    @cached_property
+    def _layers(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return stage(self.explained, "explained"), stage(self.triggers, "triggers"), stage(self.analogues, "analogues")
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return graph.kg_nodes(*self._layers)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return graph.kg_edges(*self._layers)
+
     @cached_property
     def graph(self) -> tuple[DataFrame, DataFrame]:
-        triggers, analogues = stage(self.triggers, "triggers"), stage(self.analogues, "analogues")
-        explained = stage(self.explained, "explained")
-        nodes = graph.kg_nodes(explained, triggers, analogues)
-        edges = graph.kg_edges(explained, triggers, analogues)
-        return stage(nodes, "nodes"), stage(edges, "edges")
+        """Nodes and edges as written tables."""
+        return stage(self.nodes, "nodes"), stage(self.edges, "edges")
