@@ -44,7 +44,7 @@ def _cells(quotes: DataFrame, width: str) -> DataFrame:
             F.count_if(side & known).alias(f"n_{tag}"),
             F.sum(F.when(side, iv * oi)).alias(f"ivoi_{tag}"),
             F.sum(F.when(side & known, oi)).alias(f"oi_{tag}"),
-            F.sum(F.when(side, vol)).alias(f"vol_{tag}"),
+            F.sum(F.when(side, vol).otherwise(0)).alias(f"vol_{tag}"),
         ]
     return (
         with_bar(quotes, "ts", width)

@@ -127,7 +127,7 @@ WHERE gap IS NOT NULL GROUP BY variety, bar""",
 SELECT variety, bar, {near} AS atm_iv, {put} - {call} AS skew, ({put} + {call}) / 2 - {near} AS curvature,
        {far} - {near} AS term_slope,
        CAST(sum(volume * side) AS DOUBLE) / nullif(sum(volume), 0) AS signed_flow,
-       CAST(sum(volume) FILTER (cp = 'P') AS DOUBLE) / nullif(sum(volume) FILTER (cp = 'C'), 0) AS pc_volume,
+       CAST(coalesce(sum(volume) FILTER (cp = 'P'), 0) AS DOUBLE) / nullif(sum(volume) FILTER (cp = 'C'), 0) AS pc_volume,
        CAST(sum(bid_size - ask_size) AS DOUBLE) / nullif(sum(bid_size + ask_size), 0) AS depth_imbalance,
        CAST(sum(volume) AS DOUBLE) AS vol, CAST(sum(open_interest) AS DOUBLE) AS oi
 FROM {source} GROUP BY variety, bar""",
