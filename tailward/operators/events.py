@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailward.functions.time import interval, with_bar
+from tailward.session import stage
 
 
 def _merge(df: DataFrame, by: list[str]) -> DataFrame:
@@ -48,7 +49,7 @@ def fuse_events(*tables: DataFrame, key: str = "variety", chunk: str = "1 hour",
         .withColumn("_salt", F.pmod(F.xxhash64("start_ts", "end_ts"), F.lit(salts)))
         .select(key, "_chunk", "_salt", "start_ts", "end_ts", "n_events", F.array("source").alias("sources"))
     )
-    local = _merge(_merge(chunked, [key, "_chunk", "_salt"]), [key, "_chunk"])
+    local = stage(_merge(_merge(chunked, [key, "_chunk", "_salt"]), [key, "_chunk"]), "islands")
 
     # One row per key and chunk: the calendar bounds the windows below.
     earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailward.functions.time import interval, minutes_between
+from tailward.session import stage
 
 KEY = ["variety", "bar"]
 CUT_QUANTILES = [0.90, 0.97, 0.99]
@@ -109,6 +110,12 @@ def match_events(
     )
 
 
+def for_both_tracks(events: DataFrame) -> DataFrame:
+    """Events of each variety and, once more, of the system: fuse the result in one go."""
+    tracks = F.explode(F.array(F.col("variety"), F.lit(SYSTEM)))
+    return events.withColumn("variety", tracks)
+
+
 def both_tracks(levels: DataFrame, n: int = 3, max_level: int = 3) -> DataFrame:
     """Bars at each minimum level, by variety and for the system as a whole, in one table."""
     by_variety = levels.where(F.col("level") >= 1).select(
@@ -129,8 +136,7 @@ def _track() -> Column:
 
 def backtest(
     levels: DataFrame,
-    by_variety_events: DataFrame,
-    system_events: DataFrame,
+    fused: DataFrame,
     lead: str = "4 hours",
     n: int = 3,
     gap: str = "30 minutes",
@@ -139,16 +145,15 @@ def backtest(
     """Precision, recall, F1 and mean lead per track and minimum level.
 
     Variety track: a variety's episodes against its fused events. System track: episodes
-    of bars where at least ``n`` varieties warn, against events fused over all varieties.
+    of bars where at least ``n`` varieties warn, against events fused over all varieties,
+    which ``fused`` holds as rows of the variety ``SYSTEM`` (see ``for_both_tracks``).
     A warning is an episode start; a ratio is null on a zero denominator.
     """
     keys = ("min_level", "variety")
-    warned = episodes(both_tracks(levels, n, max_level), 1, gap, keys)
-    listed = by_variety_events.select("variety", "start_ts", "end_ts").unionByName(
-        system_events.select(F.lit(SYSTEM).alias("variety"), "start_ts", "end_ts")
-    )
-    events = listed.select("*", F.explode(F.sequence(F.lit(1), F.lit(max_level))).alias("min_level"))
-    pairs = match_events(warned, events, lead, keys)
+    warned = stage(episodes(both_tracks(levels, n, max_level), 1, gap, keys), "track-episodes")
+    listed = fused.select("variety", "start_ts", "end_ts")
+    events = stage(listed.select("*", F.explode(F.sequence(F.lit(1), F.lit(max_level))).alias("min_level")), "track-events")
+    pairs = stage(match_events(warned, events, lead, keys), "track-pairs")
     hit_warnings = pairs.select(*keys, "warned_at").distinct()
     hit_events = pairs.groupBy(*keys, "start_ts", "end_ts").agg(F.max("lead_minutes").alias("lead"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tailward import schemas
@@ -20,12 +20,6 @@ QUERIES: dict[str, Query] = {}
 # The four exchange codes; quotes are dealt to them by variety.
 EXCHANGES = ["SF", "INE", "DF", "GF"]
 
-RULES = {
-    "price_not_positive": F.col("price") <= 0,
-    "expired": F.col("tenor_days") <= 0,
-    "thin_open_interest": F.col("open_interest") < 110,
-    "thin_book": F.col("bid_size") + F.col("ask_size") < 6,
-}
 NUMERIC = ["fwd", "strike", "iv", "volume", "open_interest", "bid_size", "ask_size"]
 GREEKS = ["delta", "gamma", "vega", "theta"]
 Z = [f"z_{c}" for c in FEATURES]
@@ -39,6 +33,15 @@ def query(name: str) -> Callable[[Callable[[Products], DataFrame]], Callable[[Pr
     return register
 
 
+def rules(priced: bool) -> dict[str, Column]:
+    quoted = {
+        "expired": F.col("tenor_days") <= 0,
+        "thin_open_interest": F.col("open_interest") < 110,
+        "thin_book": F.col("bid_size") + F.col("ask_size") < 6,
+    }
+    return {"price_not_positive": F.col("price") <= 0, **quoted} if priced else quoted
+
+
 def rounded(df: DataFrame, cols: list[str], digits: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
@@ -111,19 +114,19 @@ def _(p: Products) -> DataFrame:
 
 @query("p3_align_quality")
 def _(p: Products) -> DataFrame:
-    kept = profiling.clean(p.quotes, {k: v for k, v in RULES.items() if k != "price_not_positive"})
+    kept = profiling.clean(p.quotes, rules(priced=False))
     compared = profiling.align_quality(p.features, features.build_features(kept), ["variety", "bar"], FEATURES, 1e-6)
     return rounded(compared, ["max_abs_diff"], 6)
 
 
 @query("p4_validate")
 def _(p: Products) -> DataFrame:
-    return profiling.rule_counts(pricing.black76_price(p.quotes), RULES)
+    return profiling.rule_counts(pricing.black76_price(p.quotes), rules(priced=True))
 
 
 @query("p4_violations")
 def _(p: Products) -> DataFrame:
-    return profiling.violations(pricing.black76_price(p.quotes), RULES).select("quote_id", "rule")
+    return profiling.violations(pricing.black76_price(p.quotes), rules(priced=True)).select("quote_id", "rule")
 
 
 @query("p5_dedup_latest")
@@ -271,8 +274,8 @@ def _(p: Products) -> DataFrame:
 @query("w7_backtest")
 def _(p: Products) -> DataFrame:
     out_of_sample = p.raw_levels.where(~before_split())
-    later = lambda df: df.where(~before_split("start_ts"))
-    table = warnings.backtest(out_of_sample.select("variety", "bar", "level"), later(p.fused), later(p.fused_system))
+    later = p.fused_tracks.where(~before_split("start_ts"))
+    table = warnings.backtest(out_of_sample.select("variety", "bar", "level"), later)
     return rounded(table, ["precision", "recall", "f1", "mean_lead_minutes"], 6)
 
 

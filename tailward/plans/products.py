@@ -81,8 +81,8 @@ class Products:
         return events.fuse_events(self.exo)
 
     @cached_property
-    def fused_system(self) -> DataFrame:
-        return events.fuse_events(self.exo.withColumn("variety", F.lit(warnings.SYSTEM)))
+    def fused_tracks(self) -> DataFrame:
+        return events.fuse_events(warnings.for_both_tracks(self.exo))
 
     @cached_property
     def labelled(self) -> DataFrame:

@@ -21,6 +21,7 @@ def local_session(cores: str = "8", app: str = "tailward", partitions: str | Non
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.codegen.cache.maxEntries", "1000")
         .getOrCreate()
     )
 

@@ -267,7 +267,7 @@ def test_matching_includes_both_ends_and_midnight(spark):
 def test_backtest_counts_and_null_ratios(spark):
     lv = levels(spark, 1, 0, 0, 0, 0, 0, 0, 0, 1)
     ev = spark.createDataFrame([(0, at(60), at(70))], "variety int, start_ts timestamp_ntz, end_ts timestamp_ntz")
-    got = {(r.track, r.min_level): r for r in warnings.backtest(lv, ev, ev.withColumn("variety", F.lit(-1)), "1 hour").collect()}
+    got = {(r.track, r.min_level): r for r in warnings.backtest(lv, warnings.for_both_tracks(ev), "1 hour").collect()}
     first = got["variety", 1]
     assert (first.n_warnings, first.n_matched_warnings, first.precision, first.recall, first.mean_lead_minutes) == (2, 1, 0.5, 1.0, 60.0)
     none = got["system", 3]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+
 import pytest
 from compare import connect, differences
+from conftest import ROOT
 
 import __spark_entry__ as entry_points
 
@@ -16,6 +20,11 @@ def duck(sf_dir):
     return connect(sf_dir)
 
 
+def test_entry_points_load_without_a_session():
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT)
+
+
 def test_every_query_has_sql():
     assert QUERIES.keys() - SQL.keys() == WITHOUT_SQL
     assert not SQL.keys() - QUERIES.keys()
