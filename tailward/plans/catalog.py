@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tailward import schemas
 from tailward.operators import adaptive, events, features, graph, greeks, pricing, profiling, tailrisk, views, warnings
 from tailward.operators.features import FEATURES
-from tailward.plans.products import SOURCES, VARIETIES, Products, before_split
+from tailward.plans.products import SOURCES, VARIETIES, Z_SCORES, Products
 from tailward.session import scratch_path
 from tailward.sources import archive
 
@@ -22,12 +22,11 @@ EXCHANGES = ["SF", "INE", "DF", "GF"]
 
 NUMERIC = ["fwd", "strike", "iv", "volume", "open_interest", "bid_size", "ask_size"]
 GREEKS = ["delta", "gamma", "vega", "theta"]
-Z = [f"z_{c}" for c in FEATURES]
 
 
 def query(name: str) -> Callable[[Callable[[Products], DataFrame]], Callable[[Products], DataFrame]]:
     def register(build: Callable[[Products], DataFrame]) -> Callable[[Products], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: build(Products(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: build(Products.of_fixture(spark, sf_dir))
         return build
 
     return register
@@ -178,7 +177,7 @@ def _(p: Products) -> DataFrame:
 @query("f17_rolling_zscore")
 def _(p: Products) -> DataFrame:
     scores = features.rolling_zscore(p.features, FEATURES)
-    return rounded(scores.select("variety", "bar", *Z), Z, 6)
+    return rounded(scores.select("variety", "bar", *Z_SCORES), Z_SCORES, 6)
 
 
 # Greeks
@@ -273,33 +272,26 @@ def _(p: Products) -> DataFrame:
 
 @query("w7_backtest")
 def _(p: Products) -> DataFrame:
-    out_of_sample = p.raw_levels.where(~before_split())
-    later = p.fused_tracks.where(~before_split("start_ts"))
-    table = warnings.backtest(out_of_sample.select("variety", "bar", "level"), later)
+    table = warnings.backtest(p.later(p.raw_levels).select("variety", "bar", "level"), p.later(p.fused_tracks, "start_ts"))
     return rounded(table, ["precision", "recall", "f1", "mean_lead_minutes"], 6)
 
 
 # Adaptive warnings
 
 
-def _model(p: Products):
-    train = p.labelled.where(before_split())
-    return adaptive.bc_fit(train, Z)
-
-
 @query("a1_bc_fit")
 def _(p: Products) -> DataFrame:
-    return rounded(adaptive.bc_coefficients(_model(p), p.scored), ["weight"], 6)
+    return rounded(adaptive.bc_coefficients(p.model, p.scored), ["weight"], 6)
 
 
 @query("a2_bc_score")
 def _(p: Products) -> DataFrame:
-    scored = adaptive.bc_score(_model(p), p.scored.where(~before_split()))
+    scored = adaptive.bc_score(p.model, p.later(p.scored))
     return rounded(scored.select("variety", "bar", "score"), ["score"], 6)
 
 
 def _sweep(p: Products) -> DataFrame:
-    return adaptive.tau_sweep(p.labelled.where(before_split()).select("variety", "score", "label"))
+    return adaptive.tau_sweep(p.training(p.labelled).select("variety", "score", "label"))
 
 
 @query("a3_tau_sweep")
@@ -314,13 +306,13 @@ def _(p: Products) -> DataFrame:
 
 @query("a5_double_confirm")
 def _(p: Products) -> DataFrame:
-    later = p.labelled.where(~before_split()).select("variety", "bar", "score")
+    later = p.later(p.labelled).select("variety", "bar", "score")
     return adaptive.double_confirm(later, p.raw_levels, adaptive.tau_star(_sweep(p)))
 
 
 @query("a6_f1_gain")
 def _(p: Products) -> DataFrame:
-    later = p.labelled.where(~before_split()).select("variety", "bar", "score", "label")
+    later = p.later(p.labelled).select("variety", "bar", "score", "label")
     return rounded(adaptive.f1_gain(later, adaptive.tau_star(_sweep(p))), ["f1_adaptive", "f1_fixed", "gain"], 6)
 
 

@@ -8,39 +8,39 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailward.operators import events, features, graph, greeks, tailrisk, warnings
+from tailward.operators import adaptive, events, features, graph, greeks, tailrisk, warnings
 from tailward.operators.bars import to_bars
 from tailward.operators.neighbours import similar_history
 from tailward.session import stage
 from tailward.sources import fixture
 
-SPLIT = "2024-01-22 00:00:00"  # cuts, model and thresholds see only bars before it
+SPLIT = "2024-01-22 00:00:00"  # of the derived inputs: cuts, model and thresholds see only bars before it
 VARIETIES = [0, 1, 2, 3, 4, 5]
 SOURCES = ["named", "market"]
 
 
-def before_split(ts: str = "bar") -> Column:
-    return F.col(ts) < F.lit(SPLIT).cast("timestamp_ntz")
+Z_SCORES = [f"z_{c}" for c in features.FEATURES]
 
 
 class Products:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    """``quotes``, ``exo`` and ``macro`` follow ``tailward.schemas``; ``split`` ends the training period."""
 
-    @cached_property
-    def quotes(self) -> DataFrame:
-        return fixture.quotes(self.spark, self.sf_dir)
+    def __init__(self, quotes: DataFrame, exo: DataFrame, macro: DataFrame, split: str):
+        self.spark, self.quotes, self.exo, self.macro, self.split = quotes.sparkSession, quotes, exo, macro, split
 
-    @cached_property
-    def exo(self) -> DataFrame:
-        return fixture.exo_events(self.spark, self.sf_dir)
+    @classmethod
+    def of_fixture(cls, spark: SparkSession, sf_dir: str) -> Products:
+        return cls(fixture.quotes(spark, sf_dir), fixture.exo_events(spark, sf_dir), fixture.macro(spark, sf_dir), SPLIT)
 
-    @cached_property
-    def macro(self) -> DataFrame:
-        return fixture.macro(self.spark, self.sf_dir)
+    def training(self, df: DataFrame, ts: str = "bar") -> DataFrame:
+        return df.where(F.col(ts) < F.lit(self.split).cast("timestamp_ntz"))
+
+    def later(self, df: DataFrame, ts: str = "bar") -> DataFrame:
+        return df.where(F.col(ts) >= F.lit(self.split).cast("timestamp_ntz"))
 
     @cached_property
     def bars(self) -> DataFrame:
@@ -61,7 +61,7 @@ class Products:
 
     @cached_property
     def cuts(self) -> DataFrame:
-        return stage(warnings.calibrate(self.scored.where(before_split()), features.FEATURES), "cuts")
+        return stage(warnings.calibrate(self.training(self.scored), features.FEATURES), "cuts")
 
     @cached_property
     def raw_levels(self) -> DataFrame:
@@ -91,6 +91,17 @@ class Products:
         scored = self.scored.withColumn("_top", F.greatest(*sizes)).withColumn("score", F.round(F.col("_top") / (F.col("_top") + 1), 6))
         return stage(events.label_bars(scored.drop("_top"), self.exo), "labelled")
 
+    @cached_property
+    def model(self) -> PipelineModel:
+        return adaptive.bc_fit(self.training(self.labelled), Z_SCORES)
+
+    @cached_property
+    def adaptive_alerts(self) -> DataFrame:
+        """Alerts of the scored period: the model's threshold from the training period, confirmed by the rules."""
+        scored = stage(adaptive.bc_score(self.model, self.labelled.drop("score")), "bc-scored")
+        stars = adaptive.tau_star(adaptive.tau_sweep(self.training(scored)))
+        return adaptive.double_confirm(self.later(scored).select("variety", "bar", "score", "label"), self.raw_levels, stars)
+
     @cached_property
     def daily(self) -> DataFrame:
         return tailrisk.log_returns(tailrisk.daily_closes(self.quotes), ts="day")
@@ -110,23 +121,23 @@ class Products:
 
     @cached_property
     def analogues(self) -> DataFrame:
-        return similar_history(self.warned, [f"z_{c}" for c in features.FEATURES])
+        return similar_history(self.warned, Z_SCORES)
 
     @cached_property
     def explained(self) -> DataFrame:
         return graph.explain(self.warned, self.macro)
 
     @cached_property
-    def _layers(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def layers(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         return stage(self.explained, "explained"), stage(self.triggers, "triggers"), stage(self.analogues, "analogues")
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return graph.kg_nodes(*self._layers)
+        return graph.kg_nodes(*self.layers)
 
     @cached_property
     def edges(self) -> DataFrame:
-        return graph.kg_edges(*self._layers)
+        return graph.kg_edges(*self.layers)
 
     @cached_property
     def graph(self) -> tuple[DataFrame, DataFrame]:
