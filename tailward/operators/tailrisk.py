@@ -41,6 +41,7 @@ def cvar(
 ) -> DataFrame:
     """Per group and level: VaR (exact quantile of loss) and CVaR (mean of the losses from VaR on).
 
+    Losses are ranked to 9 digits, so that one equal to VaR counts as equal.
     A percentile aggregate holds the distinct losses of a group in one task, which fits
     what one variety can have (a row per bar or day). ``spread`` is for groups that
     collect many varieties: it finds the same quantiles over range partitions.
@@ -51,9 +52,9 @@ def cvar(
     if not by:
         known = known.withColumn("_all", F.lit(1))
     find = _var_spread if spread else _var_in_groups
-    cuts = find(known, on, levels).withColumn("var", F.round("var", 9))
+    cuts = find(known, on, levels).withColumn("var", F.round("var", 12))
     out = known.join(cuts, on).groupBy(*on, "alpha", "var").agg(
-        F.avg(F.when(F.col("_loss") >= F.col("var"), F.col("_loss"))).alias("cvar"),
+        F.avg(F.when(F.col("_loss") >= F.col("var"), F.col(loss))).alias("cvar"),
         F.count(F.lit(1)).alias("n_losses"),
         F.count_if(F.col("_loss") >= F.col("var")).alias("n_tail"),
     )

@@ -77,7 +77,7 @@ def _(p: Products) -> DataFrame:
 
 @query("s3_write_metrics")
 def _(p: Products) -> DataFrame:
-    metrics = rounded(tailrisk.cvar(tailrisk.dual_side(p.daily), by=["variety", "side"]), ["var", "cvar"])
+    metrics = rounded(tailrisk.cvar(tailrisk.dual_side(p.daily), by=["variety", "side"]), ["cvar"])
     path = scratch_path(p.spark, "metrics")
     archive.write_metrics(metrics, path)
     return p.spark.read.schema(metrics.schema).json(path)
@@ -327,13 +327,13 @@ def _(p: Products) -> DataFrame:
 @query("c2_cvar")
 def _(p: Products) -> DataFrame:
     losses = tailrisk.log_returns(p.bars).withColumn("loss", -F.col("ret"))
-    return rounded(tailrisk.cvar(losses, by=["variety"]), ["var", "cvar"])
+    return rounded(tailrisk.cvar(losses, by=["variety"]), ["cvar"])
 
 
 @query("c3_dual_side")
 def _(p: Products) -> DataFrame:
     losses = tailrisk.dual_side(tailrisk.log_returns(p.bars))
-    return rounded(tailrisk.cvar(losses, by=["side"], spread=True), ["var", "cvar"])
+    return rounded(tailrisk.cvar(losses, by=["side"], spread=True), ["cvar"])
 
 
 @query("c4_de_expose")

@@ -199,7 +199,7 @@ table("sizes", sizes)
 table(
     "cuts",
     f"""
-SELECT variety, feature, {", ".join(f"round(quantile_cont(size, {q}), 6) AS cut_{i + 1}" for i, q in enumerate(CUT_QUANTILES))}
+SELECT variety, feature, {", ".join(f"round(quantile_cont(size, {q}), 9) AS cut_{i + 1}" for i, q in enumerate(CUT_QUANTILES))}
 FROM sizes WHERE bar < TIMESTAMP '{SPLIT}' GROUP BY variety, feature""",
 )
 table(
@@ -319,12 +319,12 @@ table("alert_levels", "SELECT variety, CAST(bar AS DATE) AS day, max(level) AS d
 def cvar(source: str, by: list[str], alphas: tuple[float, ...] = (0.95,)) -> str:
     keys = ", ".join(by)
     same = " AND ".join(f"k.{b} = v.{b}" for b in by)
-    known = f"(SELECT {keys}, round(loss, 9) AS x FROM {source} WHERE loss IS NOT NULL)"
+    known = f"(SELECT {keys}, loss, round(loss, 9) AS x FROM {source} WHERE loss IS NOT NULL)"
     var = " UNION ALL ".join(
-        f"SELECT {keys}, CAST({a} AS DOUBLE) AS alpha, round(quantile_cont(x, {a}), 9) AS var FROM {known} GROUP BY {keys}" for a in alphas
+        f"SELECT {keys}, CAST({a} AS DOUBLE) AS alpha, round(quantile_cont(x, {a}), 12) AS var FROM {known} GROUP BY {keys}" for a in alphas
     )
     return f"""
-SELECT {", ".join(f"v.{b}" for b in by)}, alpha, var, avg(x) FILTER (x >= var) AS cvar, count(*) AS n_losses,
+SELECT {", ".join(f"v.{b}" for b in by)}, alpha, var, avg(loss) FILTER (x >= var) AS cvar, count(*) AS n_losses,
        count(*) FILTER (x >= var) AS n_tail
 FROM ({var}) v JOIN {known} k ON {same} GROUP BY {", ".join(f"v.{b}" for b in by)}, alpha, var"""
 
@@ -455,7 +455,7 @@ count(DISTINCT quote_id) AS n_ids, CAST(sum(volume) AS BIGINT) AS volume, min(ts
 oracle("s2_write_features", f"SELECT variety, bar, {rnds(FEATURES)} FROM features")
 oracle(
     "s3_write_metrics",
-    f"SELECT variety, side, alpha, {rnd('var')}, {rnd('cvar')}, n_losses, n_tail FROM ({cvar('daily_sides', ['variety', 'side'])})",
+    f"SELECT variety, side, alpha, {rnd('var', 12)}, {rnd('cvar')}, n_losses, n_tail FROM ({cvar('daily_sides', ['variety', 'side'])})",
 )
 oracle(
     "s4_write_graph",
@@ -613,7 +613,7 @@ FROM (SELECT {F1.format(a="score >= tau_star")} AS f1_adaptive, {F1.format(a="sc
 
 # Tail risk
 
-MEASURES = "alpha, " + rnds(["var", "cvar"]) + ", n_losses, n_tail"
+MEASURES = "alpha, " + rnd("var", 12) + ", " + rnd("cvar") + ", n_losses, n_tail"
 oracle("c1_log_returns", f"SELECT variety, bar, close, {rnd('ret')} FROM bar_returns")
 table("long_losses", "SELECT variety, -ret AS loss FROM bar_returns")
 oracle("c2_cvar", f"SELECT variety, {MEASURES} FROM ({cvar('long_losses', ['variety'])})")
