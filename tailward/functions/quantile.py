@@ -17,13 +17,19 @@ def weighted_quantiles(counts: DataFrame, by: list[str], value: str, weight: str
     rank, and only those partitions are ordered. ``by`` must have few distinct
     values (columns of a profile, varieties). Result: ``by`` + ``q`` + ``quantile``.
     """
-    ranged = stage(
-        counts.where(F.col(value).isNotNull())
-        .select(*by, F.col(value).alias("_v"), F.col(weight).alias("_n"))
-        .repartitionByRange(*by, "_v")
-        .withColumn("_part", F.spark_partition_id()),
-        "ranged",
-    )
+    return ranged_quantiles(range_counts(counts, by, value, weight), by, value, weight, qs)
+
+
+def range_counts(counts: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
+    """The counted values written in range partitions, each row with the number of its partition."""
+    ordered = counts.select(*by, value, weight).repartitionByRange(*by, value)
+    return stage(ordered.withColumn("_part", F.spark_partition_id()), "ranged")
+
+
+def ranged_quantiles(table: DataFrame, by: list[str], value: str, weight: str, qs: list[float]) -> DataFrame:
+    """Quantiles from a table made by ``range_counts``; null values do not count."""
+    known = F.col(value).isNotNull()
+    ranged = table.where(known).select(*by, "_part", F.col(value).alias("_v"), F.col(weight).alias("_n"))
     # One row per group and partition: never more rows than shuffle partitions per group.
     in_order = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tailward.functions.quantile import weighted_quantiles
+from tailward.functions.quantile import range_counts, ranged_quantiles
 from tailward.functions.time import WIDTH, interval, with_bar
 from tailward.session import stage
 
@@ -20,7 +20,7 @@ def profile(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     if approx:
         return _profile_sketch(df, cols)
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "value")
-    counts = stage(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), "value-counts")
+    counts = range_counts(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), ["column"], "value", "n")
     known = F.col("value").isNotNull()
     stats = counts.groupBy("column").agg(
         F.sum(F.when(known, F.col("n")).otherwise(0)).alias("n_values"),
@@ -30,7 +30,7 @@ def profile(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
         F.max("value").alias("max_value"),
         F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum(F.when(known, F.col("n")))).alias("mean_value"),
     )
-    p50 = weighted_quantiles(counts, ["column"], "value", "n", [0.5]).select("column", F.col("quantile").alias("p50"))
+    p50 = ranged_quantiles(counts, ["column"], "value", "n", [0.5]).select("column", F.col("quantile").alias("p50"))
     return stats.join(p50, "column", "left")
 
 
@@ -52,7 +52,7 @@ def _profile_sketch(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _bars_present(df: DataFrame, key: str, ts: str, width: str) -> DataFrame:
-    return with_bar(df, ts, width).select(key, "bar").distinct()
+    return stage(with_bar(df, ts, width).select(key, "bar").distinct(), "present")
 
 
 def _grid(present: DataFrame, key: str, width: str) -> DataFrame:
@@ -72,8 +72,8 @@ def missing_bars(df: DataFrame, key: str, ts: str, width: str = WIDTH) -> DataFr
 def coverage(df: DataFrame, key: str, ts: str, width: str = WIDTH) -> DataFrame:
     """Present and missing bars per key and day.
 
-    The raw table is reduced to distinct bars before anything else; the grid and
-    the join only see bars, whose number depends on the calendar and not on the data.
+    The raw table is read once and reduced to distinct bars; the grid and the join
+    only see those, and their number depends on the calendar and not on the data.
     """
     present = _bars_present(df, key, ts, width)
     return (

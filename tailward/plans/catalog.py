@@ -310,6 +310,11 @@ def _(p: Products) -> DataFrame:
     return adaptive.double_confirm(later, p.raw_levels, adaptive.tau_star(_sweep(p)))
 
 
+@query("a5_adaptive_alerts")
+def _(p: Products) -> DataFrame:
+    return rounded(p.adaptive_alerts, ["score"], 6)
+
+
 @query("a6_f1_gain")
 def _(p: Products) -> DataFrame:
     later = p.later(p.labelled).select("variety", "bar", "score", "label")

@@ -95,12 +95,18 @@ class Products:
     def model(self) -> PipelineModel:
         return adaptive.bc_fit(self.training(self.labelled), Z_SCORES)
 
+    @cached_property
+    def model_scored(self) -> DataFrame:
+        return stage(adaptive.bc_score(self.model, self.labelled.drop("score")).select("variety", "bar", "score", "label"), "model-scored")
+
+    @cached_property
+    def model_taus(self) -> DataFrame:
+        return stage(adaptive.tau_star(adaptive.tau_sweep(self.training(self.model_scored))), "model-taus")
+
     @cached_property
     def adaptive_alerts(self) -> DataFrame:
         """Alerts of the scored period: the model's threshold from the training period, confirmed by the rules."""
-        scored = stage(adaptive.bc_score(self.model, self.labelled.drop("score")), "bc-scored")
-        stars = adaptive.tau_star(adaptive.tau_sweep(self.training(scored)))
-        return adaptive.double_confirm(self.later(scored).select("variety", "bar", "score", "label"), self.raw_levels, stars)
+        return adaptive.double_confirm(self.later(self.model_scored), self.raw_levels, self.model_taus)
 
     @cached_property
     def daily(self) -> DataFrame:

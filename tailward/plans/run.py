@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tailward import schemas
-from tailward.operators import graph, tailrisk, views, warnings
+from tailward.operators import adaptive, graph, tailrisk, views, warnings
 from tailward.plans.products import Products
 from tailward.sources import archive
 
@@ -23,6 +23,7 @@ def write_products(p: Products, out: str) -> None:
     archive.write_features(p.greeks, f"{out}/greeks")
     archive.write_features(p.raw_levels.select("variety", "bar", "hits_1", "hits_2", "hits_3", "level"), f"{out}/warnings")
     archive.write_features(p.adaptive_alerts, f"{out}/adaptive_alerts")
+    archive.write_metrics(adaptive.f1_gain(p.later(p.model_scored), p.model_taus), f"{out}/f1_gain")
     backtest = warnings.backtest(p.later(p.raw_levels).select("variety", "bar", "level"), p.later(p.fused_tracks, "start_ts"))
     archive.write_metrics(backtest, f"{out}/backtest")
     risk = tailrisk.cvar_improvement(p.exposed)

@@ -12,7 +12,7 @@ from conftest import ROOT
 import __spark_entry__ as entry_points
 
 QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
-WITHOUT_SQL = {"a1_bc_fit", "a2_bc_score"}
+WITHOUT_SQL = {"a1_bc_fit", "a2_bc_score", "a5_adaptive_alerts"}
 
 
 @pytest.fixture(scope="module")

@@ -21,6 +21,7 @@ def test_products_from_an_archive(spark, sf_dir, tmp_path):
     alerts = spark.read.parquet(f"{out}/adaptive_alerts")
     assert alerts.where("alert and (rule_level < 1 or round(score, 6) < tau_star)").count() == 0
     assert spark.read.json(f"{out}/backtest").count() == 6
+    assert spark.read.json(f"{out}/f1_gain").count() == 1
     assert spark.read.json(f"{out}/cvar_method").count() == 1 and spark.read.json(f"{out}/cvar_competition").count() == 2
     nodes, edges = archive.read_graph(spark, f"{out}/graph")
     assert edges.join(nodes, edges.dst == nodes.id, "left_anti").count() == 0
