@@ -15,6 +15,21 @@ def remainder(n: int, doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(remainder(3) != 1)
+    model = fit_quality(docs.join(labels, "doc_id"))
+    return score_quality(docs, model).select(
+        "doc_id",
+        (remainder(3) == 1).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.5).cast("int").alias("predicted"),
+        "quality_strength",
+    )
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit_language, predict_language
 
@@ -29,5 +44,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op9_language_id,)}
+QUERIES = {f.__name__: f for f in (op6_quality, op9_language_id)}
 ORACLES: dict[str, str] = {}
