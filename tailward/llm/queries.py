@@ -30,6 +30,19 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(remainder(4) != 2)
+    return score_toxicity(docs, fit_toxicity(docs, labels)).select(
+        "doc_id",
+        (remainder(4) == 2).alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit_language, predict_language
 
@@ -44,5 +57,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op6_quality, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op6_quality, op8_toxicity, op9_language_id)}
 ORACLES: dict[str, str] = {}
