@@ -123,7 +123,7 @@ def _calibrate(z: np.ndarray, y: np.ndarray, reject_share: float) -> tuple[float
 
 
 def fit_language(
-    labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_language: int = 1500, reject_share: float = 0.005
+    labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_language: int = 1000, reject_share: float = 0.005
 ) -> LanguageModel:
     """Fit on at most ``per_language`` rows of each language, those whose key hashes lowest.
 
@@ -145,7 +145,7 @@ def fit_language(
         return pa.array([(row * SCALE).astype(np.float16).tobytes() for part in subword_shares(texts) for row in part], pa.binary())
 
     sample = (
-        rows.join(chosen, F.col(key) == F.col("_key"), "left_semi")
+        rows.join(F.broadcast(chosen), F.col(key) == F.col("_key"), "left_semi")
         .select(F.col(label).cast("string").alias("y"), F.col(key).cast("string").alias("k"), shares(F.col(text)).alias("x"))
         .toArrow()
         .sort_by([("k", "ascending"), ("y", "ascending")])
