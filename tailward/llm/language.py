@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import add_columns
 from .flat import flat, row_sums, slices
 
 BUCKETS = 4096
@@ -179,7 +180,4 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text")
         accepted = lettered & (score >= model.reject_below) & bool(model.languages)
         return pa.StructArray.from_arrays([names, pa.array(score, pa.float64()), pa.array(accepted)], ["lang_pred", "lang_score", "lang_accepted"])
 
-    names = ["lang_pred", "lang_score", "lang_accepted"]
-    kept = [c for c in docs.columns if c not in names]
-    found = docs.select(*kept, predict(F.col(text).cast("string")).alias("_found"))
-    return found.select(*kept, *[F.col(f"_found.{n}").alias(n) for n in names])
+    return add_columns(docs, predict(F.col(text).cast("string")), ["lang_pred", "lang_score", "lang_accepted"])

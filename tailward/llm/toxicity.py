@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import add_columns
 from .flat import flat, slices
 
 # Letters that a sign is commonly put for.
@@ -54,7 +55,7 @@ LOOK_ALIKES = {
 }
 SEPARATORS = " .-_*~'`,/\\"
 SUBSTITUTE, REPEAT, DROP = 1.0, 0.5, 0.7  # costs in natural-log units
-LOSE, SPLIT = 6.0, 4.0  # of a sign that is no separator, to leave it out or to end the word there
+LOSE, SPLIT = 12.0, 6.0  # of a sign that is no separator, to leave it out or to end the word there
 LONGEST = 64  # characters of a decoded run; longer ones are decoded in runs of this length
 
 _SIGNS = re.escape("".join(LOOK_ALIKES))
@@ -249,6 +250,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
         likely = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return pa.StructArray.from_arrays([pa.array(likely, pa.float64()), pa.array(found, pa.list_(pa.string()))], names)
 
-    kept = [c for c in docs.columns if c not in names]
-    scored = docs.select(*kept, score(F.col(text).cast("string")).alias("_found"))
-    return scored.select(*kept, *[F.col(f"_found.{n}").alias(n) for n in names])
+    return add_columns(docs, score(F.col(text).cast("string")), names)
