@@ -15,6 +15,24 @@ def remainder(n: int, doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE, find_secrets, span_text
+
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secret_spans")
+    kinds = [kind for kind, *_ in BASE]
+    base = F.filter("secret_spans", lambda s: s["kind"].isin(kinds))
+
+    def number(kind: str):
+        return F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+    return found.select(
+        "doc_id",
+        *[number(kind).alias(f"n_{kind}") for kind in kinds],
+        F.sha2(span_text(base), 256).alias("base_sha256"),
+        span_text(F.col("secret_spans")).alias("spans"),
+    )
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit_quality, score_quality
 
@@ -57,5 +75,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op6_quality, op8_toxicity, op9_language_id)}
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_main_text
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op6_quality, op8_toxicity, op9_language_id, op10_main_text)}
 ORACLES: dict[str, str] = {}
