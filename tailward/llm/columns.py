@@ -21,6 +21,12 @@ def unpacked(df: DataFrame) -> list[Column]:
     return [F.col("_row")[c].alias(c) for c in df.schema["_row"].dataType.names if c != "_none"]
 
 
+def broadcast_if_small(written: DataFrame, width: Column, most: int = 32 << 20) -> DataFrame:
+    """Mark a written table for broadcast if its rows, each ``width`` bytes, are measured at ``most`` bytes or less; else it joins by shuffle."""
+    size = written.agg(F.sum(width + 64)).first()[0] or 0
+    return F.broadcast(written) if size <= most else written
+
+
 def add_columns(df: DataFrame, found: Column, names: list[str]) -> DataFrame:
     """Append the fields ``names`` of the struct ``found``, in place of columns of the same name."""
     held = df.select(packed(df, *names), found.alias("_found"))
