@@ -33,6 +33,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .similar import component_ids
+
+    return component_ids(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit_quality, score_quality
 
@@ -82,5 +88,5 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(pages).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op6_quality, op8_toxicity, op9_language_id, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_similar_texts, op6_quality, op8_toxicity, op9_language_id, op10_main_text)}
 ORACLES: dict[str, str] = {}
