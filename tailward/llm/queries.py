@@ -33,6 +33,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .contamination import find_contamination
+
+    return find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .similar import component_ids
 
@@ -88,5 +94,5 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(pages).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_similar_texts, op6_quality, op8_toxicity, op9_language_id, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_contamination, op4_similar_texts, op6_quality, op8_toxicity, op9_language_id, op10_main_text)}
 ORACLES: dict[str, str] = {}
