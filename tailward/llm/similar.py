@@ -41,6 +41,7 @@ from .components import components
 from .shingles import mix, shingle_sets
 
 PARITY_WORDS = 16
+PART = 256  # sets walked together
 _LAST = np.uint64(1 << 63)
 
 
@@ -177,8 +178,10 @@ class _Join:
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keys = [order.keys(s).view(np.int64) for s in shingle_sets(batch.column(2), width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["a", "id", "keys"])
+                for k in range(0, batch.num_rows, 256):
+                    part = batch.slice(k, 256)
+                    keys = [order.keys(s).view(np.int64) for s in shingle_sets(part.column(2), width)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.list_(pa.int64()))], ["a", "id", "keys"])
 
         texts = wanted.join(self.docs, "id").select("a", "id", "text")
         kind = self.docs.schema["id"].dataType.simpleString()
@@ -193,38 +196,45 @@ class _Join:
         brief = self.reps.select("id", "n", "p")
         of = {x: brief.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("p").alias(f"p_{x}")) for x in "ab"}
         able = stage(pairs.join(of["a"], "a").join(of["b"], "b").where(possible).select("a", "b").distinct(), "able")
-        ids = able.select(F.col("a").alias("id")).union(able.select(F.col("b").alias("id"))).distinct()
-        texts = stage(self.docs.join(ids, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
-        both = able.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        # the sets that meet one set are walked in parts of about PART, each with a copy of its text
+        parts = able.groupBy("a").agg(F.ceil(F.count("*") / PART).alias("_parts"))
+        dealt = able.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_parts")).alias("part"))
+        wanted = dealt.select("a", "part", F.lit(True).alias("member"), F.col("b").alias("id")).unionByName(
+            dealt.select("a", "part", F.lit(False).alias("member"), F.col("a").alias("id")).distinct()
+        )
+        texts = wanted.join(self.docs, "id").select("a", "part", "member", "id", "text").repartition("a", "part").sortWithinPartitions("a", "part", "member")
         order, width, share = self.order, self.width, Fraction(self.percent, 100 + self.percent)
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            one_text, one = None, np.zeros(0, np.uint64)
+            at, ones = None, {}
             for whole in batches:
-                for k in range(0, whole.num_rows, 1000):
-                    batch = whole.slice(k, 1000)
-                    linked, apart = np.zeros(batch.num_rows, bool), np.ones(batch.num_rows)
-                    centers = batch.column(2).to_pylist()
-                    others = [order.keys(s) for s in shingle_sets(batch.column(3), width)]
+                for k in range(0, whole.num_rows, 256):
+                    batch = whole.slice(k, 256)
+                    keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+                    member, sets = batch.column(2).to_pylist(), [order.keys(s) for s in shingle_sets(batch.column(4), width)]
+                    apart, linked = np.full(len(keys), 2.0), np.zeros(len(keys), bool)
                     start = 0
-                    while start < len(centers):
+                    while start < len(keys):
                         end = start + 1
-                        while end < len(centers) and centers[end] == centers[start]:
+                        while end < len(keys) and keys[end] == keys[start] and member[end] == member[start]:
                             end += 1
-                        if centers[start] != one_text:
-                            one_text = centers[start]
-                            one = order.keys(next(shingle_sets(pa.array([one_text], pa.string()), width)))
-                        # 100 o >= percent (n + m - o)
-                        needs = [math.ceil(share * (len(one) + len(o))) for o in others[start:end]]
-                        found = tree_overlaps(one, others[start:end], needs if prune else [0] * len(needs))
-                        linked[start:end] = [o >= need for o, need in zip(found, needs, strict=True)]
-                        apart[start:end] = [1 - o / (len(one) + len(x) - o) if o >= 0 else 1 for o, x in zip(found, others[start:end], strict=True)]
+                        if keys[start] != at:
+                            at, ones = keys[start], {}
+                        if not member[start]:
+                            ones.update({s.tobytes(): s for s in sets[start:end]})
+                        for one in ones.values() if member[start] else ():
+                            others = sets[start:end]
+                            # 100 o >= percent (n + m - o)
+                            needs = [math.ceil(share * (len(one) + len(o))) for o in others]
+                            for i, (o, need) in enumerate(zip(tree_overlaps(one, others, needs if prune else [0] * len(needs)), needs, strict=True), start):
+                                linked[i] |= o >= need
+                                apart[i] = min(apart[i], 1 - o / (len(one) + len(sets[i]) - o) if o >= 0 else 1)
                         start = end
-                    columns = [batch.column(0), batch.column(1), pa.array(apart), pa.array(linked)]
-                    yield pa.RecordBatch.from_arrays(columns, ["a", "b", "distance", "linked"])
+                    columns = [batch.column(0), batch.column(3), pa.array(apart), pa.array(linked)]
+                    yield pa.RecordBatch.from_arrays(columns, ["a", "b", "distance", "linked"]).filter(batch.column(2))
 
         kind = self.docs.schema["id"].dataType.simpleString()
-        measured = both.select("a", "b", "text_a", "text_b").mapInArrow(walk, f"a {kind}, b {kind}, distance double, linked boolean")
+        measured = texts.mapInArrow(walk, f"a {kind}, b {kind}, distance double, linked boolean")
         return stage(measured.where("linked") if prune else measured, "measured")
 
 
