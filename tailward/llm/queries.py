@@ -60,6 +60,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from .packing import pack_texts
+
+    return pack_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path("word_bpe_49k.json"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_toxicity, score_toxicity
 
@@ -94,5 +102,5 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(pages).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_contamination, op4_similar_texts, op6_quality, op8_toxicity, op9_language_id, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_contamination, op4_similar_texts, op6_quality, op7_packing, op8_toxicity, op9_language_id, op10_main_text)}
 ORACLES: dict[str, str] = {}
