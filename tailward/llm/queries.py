@@ -45,6 +45,14 @@ def op4_similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component_ids(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brown import score_texts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_texts(docs, remainder(10) != 0).withColumn("held_out", remainder(10) == 0)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit_quality, score_quality
 
@@ -102,5 +110,5 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(pages).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_contamination, op4_similar_texts, op6_quality, op7_packing, op8_toxicity, op9_language_id, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_contamination, op4_similar_texts, op5_class_model, op6_quality, op7_packing, op8_toxicity, op9_language_id, op10_main_text)}
 ORACLES: dict[str, str] = {}
