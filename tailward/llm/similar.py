@@ -37,11 +37,13 @@ from pyspark.sql import functions as F
 
 from tailward.session import stage
 
+from .columns import broadcast_if_small
 from .components import components
 from .shingles import mix, shingle_sets
 
 PARITY_WORDS = 16
 PART = 256  # sets walked together
+WIDTH = 64  # bytes that a row of ids takes at most
 _LAST = np.uint64(1 << 63)
 
 
@@ -183,7 +185,7 @@ class _Join:
                     keys = [order.keys(s).view(np.int64) for s in shingle_sets(part.column(2), width)]
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.list_(pa.int64()))], ["a", "id", "keys"])
 
-        texts = wanted.join(self.docs, "id").select("a", "id", "text")
+        texts = self.docs.join(broadcast_if_small(stage(wanted, "wanted"), F.lit(WIDTH)), "id").select("a", "id", "text")
         kind = self.docs.schema["id"].dataType.simpleString()
         return texts.mapInArrow(each, f"a {kind}, id {kind}, keys array<bigint>").select("a", "id", F.explode("keys").alias("s")).distinct()
 
@@ -202,7 +204,8 @@ class _Join:
         wanted = dealt.select("a", "part", F.lit(True).alias("member"), F.col("b").alias("id")).unionByName(
             dealt.select("a", "part", F.lit(False).alias("member"), F.col("a").alias("id")).distinct()
         )
-        texts = wanted.join(self.docs, "id").select("a", "part", "member", "id", "text").repartition("a", "part").sortWithinPartitions("a", "part", "member")
+        wanted = broadcast_if_small(stage(wanted, "wanted"), F.lit(WIDTH))
+        texts = self.docs.join(wanted, "id").select("a", "part", "member", "id", "text").repartition("a", "part").sortWithinPartitions("a", "part", "member")
         order, width, share = self.order, self.width, Fraction(self.percent, 100 + self.percent)
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
