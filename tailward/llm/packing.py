@@ -18,7 +18,9 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,40 +30,61 @@ from pyspark.sql import functions as F
 
 from tailward.session import stage
 
-MEMO_WORDS = 400_000  # words whose ids a task keeps; when full, it starts anew
-# Characters at which splitting text into words is left to the tokenizer: separators it takes for signs, and a letter lower-cased by context.
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "Σ")
+MEMO_WORDS = 500_000  # words whose ids a task keeps; when full, it starts anew
+# Characters at which splitting or lower-casing a text is left to the tokenizer: separators it takes for signs, and its special tokens' start.
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+_STOPS = ".,;:!?"
 
 
-class WordTokenizer:
-    """Ids of whole texts by a tokenizer that drops white space and never joins across it: each distinct word is encoded once."""
+def _byte_letters() -> dict[int, str]:
+    """Letters that a byte-level tokenizer writes bytes with: visible ones stand for themselves, the rest for those from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class WordTokenizer(dict):
+    """Ids of whole texts by a byte-level tokenizer that lower-cases, drops white space and splits letters from signs.
+
+    No token reaches across white space, and a run of letters is a token run of its own, so
+    each distinct word is encoded once: letters by the model alone, all else by the whole
+    tokenizer. The items are the words' ids so far.
+    """
 
     def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.letters = _byte_letters()
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        """Ids of a lower-case word of the first 256 characters."""
+        if word.isalpha():
+            plain = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(plain)]).tobytes()
+        elif word[-1] in _STOPS and word[:-1].isalpha():
+            ids = self[word[:-1]] + self[word[-1]]
+        else:
+            ids = self._whole(word)
+        self[word] = ids
+        return ids
 
     def ids(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        if any(c in text for c in _ODD) or "<|" in text:
-            return self._encode([text])[0]
-        words = text.lower().split() if text.isascii() else text.split()
-        memo = self.memo
+        """32-bit ids, little-endian as the machines are."""
+        if any(c in text for c in _ODD):
+            return self._whole(text)
         try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            fresh = list({w for w in words if w not in memo})
-        if len(memo) + len(fresh) > MEMO_WORDS:
-            memo.clear()
-            fresh = list(set(words))
-        for k in range(0, len(fresh), 4096):
-            part = fresh[k : k + 4096]
-            memo.update(zip(part, self._encode(part), strict=True))
-        return b"".join(map(memo.__getitem__, words))
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self._whole(text)
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", end_id: int = 1, sequence: int = 2048) -> DataFrame:
@@ -69,7 +92,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokenizer(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
+        end = array("I", [end_id]).tobytes()
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
                 batch = whole.slice(first, 500)
