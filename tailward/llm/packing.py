@@ -19,6 +19,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from tailward.session import stage
 MEMO_WORDS = 500_000  # words whose ids a task keeps; when full, it starts anew
 # Characters at which splitting or lower-casing a text is left to the tokenizer: separators it takes for signs, and its special tokens' start.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
-_STOPS = ".,;:!?"
+_SIGNS = string.punctuation.replace("'", "")  # an apostrophe may join what follows it
 
 
 def _byte_letters() -> dict[int, str]:
@@ -67,8 +68,8 @@ class WordTokenizer(dict):
         if word.isalpha():
             plain = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
             ids = array("I", [t.id for t in self.tokenizer.model.tokenize(plain)]).tobytes()
-        elif word[-1] in _STOPS and word[:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1]]
+        elif (stem := word.rstrip(_SIGNS)).isalpha() and stem != word:
+            ids = self[stem] + self[word[len(stem) :]]
         else:
             ids = self._whole(word)
         self[word] = ids
