@@ -47,12 +47,12 @@ WIDTH = 64  # bytes that a row of ids takes at most
 _LAST = np.uint64(1 << 63)
 
 
-def frequent_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, sample: int = 8000, at_least: int = 3, most: int = 500_000) -> np.ndarray:
-    """Shingles in ``at_least`` of about ``sample`` texts, rarest first; it only serves to order them.
+def frequent_shingles(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, share: float = 1 / 6, at_least: int = 3, most: int = 1_000_000) -> np.ndarray:
+    """Shingles in ``at_least`` of the texts whose key's hash lies in the lowest ``share``, rarest first; it only serves to order them.
 
-    The texts are those whose key hashes lowest; at most ``most`` shingles are kept.
+    At most ``most`` shingles are kept, the most frequent: with more, the order is coarser
+    and sets meet more often, but the result is the same.
     """
-    share = min(1.0, sample / max(docs.count(), 1))
     chosen = docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col(text).cast("string"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +89,7 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def tree_overlaps(one: np.ndarray, others: list[np.ndarray], needs: list[int], step: int = 64) -> list[int]:
+def tree_overlaps(one: np.ndarray, others: list[np.ndarray], needs: list[int], step: int = 256) -> list[int]:
     """Overlap of the ordered set ``one`` with each other ordered set, or -1 where it must stay below its need.
 
     The others are walked as a tree: in sorted order each shares the start of its path
@@ -123,6 +123,11 @@ def tree_overlaps(one: np.ndarray, others: list[np.ndarray], needs: list[int], s
     return out
 
 
+def overlaps(one: np.ndarray, others: list[np.ndarray]) -> list[int]:
+    """Overlap of ``one`` with each other set."""
+    return [int((one[np.minimum(np.searchsorted(one, o), len(one) - 1)] == o).sum()) for o in others]
+
+
 def _links(percent: int, n: Column, m: Column, overlap: Column) -> Column:
     return 100 * overlap >= percent * (n + m - overlap)
 
@@ -229,7 +234,7 @@ class _Join:
                             others = sets[start:end]
                             # 100 o >= percent (n + m - o)
                             needs = [math.ceil(share * (len(one) + len(o))) for o in others]
-                            for i, (o, need) in enumerate(zip(tree_overlaps(one, others, needs if prune else [0] * len(needs)), needs, strict=True), start):
+                            for i, (o, need) in enumerate(zip(tree_overlaps(one, others, needs) if prune else overlaps(one, others), needs, strict=True), start):
                                 linked[i] |= o >= need
                                 apart[i] = min(apart[i], 1 - o / (len(one) + len(sets[i]) - o) if o >= 0 else 1)
                         start = end
@@ -286,10 +291,15 @@ def _unconnected(join: _Join, meetings: DataFrame, roots: DataFrame, percent: in
 
     # against the larger component's other sets: joined by distance class, so that only those within reach meet
     classes = 50
-    of_larger = radius.select("a", F.col("b").alias("other"), "radius", F.floor(F.col("radius") * classes).alias("_class"))
-    of_smaller = close.select("a", "b", "distance", F.explode(F.sequence(F.greatest(F.floor((F.col("distance") - reach) * classes), F.lit(0)), F.lit(classes))).alias("_class"))
-    reached = of_smaller.join(of_larger, ["a", "_class"]).where(F.col("radius") >= F.col("distance") - reach)
-    pairs = reached.where("other <> a").select(F.least("b", "other").alias("a"), F.greatest("b", "other").alias("b")).distinct()
+    parts = join.reps.select(F.col("id").alias("_id"), "n", "p")
+    larger_side = radius.join(parts, F.col("b") == F.col("_id")).select(
+        F.col("a").alias("_a"), F.col("b").alias("other"), "radius", F.floor(F.col("radius") * classes).alias("_in"), F.col("n").alias("n_a"), F.col("p").alias("p_a")
+    )
+    smaller_side = close.join(parts, F.col("b") == F.col("_id")).select("a", "b", "distance", F.col("n").alias("n_b"), F.col("p").alias("p_b"))
+    smaller_side = smaller_side.withColumn("_class", F.explode(F.sequence(F.greatest(F.floor((F.col("distance") - reach) * classes), F.lit(0)), F.lit(classes))))
+    within_reach = (F.col("a") == F.col("_a")) & (F.col("_class") == F.col("_in")) & (F.col("radius") >= F.col("distance") - reach) & (F.col("other") != F.col("a"))
+    reached = smaller_side.join(larger_side, within_reach & _possible(percent))
+    pairs = reached.select(F.least("b", "other").alias("a"), F.greatest("b", "other").alias("b")).distinct()
     return direct.unionByName(join.test(pairs).select("a", "b"))
 
 
