@@ -39,7 +39,7 @@ LOOK_ALIKES = {
     "3": "e",
     "4": "a",
     "5": "s",
-    "6": "g",
+    "6": "bg",
     "7": "t",
     "8": "b",
     "9": "g",

@@ -234,7 +234,7 @@ def test_quality_separates_shouting(spark, sentences, odd_docs):
 def test_toxicity_sees_through_disguise(spark, sentences, odd_docs):
     clean = sentences(120, 13)
     toxic = [t.replace(" ", " you vile grubber ", 2) for t in sentences(60, 14)]
-    docs = frame(spark, clean + toxic + ["River stone gru66er light", "vi1e paper", "A fine river"])
+    docs = frame(spark, clean + toxic + ["River vi1e stone gru66er light", "a vi1e, g r u b b e r paper", "A fine river"])
     labels = spark.createDataFrame([(k, int(k >= 120)) for k in range(180)], "doc_id bigint, toxic int")
     model = fit_toxicity(docs, labels)
     rows = {r.doc_id: r for r in score_toxicity(docs, model).collect()}
