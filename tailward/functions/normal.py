@@ -7,9 +7,12 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Abramowitz and Stegun, formula 26.2.17.
-AS_P = 0.2316419
-AS_B = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+# Hart's rational approximation of the upper tail as published by West (2005), highest power first.
+UPPER = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+LOWER = (
+    8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752,
+)
+FAR_TAIL = 7.07106781186547  # beyond it a continued fraction is used
 INV_SQRT_2PI = 1.0 / math.sqrt(2.0 * math.pi)
 
 
@@ -18,10 +21,15 @@ def norm_pdf(x: Column) -> Column:
 
 
 def norm_cdf(x: Column) -> Column:
-    """P(Z <= x) with absolute error below 7.5e-8."""
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(AS_P) * F.abs(x))
-    poly = F.lit(0.0)
-    for b in reversed(AS_B):
-        poly = (poly + F.lit(b)) * t
-    upper = norm_pdf(x) * poly
+    """P(Z <= x) in double precision."""
+    a = F.abs(x)
+    top, bottom, fraction = F.lit(0.0), F.lit(0.0), a + F.lit(0.65)
+    for c in UPPER:
+        top = top * a + F.lit(c)
+    for c in LOWER:
+        bottom = bottom * a + F.lit(c)
+    for k in (4.0, 3.0, 2.0, 1.0):
+        fraction = a + F.lit(k) / fraction
+    density = F.exp(-a * a / F.lit(2.0))
+    upper = F.when(a < FAR_TAIL, density * top / bottom).otherwise(density / fraction * F.lit(INV_SQRT_2PI))
     return F.when(x >= 0, F.lit(1.0) - upper).otherwise(upper)

@@ -96,9 +96,9 @@ def label_bars(bars: DataFrame, events: DataFrame, horizon: str = "4 hours", slo
 
 
 def event_coverage(events: DataFrame, keys: DataFrame, sources: list[str], key: str = "variety") -> DataFrame:
-    """Events per source and key with zero cells shown; ``keys`` holds every key that must appear."""
+    """Events per source and key with zero cells shown; ``keys`` and ``sources`` name those that must appear, others appear if they have events."""
     cells = keys.select(key).distinct().select(key, F.explode(F.array(*[F.lit(s) for s in sources])).alias("source"))
     counts = events.groupBy(key, "source").agg(
         F.count(F.lit(1)).alias("n"), F.min("start_ts").alias("first_start"), F.max("start_ts").alias("last_start")
     )
-    return cells.join(counts, [key, "source"], "left").withColumn("n_events", F.coalesce("n", F.lit(0))).drop("n")
+    return cells.join(counts, [key, "source"], "full_outer").withColumn("n_events", F.coalesce("n", F.lit(0))).drop("n")

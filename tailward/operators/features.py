@@ -19,6 +19,7 @@ STRUCTURE = ["atm_iv", "skew", "curvature", "term_slope", "cp_gap", "iv_change"]
 FLOW = ["signed_flow", "pc_volume", "depth_imbalance", "volume_surge", "oi_change"]
 FEATURES = STRUCTURE + FLOW
 
+# Defaults of parameters: least days of the near and far tenor, steps to a wing, bars of the volume mean.
 NEAR, FAR, WING, SURGE_BARS = 30, 90, 2, 20
 
 
@@ -66,13 +67,19 @@ def _mean_iv(where: Column, tags: str) -> Column:
     return F.try_divide(F.sum(F.when(where, total)), F.sum(F.when(where, n)))
 
 
-def _per_bar() -> dict[str, Column]:
+def _with_tenors(cells: DataFrame, near: int, far: int) -> DataFrame:
+    """Add each bar's near and far tenor: the nearest listed one at or above the wanted days."""
+    listed = lambda days: F.min(F.when(F.col("tenor_days") >= days, F.col("tenor_days"))).over(Window.partitionBy(*KEY))
+    return cells.withColumn("_near", listed(near)).withColumn("_far", listed(far))
+
+
+def _per_bar(wing: int) -> dict[str, Column]:
     """Features of one bar alone, as aggregates over its cells."""
-    near, far = F.col("tenor_days") == NEAR, F.col("tenor_days") == FAR
+    near, far = F.col("tenor_days") == F.col("_near"), F.col("tenor_days") == F.col("_far")
     atm = F.col("mny_idx") == 0
     near_atm = _mean_iv(near & atm, "cp")
-    put_wing = _mean_iv(near & (F.col("mny_idx") == -WING), "p")
-    call_wing = _mean_iv(near & (F.col("mny_idx") == WING), "c")
+    put_wing = _mean_iv(near & (F.col("mny_idx") == -wing), "p")
+    call_wing = _mean_iv(near & (F.col("mny_idx") == wing), "c")
     gap = F.try_divide(F.col("ivoi_p"), F.col("oi_p")) - F.try_divide(F.col("ivoi_c"), F.col("oi_c"))
     weight = F.when(gap.isNotNull(), F.col("oi_c") + F.col("oi_p"))
     return {
@@ -89,10 +96,10 @@ def _per_bar() -> dict[str, Column]:
     }
 
 
-def _across_bars() -> dict[str, Column]:
+def _across_bars(surge_bars: int) -> dict[str, Column]:
     """Features that look at earlier bars of the same variety."""
     w = Window.partitionBy("variety").orderBy("bar")
-    recent = w.rowsBetween(-SURGE_BARS, -1)
+    recent = w.rowsBetween(-surge_bars, -1)
     previous_oi = F.lag("bar_oi").over(w)
     return {
         "iv_change": F.col("atm_iv") - F.lag("atm_iv").over(w),
@@ -104,12 +111,23 @@ def _across_bars() -> dict[str, Column]:
 NEEDS = {"iv_change": "atm_iv", "volume_surge": "bar_volume", "oi_change": "bar_oi"}
 
 
-def build_features(quotes: DataFrame, width: str = WIDTH, only: list[str] | None = None) -> DataFrame:
-    """``variety``, ``bar`` and the eleven features (or ``only`` some): two aggregations, one window pass."""
+def build_features(
+    quotes: DataFrame,
+    width: str = WIDTH,
+    only: list[str] | None = None,
+    near: int = NEAR,
+    far: int = FAR,
+    wing: int = WING,
+    surge_bars: int = SURGE_BARS,
+) -> DataFrame:
+    """``variety``, ``bar`` and the eleven features (or ``only`` some): two aggregations, one window pass.
+
+    The near and far tenor of a bar are the nearest listed ones of at least ``near`` and ``far`` days.
+    """
     names = only or FEATURES
-    alone, across = _per_bar(), _across_bars()
+    alone, across = _per_bar(wing), _across_bars(surge_bars)
     base = sorted({NEEDS.get(n, n) for n in names})
-    bars = _cells(quotes, width).groupBy(*KEY).agg(*[alone[n].alias(n) for n in base])
+    bars = _with_tenors(_cells(quotes, width), near, far).groupBy(*KEY).agg(*[alone[n].alias(n) for n in base])
     return bars.select(*KEY, *[across[n].alias(n) if n in across else F.col(n) for n in names])
 
 

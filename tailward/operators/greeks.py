@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailward.functions.time import WIDTH, with_bar
@@ -30,8 +30,13 @@ def hhi(df: DataFrame, group: list[str], part: str, weight: str) -> DataFrame:
 
 
 def build_greeks(quotes: DataFrame, width: str = WIDTH, tenor: int = 30) -> DataFrame:
-    """At-the-money Greeks of the near tenor, and HHI of open interest by strike, per variety and bar."""
-    near = greeks(select_atm(quotes.where(F.col("tenor_days") == tenor), width))
+    """At-the-money Greeks of the near tenor, and HHI of open interest by strike, per variety and bar.
+
+    The near tenor of a bar is the nearest listed one of at least ``tenor`` days.
+    """
+    atm = select_atm(quotes.where(F.col("tenor_days") >= tenor), width)
+    nearest = F.min("tenor_days").over(Window.partitionBy("variety", "bar"))
+    near = greeks(atm.withColumn("_near", nearest).where(F.col("tenor_days") == F.col("_near")))
     call, put = F.col("cp") == "C", F.col("cp") == "P"
     per_bar = near.groupBy("variety", "bar").agg(
         F.max(F.when(call, F.col("delta"))).alias("delta_call"),

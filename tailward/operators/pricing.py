@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tailward.functions.normal import AS_B, AS_P, INV_SQRT_2PI, norm_cdf, norm_pdf
+from tailward.functions.normal import FAR_TAIL, INV_SQRT_2PI, LOWER, UPPER, norm_cdf, norm_pdf
 
 DAYS = 365.0
 
@@ -15,7 +15,7 @@ DAYS = 365.0
 def _with_d(df: DataFrame, fwd: str, strike: str, tenor: str, iv: str) -> DataFrame:
     """Add the standardised terms as columns, so that each is computed once per row."""
     total = F.col(iv) * F.sqrt(F.col(tenor) / F.lit(DAYS))
-    d1 = F.try_divide(F.ln(F.col(fwd) / F.col(strike)), F.col("_sd")) + F.col("_sd") / 2
+    d1 = F.try_divide(F.ln(F.try_divide(F.col(fwd), F.col(strike))), F.col("_sd")) + F.col("_sd") / 2
     return (
         df.withColumn("_sd", total)
         .withColumn("_d1", d1)
@@ -52,11 +52,12 @@ def greeks(
 
 
 def _cdf(x: np.ndarray) -> np.ndarray:
-    t = 1.0 / (1.0 + AS_P * np.abs(x))
-    poly = np.zeros_like(x)
-    for b in reversed(AS_B):
-        poly = (poly + b) * t
-    upper = INV_SQRT_2PI * np.exp(-0.5 * x * x) * poly
+    a = np.abs(x)
+    density, fraction = np.exp(-0.5 * a * a), a + 0.65
+    for k in (4.0, 3.0, 2.0, 1.0):
+        fraction = a + k / fraction
+    near = density * np.polyval(UPPER, np.minimum(a, FAR_TAIL)) / np.polyval(LOWER, np.minimum(a, FAR_TAIL))
+    upper = np.where(a < FAR_TAIL, near, density / fraction * INV_SQRT_2PI)
     return np.where(x >= 0, 1.0 - upper, upper)
 
 
@@ -70,13 +71,18 @@ def _solver(lo: float, hi: float, steps: int):
             # By parity a put minus its forward intrinsic is a call, so one branch is solved.
             as_call = np.where(call, p, p + f - k)
             moneyness, root = np.log(f / k), np.sqrt(t)
-            ok = (as_call > np.maximum(f - k, 0.0)) & (as_call < f) & (t > 0) & (k > 0)
+
+            def value(iv: np.ndarray) -> np.ndarray:
+                sd = iv * root
+                d1 = moneyness / sd + 0.5 * sd
+                return f * _cdf(d1) - k * _cdf(d1 - sd)
+
             low, high = np.full(p.shape, lo), np.full(p.shape, hi)
+            ok = (as_call > np.maximum(f - k, 0.0)) & (as_call < f) & (t > 0) & (k > 0)
+            ok &= (value(low) < as_call) & (as_call < value(high))
             for _ in range(steps):
                 mid = 0.5 * (low + high)
-                sd = mid * root
-                d1 = moneyness / sd + 0.5 * sd
-                below = f * _cdf(d1) - k * _cdf(d1 - sd) < as_call
+                below = value(mid) < as_call
                 low, high = np.where(below, mid, low), np.where(below, high, mid)
         found = pd.Series(0.5 * (low + high))
         return found.where(ok, None)
@@ -98,7 +104,7 @@ def implied_vol(
 ) -> DataFrame:
     """Add the volatility that reproduces ``price``, by bisection over whole Arrow batches.
 
-    Null where the price lies outside the no-arbitrage bounds. The one Python step of
+    Null where the price lies outside the no-arbitrage bounds, or the volatility outside ``lo`` to ``hi``. The one Python step of
     the library: an expression fold of 40 steps has no code generation in Spark.
     """
     is_call = F.coalesce(F.col(cp) == "C", F.lit(False))

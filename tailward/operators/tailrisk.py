@@ -24,12 +24,6 @@ def daily_closes(quotes: DataFrame, px: str = "fwd") -> DataFrame:
     )
 
 
-def _var_in_groups(known: DataFrame, by: list[str], levels: list[float]) -> DataFrame:
-    marks = known.groupBy(*by).agg(F.percentile("_loss", F.array(*[F.lit(a) for a in levels])).alias("_vars"))
-    pairs = [F.struct(F.lit(a).alias("alpha"), F.get("_vars", F.lit(i)).alias("var")) for i, a in enumerate(levels)]
-    return marks.select(*by, F.inline(F.array(*pairs)))
-
-
 def _var_spread(known: DataFrame, by: list[str], levels: list[float]) -> DataFrame:
     counts = known.groupBy(*by, "_loss").agg(F.count(F.lit(1)).alias("_n"))
     found = weighted_quantiles(counts, by, "_loss", "_n", levels)
@@ -37,22 +31,20 @@ def _var_spread(known: DataFrame, by: list[str], levels: list[float]) -> DataFra
 
 
 def cvar(
-    df: DataFrame, loss: str = "loss", alphas: list[float] | None = None, by: list[str] | None = None, spread: bool = False
+    df: DataFrame, loss: str = "loss", alphas: list[float] | None = None, by: list[str] | None = None
 ) -> DataFrame:
     """Per group and level: VaR (exact quantile of loss) and CVaR (mean of the losses from VaR on).
 
     Losses are ranked to 9 digits, so that one equal to VaR counts as equal.
-    A percentile aggregate holds the distinct losses of a group in one task, which fits
-    what one variety can have (a row per bar or day). ``spread`` is for groups that
-    collect many varieties: it finds the same quantiles over range partitions.
+    Quantiles are found over range partitions, so a group that collects many varieties
+    does not gather in one task.
     """
     levels = alphas or [ALPHA]
     known = df.where(F.col(loss).isNotNull()).withColumn("_loss", F.round(loss, 9))
     on = by or ["_all"]
     if not by:
         known = known.withColumn("_all", F.lit(1))
-    find = _var_spread if spread else _var_in_groups
-    cuts = find(known, on, levels).withColumn("var", F.round("var", 12))
+    cuts = _var_spread(known, on, levels).withColumn("var", F.round("var", 12))
     out = known.join(cuts, on).groupBy(*on, "alpha", "var").agg(
         F.avg(F.when(F.col("_loss") >= F.col("var"), F.col(loss))).alias("cvar"),
         F.count(F.lit(1)).alias("n_losses"),
@@ -80,14 +72,19 @@ def _recent_level(h: int) -> Column:
     return F.coalesce(F.max("day_level").over(w), F.lit(0))
 
 
+def _with_alerts(returns: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Days with a return (``_priced``) or an alert: one without a price still counts for the days after it."""
+    joined = returns.withColumn("_priced", F.lit(True)).join(alerts, ["variety", "day"], "full_outer")
+    return joined.withColumn("_priced", F.coalesce("_priced", F.lit(False)))
+
+
 def de_expose(returns: DataFrame, alerts: DataFrame, h: int = 3, level: int = 2) -> DataFrame:
     """Exposure 0 on the ``h`` days after an alert day, else 1, and the strategy's return.
 
     ``returns`` and ``alerts`` are per variety and ``day``; an alert day has ``day_level >= level``.
     """
-    joined = returns.join(alerts, ["variety", "day"], "left")
     exposure = F.when(_recent_level(h) >= level, F.lit(0)).otherwise(F.lit(1))
-    out = joined.withColumn("exposure", exposure)
+    out = _with_alerts(returns, alerts).withColumn("exposure", exposure).where("_priced").drop("_priced")
     return out.withColumn("strategy_ret", F.col("ret") * F.col("exposure"))
 
 
@@ -129,8 +126,7 @@ def robust_grid(returns: DataFrame, alerts: DataFrame, hs: list[int], alphas: li
     The look-backs share one sort; each day then fans out to the (h, level) cells, a
     constant factor, and all alphas come from one percentile aggregate.
     """
-    joined = returns.join(alerts, ["variety", "day"], "left")
-    wide = joined.select("variety", "day", "ret", *[_recent_level(h).alias(f"_recent_{h}") for h in hs])
+    wide = _with_alerts(returns, alerts).select("_priced", "variety", "day", "ret", *[_recent_level(h).alias(f"_recent_{h}") for h in hs]).where("_priced")
     cells = F.array(
         *[
             F.struct(F.lit(h).alias("h"), F.lit(lv).alias("level"), (F.col(f"_recent_{h}") < lv).cast("int").alias("exposure"))

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def level_heatmap(levels: DataFrame, varieties: list[int]) -> DataFrame:
-    """Day by variety grid of the peak level; listing the varieties spares a job that looks for them."""
-    named = levels.select(F.to_date("bar").alias("day"), F.concat(F.lit("v"), F.col("variety").cast("string")).alias("v"), "level")
-    return named.groupBy("day").pivot("v", [f"v{x}" for x in varieties]).agg(F.max("level"))
+def level_heatmap(levels: DataFrame) -> DataFrame:
+    """Peak level per day and variety, one cell a row, whatever varieties there are."""
+    return levels.groupBy(F.to_date("bar").alias("day"), "variety").agg(F.max("level").alias("peak_level"))
 
 
 def latest_status(levels: DataFrame) -> DataFrame:

@@ -35,15 +35,16 @@ def calibrate(df: DataFrame, cols: list[str], qs: list[float] = CUT_QUANTILES, k
 
 def _wide(cuts: DataFrame, cols: list[str], key: str, levels: int) -> DataFrame:
     marks = F.array(*[F.col(f"cut_{i + 1}") for i in range(levels)])
-    return cuts.groupBy(key).agg(*[F.max(F.when(F.col("feature") == c, marks)).alias(f"cuts_{c}") for c in cols])
+    return cuts.groupBy(key).agg(F.lit(True).alias("_known"), *[F.max(F.when(F.col("feature") == c, marks)).alias(f"cuts_{c}") for c in cols])
 
 
 def score_levels(
     df: DataFrame, cuts: DataFrame, cols: list[str], min_hits: int = 2, levels: int = 3, key: str = "variety"
 ) -> DataFrame:
-    """Add ``hits_1..3`` (features past each cut) and ``level``: the largest L with enough hits, else 0.
+    """Add ``hits_1..3`` (features past each cut), ``level``: the largest L with enough hits, else 0, and ``no_cuts``.
 
-    A null z-score is not past any cut. The cuts have one row per key; the optimiser
+    A null z-score is not past any cut. A key without any cuts cannot be judged: its
+    level is null and ``no_cuts`` is true. The cuts have one row per key; the optimiser
     broadcasts them while they are below its size threshold.
     """
     past = lambda c, i: F.coalesce((strength(c) > F.get(f"cuts_{c}", F.lit(i))).cast("int"), F.lit(0))
@@ -52,14 +53,15 @@ def score_levels(
     for i in range(1, levels + 1):
         level = F.when(F.col(f"hits_{i}") >= min_hits, F.lit(i)).otherwise(level)
     joined = df.join(_wide(cuts, cols, key, levels), key, "left").withColumns(hits)
-    return joined.withColumn("level", level).drop(*[f"cuts_{c}" for c in cols])
+    unknown = F.col("_known").isNull()
+    return joined.withColumn("level", F.when(~unknown, level)).withColumn("no_cuts", unknown).drop("_known", *[f"cuts_{c}" for c in cols])
 
 
 def debounce(df: DataFrame, k: int = 2, level: str = "level", key: str = "variety", order: str = "bar") -> DataFrame:
-    """Replace ``level`` by the lowest of the last ``k`` bars; 0 until ``k`` bars exist."""
+    """Replace ``level`` by the lowest of the last ``k`` bars; 0 until ``k`` bars exist, null where it was null."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(-(k - 1), 0)
     held = F.when(F.count(F.lit(1)).over(w) >= k, F.min(level).over(w)).otherwise(F.lit(0))
-    return df.withColumn(level, held)
+    return df.withColumn(level, F.when(F.col(level).isNotNull(), held))
 
 
 def episodes(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tailward import schemas
 from tailward.operators import adaptive, events, features, graph, greeks, pricing, profiling, tailrisk, views, warnings
 from tailward.operators.features import FEATURES
-from tailward.plans.products import SOURCES, VARIETIES, Z_SCORES, Products
+from tailward.plans.products import SOURCES, Z_SCORES, Products
 from tailward.session import scratch_path
 from tailward.sources import archive
 
@@ -32,13 +32,24 @@ def query(name: str) -> Callable[[Callable[[Products], DataFrame]], Callable[[Pr
     return register
 
 
+def uneven_query(name: str) -> Callable[[Callable[[Products], DataFrame]], Callable[[Products], DataFrame]]:
+    """The same over the second derived quote table."""
+
+    def register(build: Callable[[Products], DataFrame]) -> Callable[[Products], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: build(Products.of_uneven_fixture(spark, sf_dir))
+        return build
+
+    return register
+
+
 def rules(priced: bool) -> dict[str, Column]:
     quoted = {
         "expired": F.col("tenor_days") <= 0,
         "thin_open_interest": F.col("open_interest") < 110,
         "thin_book": F.col("bid_size") + F.col("ask_size") < 6,
     }
-    return {"price_not_positive": F.col("price") <= 0, **quoted} if priced else quoted
+    unknown = F.col("price").isNull() | F.isnan("price")
+    return {"price_unknown": unknown, "price_not_positive": F.col("price") <= 0, **quoted} if priced else quoted
 
 
 def rounded(df: DataFrame, cols: list[str], digits: int = 9) -> DataFrame:
@@ -210,10 +221,9 @@ def _(p: Products) -> DataFrame:
 
 @query("g5_join_features")
 def _(p: Products) -> DataFrame:
-    # The two products come from different quotes, so that each side has keys of its own.
-    joined = greeks.join_features(
-        features.build_features(p.quotes.where(F.col("bid_size") > 5)), greeks.build_greeks(p.quotes.where(F.col("ask_size") > 5))
-    )
+    # Greeks of the table with gaps, so that some keys have features alone.
+    uneven = Products.of_uneven_fixture(p.spark, p.sf_dir)
+    joined = greeks.join_features(p.features, uneven.greeks)
     return rounded(joined, FEATURES + GREEK_COLUMNS, 6)
 
 
@@ -246,7 +256,7 @@ def _(p: Products) -> DataFrame:
 
 @query("w2_score_levels")
 def _(p: Products) -> DataFrame:
-    return p.raw_levels.select("variety", "bar", "hits_1", "hits_2", "hits_3", "level")
+    return p.raw_levels.select("variety", "bar", "hits_1", "hits_2", "hits_3", "level", "no_cuts")
 
 
 @query("w3_debounce")
@@ -261,18 +271,18 @@ def _(p: Products) -> DataFrame:
 
 @query("w5_systemic")
 def _(p: Products) -> DataFrame:
-    return warnings.systemic(p.raw_levels)
+    return warnings.systemic(p.levels)
 
 
 @query("w6_match_events")
 def _(p: Products) -> DataFrame:
-    pairs = warnings.match_events(warnings.episodes(p.raw_levels), p.fused)
+    pairs = warnings.match_events(p.episodes, p.fused)
     return rounded(pairs, ["lead_minutes", "first_lead_minutes"], 6)
 
 
 @query("w7_backtest")
 def _(p: Products) -> DataFrame:
-    table = warnings.backtest(p.later(p.raw_levels).select("variety", "bar", "level"), p.later(p.fused_tracks, "start_ts"))
+    table = warnings.backtest(p.later(p.levels).select("variety", "bar", "level"), p.later(p.fused_tracks, "start_ts"))
     return rounded(table, ["precision", "recall", "f1", "mean_lead_minutes"], 6)
 
 
@@ -307,7 +317,7 @@ def _(p: Products) -> DataFrame:
 @query("a5_double_confirm")
 def _(p: Products) -> DataFrame:
     later = p.later(p.labelled).select("variety", "bar", "score")
-    return adaptive.double_confirm(later, p.raw_levels, adaptive.tau_star(_sweep(p)))
+    return adaptive.double_confirm(later, p.levels, adaptive.tau_star(_sweep(p)))
 
 
 @query("a5_adaptive_alerts")
@@ -338,7 +348,7 @@ def _(p: Products) -> DataFrame:
 @query("c3_dual_side")
 def _(p: Products) -> DataFrame:
     losses = tailrisk.dual_side(tailrisk.log_returns(p.bars))
-    return rounded(tailrisk.cvar(losses, by=["side"], spread=True), ["cvar"])
+    return rounded(tailrisk.cvar(losses, by=["side"]), ["cvar"])
 
 
 @query("c4_de_expose")
@@ -357,7 +367,7 @@ def _(p: Products) -> DataFrame:
 
 @query("c6_robust_grid")
 def _(p: Products) -> DataFrame:
-    grid = tailrisk.robust_grid(p.daily, tailrisk.alert_days(p.raw_levels), [1, 3, 5], [0.90, 0.95, 0.99], [1, 2, 3])
+    grid = tailrisk.robust_grid(p.daily, tailrisk.alert_days(p.levels), [1, 3, 5], [0.90, 0.95, 0.99], [1, 2, 3])
     return rounded(grid, IMPROVEMENT, 6)
 
 
@@ -396,7 +406,7 @@ def _(p: Products) -> DataFrame:
 
 @query("k6_conclude")
 def _(p: Products) -> DataFrame:
-    return graph.explain(p.raw_levels, p.macro).select("variety", "bar", "level", "obs_date", "macro_high", "conclusion")
+    return graph.explain(p.levels, p.macro).select("variety", "bar", "level", "obs_date", "macro_high", "conclusion")
 
 
 @query("k7_kg_edges")
@@ -443,22 +453,71 @@ def _(p: Products) -> DataFrame:
 
 @query("v1_level_heatmap")
 def _(p: Products) -> DataFrame:
-    return views.level_heatmap(p.raw_levels, VARIETIES)
+    return views.level_heatmap(p.levels)
 
 
 @query("v2_latest_status")
 def _(p: Products) -> DataFrame:
-    return views.latest_status(p.raw_levels)
+    return views.latest_status(p.levels)
 
 
 @query("v3_top_warnings")
 def _(p: Products) -> DataFrame:
-    return views.top_warnings(warnings.episodes(p.raw_levels))
+    return views.top_warnings(p.episodes)
 
 
 @query("v4_level_counts")
 def _(p: Products) -> DataFrame:
-    return views.level_counts(p.raw_levels)
+    return views.level_counts(p.levels)
+
+
+# The same operators over quotes with irregular tenors, bent smiles, gaps, zero strikes and unknown volatilities
+
+
+for _name in ("atm_iv", "skew", "curvature", "term_slope"):
+
+    def _uneven_feature(name: str) -> None:
+        build = getattr(features, f"feat_{name}")
+        uneven_query(f"f{5 + FEATURES.index(name)}b_feat_{name}")(lambda p: rounded(build(p.quotes), [name]))
+
+    _uneven_feature(_name)
+
+
+@uneven_query("f2b_black76_price")
+def _(p: Products) -> DataFrame:
+    return rounded(pricing.black76_price(p.quotes).select("quote_id", "price"), ["price"], 6)
+
+
+@uneven_query("f16b_build_features")
+def _(p: Products) -> DataFrame:
+    return rounded(p.features, FEATURES)
+
+
+@uneven_query("f17b_rolling_zscore")
+def _(p: Products) -> DataFrame:
+    scores = features.rolling_zscore(p.features, FEATURES)
+    return rounded(scores.select("variety", "bar", *Z_SCORES), Z_SCORES, 6)
+
+
+@uneven_query("g4b_build_greeks")
+def _(p: Products) -> DataFrame:
+    return rounded(p.greeks, GREEK_COLUMNS, 6)
+
+
+@uneven_query("k5b_market_pattern")
+def _(p: Products) -> DataFrame:
+    return graph.market_pattern(p.scored).select("variety", "bar", "pattern")
+
+
+@uneven_query("p3b_align_quality")
+def _(p: Products) -> DataFrame:
+    even = Products.of_fixture(p.spark, p.sf_dir)
+    return rounded(profiling.align_quality(even.features, p.features, ["variety", "bar"], FEATURES, 1e-6), ["max_abs_diff"], 6)
+
+
+@uneven_query("p4b_validate")
+def _(p: Products) -> DataFrame:
+    return profiling.rule_counts(pricing.black76_price(p.quotes), rules(priced=True))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from tailward.functions.normal import AS_B, AS_P, INV_SQRT_2PI
+from tailward.functions.normal import FAR_TAIL, INV_SQRT_2PI, LOWER, UPPER
 from tailward.operators.features import FEATURES
 from tailward.operators.warnings import CUT_QUANTILES
-from tailward.plans.products import SPLIT, VARIETIES
+from tailward.plans.products import SPLIT
 
 TABLES: dict[str, str] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +61,28 @@ CROSS JOIN (VALUES (-3), (-2), (-1), (0), (1), (2), (3)) m(i)
 CROSS JOIN (VALUES (30), (90)) t(tenor)
 CROSS JOIN (VALUES (0), (1)) p(c)""",
 )
+table(
+    "quotes_b",
+    """
+SELECT *, time_bucket(INTERVAL 15 MINUTES, ts) AS bar FROM (
+SELECT s.event_id * 28 + (m.i + 3) * 4 + t.t * 2 + p.c AS quote_id, s.ts, s.variety, s.fwd,
+       CAST(CASE WHEN t.t = 0 THEN 20 + s.event_id % 3 * 7 ELSE 85 + s.event_id % 4 * 6 END AS INT) AS tenor_days,
+       CASE WHEN p.c = 0 THEN 'C' ELSE 'P' END AS cp, m.i AS mny_idx,
+       CASE WHEN s.event_id % 101 = 0 AND m.i = -3 THEN 0 ELSE s.fwd * (CAST(1 AS DOUBLE) + CAST(m.i AS DOUBLE) / 20) END AS strike,
+       CASE WHEN NOT (s.event_id % 17 = 0 AND m.i = 2) THEN
+         CAST(0.2 AS DOUBLE) + CAST(s.k AS DOUBLE) / 1000 - CAST(m.i * (1 + s.k % 7) AS DOUBLE) / 300
+         + CAST(m.i * m.i * (1 + s.k % 5) AS DOUBLE) / 900 + CAST(t.t * (s.k % 11 - 5) AS DOUBLE) / 400 + CAST(p.c * (s.k % 3) AS DOUBLE) / 500 END AS iv,
+       CAST(1 + (s.event_id * 31 + (m.i + 3) * 17 + t.t + p.c * 41) % 97 AS BIGINT) AS volume,
+       CAST(100 + (s.event_id * 7 + (m.i + 3) * 13 + t.t + p.c * 59) % 997 AS BIGINT) AS open_interest,
+       CAST(1 + (s.event_id * 5 + m.i + 3) % 50 AS BIGINT) AS bid_size,
+       CAST(1 + (s.event_id * 3 + (m.i + 3) * 7 + p.c * 11) % 50 AS BIGINT) AS ask_size,
+       CAST(CASE WHEN s.event_id % 13 = 0 THEN 1 ELSE (s.event_id * 11 + (m.i + 3) * 5 + p.c * 2 + t.t) % 3 - 1 END AS INT) AS side
+FROM (SELECT event_id, ts, CAST(user_id % 6 AS INT) AS variety, CAST(100 AS DOUBLE) + value / 10 AS fwd,
+             CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM events WHERE event_id % 3 <> 0) s
+CROSS JOIN (VALUES (-3), (-2), (-1), (0), (1), (2), (3)) m(i)
+CROSS JOIN (VALUES (0), (1)) t(t)
+CROSS JOIN (VALUES (0), (1)) p(c))""",
+)
 table(
     "exo",
     """
@@ -80,12 +102,15 @@ FROM events WHERE event_type = 'signup' GROUP BY CAST(ts AS DATE)""",
 
 
 def cdf(x: str) -> str:
-    t = f"(1 / (1 + CAST({AS_P} AS DOUBLE) * abs({x})))"
-    poly = "CAST(0 AS DOUBLE)"
-    for b in reversed(AS_B):
-        poly = f"({poly} + CAST({b} AS DOUBLE)) * {t}"
-    upper = f"({pdf(x)} * {poly})"
-    return f"CASE WHEN {x} >= 0 THEN 1 - {upper} ELSE {upper} END"
+    a = f"abs({x})"
+
+    def poly(terms: tuple[float, ...]) -> str:
+        return " + ".join(f"CAST({c!r} AS DOUBLE) * {a} ** {len(terms) - 1 - k}" for k, c in enumerate(terms))
+
+    far = f"({a} + 1 / ({a} + 2 / ({a} + 3 / ({a} + 4 / ({a} + CAST(0.65 AS DOUBLE))))))"
+    near = f"exp(-{a} * {a} / 2) * ({poly(UPPER)}) / ({poly(LOWER)})"
+    upper = f"CASE WHEN {a} < {FAR_TAIL} THEN {near} ELSE {pdf(x)} / {far} END"
+    return f"CASE WHEN {x} >= 0 THEN 1 - ({upper}) ELSE {upper} END"
 
 
 def pdf(x: str) -> str:
@@ -98,11 +123,12 @@ SELECT *, CASE WHEN cp = 'C' THEN fwd * n1 - strike * n2 ELSE strike * (1 - n2)
        CASE WHEN cp = 'C' THEN n1 ELSE n1 - 1 END AS delta, {pdf("d1")} / (fwd * sd) AS gamma,
        fwd * {pdf("d1")} * years ** 0.5 AS vega, -fwd * {pdf("d1")} * iv / (2 * years ** 0.5) AS theta
 FROM (SELECT *, {cdf("d1")} AS n1, {cdf("(d1 - sd)")} AS n2
-      FROM (SELECT *, ln(fwd / strike) / sd + sd / 2 AS d1
+      FROM (SELECT *, ln(fwd / nullif(strike, 0)) / sd + sd / 2 AS d1
             FROM (SELECT *, CAST(tenor_days AS DOUBLE) / 365 AS years, iv * sqrt(CAST(tenor_days AS DOUBLE) / 365) AS sd FROM {source})))"""
 
 
 table("priced", priced("quotes"))
+table("priced_b", priced("quotes_b"))
 
 
 # Features
@@ -113,14 +139,14 @@ def feature_tables(tag: str, source: str) -> None:
         f"gaps{tag}",
         f"""
 SELECT variety, bar, sum(gap * w) / sum(w) AS cp_gap FROM (
-  SELECT variety, bar, sum(open_interest) AS w,
-         sum(iv * open_interest) FILTER (cp = 'P') / sum(open_interest) FILTER (cp = 'P')
-         - sum(iv * open_interest) FILTER (cp = 'C') / sum(open_interest) FILTER (cp = 'C') AS gap
+  SELECT variety, bar, sum(open_interest) FILTER (iv IS NOT NULL) AS w,
+         sum(iv * open_interest) FILTER (cp = 'P') / sum(open_interest) FILTER (cp = 'P' AND iv IS NOT NULL)
+         - sum(iv * open_interest) FILTER (cp = 'C') / sum(open_interest) FILTER (cp = 'C' AND iv IS NOT NULL) AS gap
   FROM {source} GROUP BY variety, bar, tenor_days, mny_idx)
 WHERE gap IS NOT NULL GROUP BY variety, bar""",
     )
-    put, call = "avg(iv) FILTER (tenor_days = 30 AND mny_idx = -2 AND cp = 'P')", "avg(iv) FILTER (tenor_days = 30 AND mny_idx = 2 AND cp = 'C')"
-    near, far = "avg(iv) FILTER (tenor_days = 30 AND mny_idx = 0)", "avg(iv) FILTER (tenor_days = 90 AND mny_idx = 0)"
+    put, call = "avg(iv) FILTER (tenor_days = near_days AND mny_idx = -2 AND cp = 'P')", "avg(iv) FILTER (tenor_days = near_days AND mny_idx = 2 AND cp = 'C')"
+    near, far = "avg(iv) FILTER (tenor_days = near_days AND mny_idx = 0)", "avg(iv) FILTER (tenor_days = far_days AND mny_idx = 0)"
     table(
         f"per_bar{tag}",
         f"""
@@ -130,7 +156,9 @@ SELECT variety, bar, {near} AS atm_iv, {put} - {call} AS skew, ({put} + {call})
        CAST(coalesce(sum(volume) FILTER (cp = 'P'), 0) AS DOUBLE) / nullif(sum(volume) FILTER (cp = 'C'), 0) AS pc_volume,
        CAST(sum(bid_size - ask_size) AS DOUBLE) / nullif(sum(bid_size + ask_size), 0) AS depth_imbalance,
        CAST(sum(volume) AS DOUBLE) AS vol, CAST(sum(open_interest) AS DOUBLE) AS oi
-FROM {source} GROUP BY variety, bar""",
+FROM (SELECT *, min(tenor_days) FILTER (tenor_days >= 30) OVER (PARTITION BY variety, bar) AS near_days,
+             min(tenor_days) FILTER (tenor_days >= 90) OVER (PARTITION BY variety, bar) AS far_days FROM {source})
+GROUP BY variety, bar""",
     )
     table(
         f"features{tag}",
@@ -145,6 +173,7 @@ WINDOW w AS (PARTITION BY p.variety ORDER BY p.bar)""",
 
 
 feature_tables("", "quotes")
+feature_tables("_b", "quotes_b")
 
 
 def zscore(c: str) -> str:
@@ -152,14 +181,13 @@ def zscore(c: str) -> str:
             THEN ({c} - avg({c}) OVER w) / stddev_samp({c}) OVER w END AS z_{c}"""
 
 
-table(
-    "zscores",
-    f"""
-SELECT *, {", ".join(zscore(c) for c in FEATURES)} FROM features
+for _tag in ("", "_b"):
+    table(
+        f"zscores{_tag}",
+        f"""
+SELECT *, {", ".join(zscore(c) for c in FEATURES)} FROM features{_tag}
 WINDOW w AS (PARTITION BY variety ORDER BY bar ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""",
-)
-
-TRADED = "quotes WHERE bid_size > 5", "quotes WHERE ask_size > 5"
+    )
 
 
 def greek_tables(tag: str, source: str) -> None:
@@ -184,11 +212,13 @@ SELECT h.variety, h.bar, h.hhi AS oi_hhi, delta_call, delta_put, gamma, vega, th
 FROM hhi{tag} h LEFT JOIN (
   SELECT variety, bar, max(delta) FILTER (cp = 'C') AS delta_call, max(delta) FILTER (cp = 'P') AS delta_put,
          avg(gamma) AS gamma, avg(vega) AS vega, avg(theta) AS theta
-  FROM atm_priced{tag} WHERE tenor_days = 30 GROUP BY variety, bar) a ON h.variety = a.variety AND h.bar = a.bar""",
+  FROM (SELECT * FROM atm_priced{tag} WHERE tenor_days >= 30 QUALIFY tenor_days = min(tenor_days) OVER (PARTITION BY variety, bar))
+  GROUP BY variety, bar) a ON h.variety = a.variety AND h.bar = a.bar""",
     )
 
 
 greek_tables("", "quotes")
+greek_tables("_b", "quotes_b")
 
 # Warnings
 
@@ -205,10 +235,12 @@ FROM sizes WHERE bar < TIMESTAMP '{SPLIT}' GROUP BY variety, feature""",
 table(
     "scored",
     """
-SELECT *, CAST(CASE WHEN hits_3 >= 2 THEN 3 WHEN hits_2 >= 2 THEN 2 WHEN hits_1 >= 2 THEN 1 ELSE 0 END AS INT) AS level
+SELECT * REPLACE (CASE WHEN NOT no_cuts THEN level END AS level)
+FROM (SELECT *, CAST(CASE WHEN hits_3 >= 2 THEN 3 WHEN hits_2 >= 2 THEN 2 WHEN hits_1 >= 2 THEN 1 ELSE 0 END AS INT) AS level
 FROM (SELECT s.variety, s.bar, CAST(count(*) FILTER (size > cut_1) AS INT) AS hits_1,
-             CAST(count(*) FILTER (size > cut_2) AS INT) AS hits_2, CAST(count(*) FILTER (size > cut_3) AS INT) AS hits_3
-      FROM sizes s LEFT JOIN cuts c ON s.variety = c.variety AND s.feature = c.feature GROUP BY s.variety, s.bar)""",
+             CAST(count(*) FILTER (size > cut_2) AS INT) AS hits_2, CAST(count(*) FILTER (size > cut_3) AS INT) AS hits_3,
+             bool_and(c.variety IS NULL) AS no_cuts
+      FROM sizes s LEFT JOIN cuts c ON s.variety = c.variety AND s.feature = c.feature GROUP BY s.variety, s.bar))""",
 )
 table(
     "held",
@@ -227,7 +259,7 @@ FROM (SELECT *, sum(is_new) OVER (PARTITION BY {keys} ORDER BY bar) AS run
 GROUP BY {keys}, run"""
 
 
-table("runs_raw", runs("scored", "variety"))
+table("runs_held", runs("held", "variety"))
 
 
 def islands(source: str) -> str:
@@ -246,7 +278,7 @@ LEAD = "CAST(date_diff('microsecond', warned_at, start_ts) AS DOUBLE) / 60000000
 
 # Two tracks, out of sample
 
-table("at_levels", f"SELECT variety, bar, level, m.l AS min_level FROM scored, (VALUES (1), (2), (3)) m(l) WHERE bar >= TIMESTAMP '{SPLIT}' AND level >= m.l")
+table("at_levels", f"SELECT variety, bar, level, m.l AS min_level FROM held, (VALUES (1), (2), (3)) m(l) WHERE bar >= TIMESTAMP '{SPLIT}' AND level >= m.l")
 table(
     "tracks",
     """
@@ -313,7 +345,7 @@ FROM (SELECT variety, CAST(ts AS DATE) AS day, arg_max(fwd, (ts, quote_id)) AS c
 )
 table("both_sides", "SELECT variety, 'long' AS side, -ret AS loss FROM bar_returns UNION ALL SELECT variety, 'short', ret FROM bar_returns")
 table("daily_sides", "SELECT variety, 'long' AS side, -ret AS loss FROM daily UNION ALL SELECT variety, 'short', ret FROM daily")
-table("alert_levels", "SELECT variety, CAST(bar AS DATE) AS day, max(level) AS day_level FROM scored GROUP BY ALL")
+table("alert_levels", "SELECT variety, CAST(bar AS DATE) AS day, max(level) AS day_level FROM held GROUP BY ALL")
 
 
 def cvar(source: str, by: list[str], alphas: tuple[float, ...] = (0.95,)) -> str:
@@ -334,7 +366,8 @@ def exposure(h: int, level: int) -> str:
 SELECT d.variety, d.day, ret, day_level, {h} AS h, {level} AS level,
        CASE WHEN coalesce(max(day_level) OVER (PARTITION BY d.variety ORDER BY date_diff('day', DATE '1970-01-01', d.day)
             RANGE BETWEEN {h} PRECEDING AND 1 PRECEDING), 0) >= {level} THEN 0 ELSE 1 END AS exposure
-FROM daily d LEFT JOIN alert_levels a ON d.variety = a.variety AND d.day = a.day"""
+FROM (SELECT coalesce(d.variety, a.variety) AS variety, coalesce(d.day, a.day) AS day, ret, day_level, d.day IS NOT NULL AS priced
+      FROM daily d FULL JOIN alert_levels a ON d.variety = a.variety AND d.day = a.day) d QUALIFY priced"""
 
 
 table("exposed", exposure(3, 2))
@@ -369,13 +402,13 @@ FROM (SELECT {keys}, alpha, max(cvar) FILTER (book = 'base') AS cvar_base, max(c
 
 # Graph
 
-table("warned", "SELECT z.*, s.level FROM zscores z JOIN scored s ON z.variety = s.variety AND z.bar = s.bar WHERE s.level >= 1")
+table("warned", "SELECT z.*, s.level FROM zscores z JOIN held s ON z.variety = s.variety AND z.bar = s.bar WHERE s.level >= 1")
 table(
     "triggers",
     """
 SELECT s.variety, s.bar, s.feature, CASE WHEN z > 0 THEN 'up' ELSE 'down' END AS direction, size
 FROM sizes s JOIN cuts c ON s.variety = c.variety AND s.feature = c.feature
-JOIN scored l ON l.variety = s.variety AND l.bar = s.bar WHERE l.level >= 1 AND size > cut_1""",
+JOIN held l ON l.variety = s.variety AND l.bar = s.bar WHERE l.level >= 1 AND size > cut_1""",
 )
 apart = " + ".join(f"(coalesce(a.z_{c}, 0) - coalesce(b.z_{c}, 0)) ** 2" for c in FEATURES)
 table(
@@ -400,7 +433,7 @@ table(
 SELECT b.*, CASE WHEN level = 3 THEN 'tail_risk' WHEN level = 2 AND coalesce(macro_high, false) THEN 'vol_up'
        WHEN level >= 1 THEN 'watch' ELSE 'none' END AS conclusion
 FROM (SELECT q.variety, q.bar, q.level, q.pattern, m.obs_date, m.macro_index, m.macro_high
-      FROM (SELECT z.variety, z.bar, s.level, {PATTERN} FROM zscores z JOIN scored s ON z.variety = s.variety AND z.bar = s.bar) q
+      FROM (SELECT z.variety, z.bar, s.level, {PATTERN} FROM zscores z JOIN held s ON z.variety = s.variety AND z.bar = s.bar) q
       ASOF LEFT JOIN macro_states m ON CAST(q.bar AS DATE) > m.obs_date) b""",
 )
 table("explained", "SELECT * FROM concluded WHERE level >= 1")
@@ -485,27 +518,28 @@ FROM {GRID} LEFT JOIN {SEEN} GROUP BY ALL""",
 oracle("p2_missing_bars", f"SELECT g.variety, CAST(g.bar AS DATE) AS day, g.bar FROM {GRID} LEFT JOIN {SEEN} WHERE q.bar IS NULL")
 table("kept", "SELECT * FROM quotes WHERE tenor_days > 0 AND open_interest >= 110 AND bid_size + ask_size >= 6")
 feature_tables("_kept", "kept")
-oracle(
-    "p3_align_quality",
-    " UNION ALL ".join(
+for _name, _other in (("p3_align_quality", "features_kept"), ("p3b_align_quality", "features_b")):
+    oracle(_name, " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(*) FILTER (a.variety IS NOT NULL AND b.variety IS NOT NULL) AS n_matched,
 count(*) FILTER (b.variety IS NULL) AS n_left_only, count(*) FILTER (a.variety IS NULL) AS n_right_only, count(a.{c} - b.{c}) AS n_compared,
 count(*) FILTER (abs(a.{c} - b.{c}) <= 1e-6) AS n_within, {rnd(f"max(abs(a.{c} - b.{c}))", 6, "max_abs_diff")}
-FROM features a FULL JOIN features_kept b ON a.variety = b.variety AND a.bar = b.bar"""
+FROM features a FULL JOIN {_other} b ON a.variety = b.variety AND a.bar = b.bar"""
         for c in FEATURES
-    ),
-)
+    ))
 BROKEN = {
+    "price_unknown": "(price IS NULL OR isnan(price))",
     "price_not_positive": "price <= 0",
     "expired": "tenor_days <= 0",
     "thin_open_interest": "open_interest < 110",
     "thin_book": "bid_size + ask_size < 6",
 }
-oracle(
-    "p4_validate",
-    " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER ({r}) AS n_rows FROM priced" for n, r in BROKEN.items())
-    + f" UNION ALL SELECT '(clean)', count(*) FILTER (NOT ({' OR '.join(BROKEN.values())})) FROM priced",
-)
+NONE_BROKEN = " AND ".join(f"coalesce(NOT ({r}), true)" for r in BROKEN.values())
+for _name, _source in (("p4_validate", "priced"), ("p4b_validate", "priced_b")):
+    oracle(
+        _name,
+        " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER ({r}) AS n_rows FROM {_source}" for n, r in BROKEN.items())
+        + f" UNION ALL SELECT '(clean)', count(*) FILTER ({NONE_BROKEN}) FROM {_source}",
+    )
 oracle(
     "p4_violations",
     " UNION ALL ".join(f"SELECT quote_id, '{n}' AS rule FROM priced WHERE {r}" for n, r in BROKEN.items()),
@@ -539,15 +573,11 @@ oracle("g1_select_atm", f"SELECT variety, bar, tenor_days, cp, quote_id, {rnds([
 oracle("g2_greeks", f"SELECT quote_id, {rnds(GREEKS, 6)} FROM priced")
 oracle("g3_hhi", f"SELECT variety, bar, {rnd('hhi')}, n_parts FROM hhi")
 oracle("g4_build_greeks", f"SELECT variety, bar, {rnds(GREEK_COLUMNS, 6)} FROM greek")
-table("bid_quotes", "SELECT * FROM quotes WHERE bid_size > 5")
-table("ask_quotes", "SELECT * FROM quotes WHERE ask_size > 5")
-feature_tables("_bid", "bid_quotes")
-greek_tables("_ask", "ask_quotes")
 oracle(
     "g5_join_features",
     f"""SELECT coalesce(f.variety, g.variety) AS variety, coalesce(f.bar, g.bar) AS bar, {rnds(FEATURES + GREEK_COLUMNS, 6)},
 f.variety IS NOT NULL AS has_features, g.variety IS NOT NULL AS has_greeks
-FROM features_bid f FULL JOIN greek_ask g ON f.variety = g.variety AND f.bar = g.bar""",
+FROM features f FULL JOIN greek_b g ON f.variety = g.variety AND f.bar = g.bar""",
 )
 
 # Events
@@ -556,9 +586,9 @@ oracle("e1_fuse_events", "SELECT * FROM fused")
 oracle("e2_label_bars", "SELECT variety, bar, label FROM labelled")
 oracle(
     "e3_event_coverage",
-    """SELECT v.variety, s.source, min(start_ts) AS first_start, max(start_ts) AS last_start, count(start_ts) AS n_events
-FROM (SELECT DISTINCT variety FROM quotes) v CROSS JOIN (VALUES ('named'), ('market')) s(source)
-LEFT JOIN exo e ON e.variety = v.variety AND e.source = s.source GROUP BY ALL""",
+    """SELECT variety, source, min(start_ts) AS first_start, max(start_ts) AS last_start, count(start_ts) AS n_events
+FROM (SELECT v.variety, s.source FROM (SELECT DISTINCT variety FROM quotes) v CROSS JOIN (VALUES ('named'), ('market')) s(source))
+FULL JOIN exo USING (variety, source) GROUP BY ALL""",
 )
 
 # Rule warnings and backtest
@@ -569,13 +599,13 @@ oracle("w3_debounce", "SELECT * FROM held")
 oracle("w4_episodes", runs("held", "variety"))
 oracle(
     "w5_systemic",
-    "SELECT bar, count(*) FILTER (level >= 1) AS n_varieties, count(*) FILTER (level >= 1) >= 3 AS is_systemic FROM scored GROUP BY bar",
+    "SELECT bar, count(*) FILTER (level >= 1) AS n_varieties, count(*) FILTER (level >= 1) >= 3 AS is_systemic FROM held GROUP BY bar",
 )
 oracle(
     "w6_match_events",
     f"""SELECT variety, warned_at, start_ts, end_ts, {rnd(LEAD, 6, "lead_minutes")},
 round(max({LEAD}) OVER (PARTITION BY variety, start_ts, end_ts), 6) AS first_lead_minutes
-FROM (SELECT w.variety, w.start_bar AS warned_at, e.start_ts, e.end_ts FROM runs_raw w JOIN fused e
+FROM (SELECT w.variety, w.start_bar AS warned_at, e.start_ts, e.end_ts FROM runs_held w JOIN fused e
       ON w.variety = e.variety AND w.start_bar BETWEEN e.start_ts - INTERVAL 4 HOURS AND e.end_ts)""",
 )
 TRACK = "CASE WHEN variety = -1 THEN 'system' ELSE 'variety' END AS track"
@@ -601,7 +631,7 @@ LATER = f"bar >= TIMESTAMP '{SPLIT}'"
 oracle(
     "a5_double_confirm",
     f"""SELECT l.variety, l.bar, l.score, s.level AS rule_level, t.tau_star, l.score >= t.tau_star AND s.level >= 1 AS alert
-FROM labelled l JOIN scored s ON l.variety = s.variety AND l.bar = s.bar JOIN stars t ON t.variety = l.variety WHERE l.{LATER}""",
+FROM labelled l JOIN held s ON l.variety = s.variety AND l.bar = s.bar JOIN stars t ON t.variety = l.variety WHERE l.{LATER}""",
 )
 F1 = "2 * count(*) FILTER ({a} AND label = 1) / nullif(CAST(count(*) FILTER ({a}) + count(*) FILTER (label = 1) AS DOUBLE), 0)"
 oracle(
@@ -680,11 +710,21 @@ ORDER BY md5({moment("bar")}), {moment("bar")}) AS nth FROM explained) WHERE nth
 
 oracle(
     "v1_level_heatmap",
-    f"""SELECT CAST(bar AS DATE) AS day, {", ".join(f"max(level) FILTER (variety = {v}) AS v{v}" for v in VARIETIES)} FROM scored GROUP BY ALL""",
+    "SELECT CAST(bar AS DATE) AS day, variety, max(level) AS peak_level FROM held GROUP BY ALL",
 )
-oracle("v2_latest_status", "SELECT variety, max(bar) AS bar, arg_max(level, bar) AS level FROM scored GROUP BY variety")
-oracle("v3_top_warnings", "SELECT * FROM runs_raw ORDER BY peak_level DESC, n_bars DESC, start_bar, variety LIMIT 10")
+oracle("v2_latest_status", "SELECT variety, max(bar) AS bar, arg_max(level, bar) AS level FROM held GROUP BY variety")
+oracle("v3_top_warnings", "SELECT * FROM runs_held ORDER BY peak_level DESC, n_bars DESC, start_bar, variety LIMIT 10")
 oracle(
     "v4_level_counts",
-    "SELECT variety, level, count(*) AS n_bars, CAST(grouping(variety, level) AS INT) AS grouping_level FROM scored GROUP BY ROLLUP (variety, level)",
+    "SELECT variety, level, count(*) AS n_bars, CAST(grouping(variety, level) AS INT) AS grouping_level FROM held GROUP BY ROLLUP (variety, level)",
 )
+
+# The second derived quote table
+
+oracle("f2b_black76_price", f"SELECT quote_id, {rnd('price', 6)} FROM priced_b")
+for _c in ("atm_iv", "skew", "curvature", "term_slope"):
+    oracle(f"f{5 + FEATURES.index(_c)}b_feat_{_c}", f"SELECT variety, bar, {rnd(_c)} FROM features_b")
+oracle("f16b_build_features", f"SELECT variety, bar, {rnds(FEATURES)} FROM features_b")
+oracle("f17b_rolling_zscore", f"SELECT variety, bar, {rnds([f'z_{c}' for c in FEATURES], 6)} FROM zscores_b")
+oracle("g4b_build_greeks", f"SELECT variety, bar, {rnds(GREEK_COLUMNS, 6)} FROM greek_b")
+oracle("k5b_market_pattern", f"SELECT variety, bar, {PATTERN} FROM zscores_b")

@@ -19,7 +19,6 @@ from tailward.session import stage
 from tailward.sources import fixture
 
 SPLIT = "2024-01-22 00:00:00"  # of the derived inputs: cuts, model and thresholds see only bars before it
-VARIETIES = [0, 1, 2, 3, 4, 5]
 SOURCES = ["named", "market"]
 
 
@@ -29,12 +28,18 @@ Z_SCORES = [f"z_{c}" for c in features.FEATURES]
 class Products:
     """``quotes``, ``exo`` and ``macro`` follow ``tailward.schemas``; ``split`` ends the training period."""
 
-    def __init__(self, quotes: DataFrame, exo: DataFrame, macro: DataFrame, split: str):
+    def __init__(self, quotes: DataFrame, exo: DataFrame, macro: DataFrame, split: str, sf_dir: str = ""):
         self.spark, self.quotes, self.exo, self.macro, self.split = quotes.sparkSession, quotes, exo, macro, split
+        self.sf_dir = sf_dir  # of the derived inputs
 
     @classmethod
     def of_fixture(cls, spark: SparkSession, sf_dir: str) -> Products:
-        return cls(fixture.quotes(spark, sf_dir), fixture.exo_events(spark, sf_dir), fixture.macro(spark, sf_dir), SPLIT)
+        return cls(fixture.quotes(spark, sf_dir), fixture.exo_events(spark, sf_dir), fixture.macro(spark, sf_dir), SPLIT, sf_dir)
+
+    @classmethod
+    def of_uneven_fixture(cls, spark: SparkSession, sf_dir: str) -> Products:
+        """Quotes with irregular tenors, bent smiles, gaps, zero strikes and unknown volatilities."""
+        return cls(fixture.uneven_quotes(spark, sf_dir), fixture.exo_events(spark, sf_dir), fixture.macro(spark, sf_dir), SPLIT, sf_dir)
 
     def training(self, df: DataFrame, ts: str = "bar") -> DataFrame:
         return df.where(F.col(ts) < F.lit(self.split).cast("timestamp_ntz"))
@@ -65,11 +70,13 @@ class Products:
 
     @cached_property
     def raw_levels(self) -> DataFrame:
-        return warnings.score_levels(self.scored, self.cuts, features.FEATURES)
+        """Levels before debouncing, in ``level`` and ``raw_level``."""
+        raw = warnings.score_levels(self.scored, self.cuts, features.FEATURES)
+        return raw.withColumn("raw_level", F.col("level"))
 
     @cached_property
     def levels(self) -> DataFrame:
-        """Debounced levels with the features they rest on."""
+        """Debounced levels, on which all that follows rests, with the features they rest on and the raw level."""
         return stage(warnings.debounce(self.raw_levels), "levels")
 
     @cached_property
@@ -106,20 +113,25 @@ class Products:
     @cached_property
     def adaptive_alerts(self) -> DataFrame:
         """Alerts of the scored period: the model's threshold from the training period, confirmed by the rules."""
-        return adaptive.double_confirm(self.later(self.model_scored), self.raw_levels, self.model_taus)
+        return adaptive.double_confirm(self.later(self.model_scored), self.levels, self.model_taus)
 
     @cached_property
     def daily(self) -> DataFrame:
+        """Written, as every risk table starts from it."""
+        return stage(self._daily, "daily")
+
+    @cached_property
+    def _daily(self) -> DataFrame:
         return tailrisk.log_returns(tailrisk.daily_closes(self.quotes), ts="day")
 
     @cached_property
     def exposed(self) -> DataFrame:
-        return tailrisk.de_expose(self.daily, tailrisk.alert_days(self.raw_levels))
+        return tailrisk.de_expose(self.daily, tailrisk.alert_days(self.levels))
 
     @cached_property
     def warned(self) -> DataFrame:
-        """Bars at level 1 or above before debouncing: what the graph explains."""
-        return stage(self.raw_levels.where(F.col("level") >= 1), "warned")
+        """Bars at level 1 or above: what the graph explains."""
+        return stage(self.levels.where(F.col("level") >= 1), "warned")
 
     @cached_property
     def triggers(self) -> DataFrame:

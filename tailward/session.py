@@ -32,9 +32,11 @@ def scratch(spark: SparkSession) -> str:
     if root:
         return root
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return _local_scratch.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tailward-"))
+    if context.applicationId not in _local_scratch:
+        _local_scratch[context.applicationId] = tempfile.mkdtemp(prefix="tailward-")
+    return _local_scratch[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -51,8 +53,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Repartition by ``key`` only when the scan gives fewer partitions than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EXCHANGE_DIR = r"/(?:exchange=)?([A-Z]{2,4})/[^/]*$"
+EXCHANGE_DIR = r"/(?:exchange=)?([A-Z]{2,4})/"  # the first folder below the root
 
 
 def read_archive(spark: SparkSession, root: str, schema: T.StructType, exchange_pattern: str = EXCHANGE_DIR) -> DataFrame:
-    """Every Parquet file below ``root`` as one table, with ``exchange`` taken from the path.
+    """Every Parquet file below ``root`` as one table, with ``exchange`` taken from the first folder below it.
 
     Small files are packed into tasks by ``spark.sql.files.maxPartitionBytes``; the
-    path comes from file metadata, so it costs no extra column read.
+    path comes from file metadata, so it costs no extra column read. The files' own
+    schemas are compared with ``schema`` and their paths with the pattern before any row
+    is read: a missing column, another type or a path without an exchange is an error.
     """
-    files = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(root)
+    reader = spark.read.option("recursiveFileLookup", "true")
+    stored = reader.option("mergeSchema", "true").parquet(root)
+    check_schema(stored, schema)
+    below = re.escape(re.sub(r"^[a-z][a-z0-9+.-]*:/*", "/", root).rstrip("/")) + exchange_pattern
+    unmatched = [f for f in stored.inputFiles() if not re.search(below, f)]
+    if unmatched:
+        raise ValueError(f"no exchange in the path of {len(unmatched)} files, e.g. {unmatched[0]}")
+    files = reader.schema(schema).parquet(root)
     path = F.col("_metadata.file_path")
-    return files.select(*schema.fieldNames(), F.regexp_extract(path, exchange_pattern, 1).alias("exchange"))
+    return files.select(*schema.fieldNames(), F.regexp_extract(path, below, 1).alias("exchange"))
 
 
 def check_schema(df: DataFrame, schema: T.StructType) -> None:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailward.session import spread
 
 
 def _k() -> F.Column:
@@ -30,7 +29,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
             for p in (0, 1)
         ]
     )
-    snaps = spread(_events(spark, sf_dir).select("event_id", "ts", "user_id", "value", "props"), "event_id").select(
+    snaps = _events(spark, sf_dir).select("event_id", "ts", "user_id", "value", "props").repartition("event_id").select(
         "event_id", "ts", _variety(), (F.lit(100.0) + F.col("value") / 10).alias("fwd"), _k().alias("k")
     )
     m, p, tenor, eid = F.col("m"), F.col("p"), F.col("tenor_days"), F.col("event_id")
@@ -60,6 +59,42 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def uneven_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the events, each a snapshot of 7 strikes and 2 tenors that differ from event to event.
+
+    Volatility bends by event over moneyness and tenor; some are unknown, and some strikes are zero.
+    """
+    legs = F.array(*[F.struct(F.lit(i).alias("m"), F.lit(t).alias("t"), F.lit(p).alias("p")) for i in range(-3, 4) for t in (0, 1) for p in (0, 1)])
+    events = _events(spark, sf_dir).where(F.col("event_id") % 3 != 0).select("event_id", "ts", "user_id", "value", "props")
+    snaps = events.repartition("event_id").select("event_id", "ts", _variety(), (F.lit(100.0) + F.col("value") / 10).alias("fwd"), _k().alias("k"))
+    m, p, t, eid, k = F.col("m"), F.col("p"), F.col("t"), F.col("event_id"), F.col("k")
+    tenor = F.when(t == 0, 20 + eid % 3 * 7).otherwise(85 + eid % 4 * 6).cast("int")
+    smile = (
+        F.lit(0.2)
+        + k.cast("double") / 1000
+        - (m * (1 + k % 7)).cast("double") / 300
+        + (m * m * (1 + k % 5)).cast("double") / 900
+        + (t * (k % 11 - 5)).cast("double") / 400
+        + (p * (k % 3)).cast("double") / 500
+    )
+    return snaps.select("*", F.inline(legs)).select(
+        (eid * 28 + (m + 3) * 4 + t * 2 + p).alias("quote_id"),
+        "ts",
+        "variety",
+        "fwd",
+        tenor.alias("tenor_days"),
+        F.when(p == 0, "C").otherwise("P").alias("cp"),
+        m.alias("mny_idx"),
+        F.when((eid % 101 == 0) & (m == -3), F.lit(0.0)).otherwise(F.col("fwd") * (F.lit(1.0) + m.cast("double") / 20)).alias("strike"),
+        F.when(~((eid % 17 == 0) & (m == 2)), smile).alias("iv"),
+        (1 + (eid * 31 + (m + 3) * 17 + t + p * 41) % 97).alias("volume"),
+        (100 + (eid * 7 + (m + 3) * 13 + t + p * 59) % 997).alias("open_interest"),
+        (1 + (eid * 5 + m + 3) % 50).alias("bid_size"),
+        (1 + (eid * 3 + (m + 3) * 7 + p * 11) % 50).alias("ask_size"),
+        F.when(eid % 13 == 0, 1).otherwise((eid * 11 + (m + 3) * 5 + p * 2 + t) % 3 - 1).cast("int").alias("side"),
+    )
+
+
 def exo_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         _events(spark, sf_dir)
