@@ -9,7 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tailward import schemas
+from tailward.functions.normal import norm_cdf
 from tailward.operators import adaptive, bars, events, features, graph, greeks, pricing, profiling, tailrisk, views, warnings
+from tailward.plans.catalog import rules
+from tailward.plans.products import Products
 from tailward.sources import archive, fixture
 
 T0 = datetime(2024, 1, 1, 9)
@@ -41,11 +44,19 @@ def test_archive_takes_the_exchange_from_the_path(spark, tmp_path, table):
     for i, code in enumerate(["SF", "INE"]):
         table(quote(i, 0)).write.parquet(str(tmp_path / code / "2024"))
     table(quote(9, 0)).write.parquet(str(tmp_path / "exchange=GF"))
-    pattern = r"/(?:exchange=)?([A-Z]{2,4})/"
-    df = archive.read_archive(spark, str(tmp_path), schemas.QUOTES, pattern)
+    df = archive.read_archive(spark, str(tmp_path), schemas.QUOTES)
     assert {(r.quote_id, r.exchange) for r in df.collect()} == {(0, "SF"), (1, "INE"), (9, "GF")}
 
 
+def test_archive_refuses_what_it_cannot_place(spark, tmp_path, table):
+    table(quote(1, 0)).write.parquet(str(tmp_path / "a" / "2024" / "01"))
+    with pytest.raises(ValueError, match="no exchange"):
+        archive.read_archive(spark, str(tmp_path / "a"), schemas.QUOTES)
+    table(quote(1, 0)).drop("iv").write.parquet(str(tmp_path / "b" / "SF"))
+    with pytest.raises(ValueError, match="iv"):
+        archive.read_archive(spark, str(tmp_path / "b"), schemas.QUOTES)
+
+
 def test_schema_check(table):
     archive.check_schema(table(quote(1, 0)), schemas.QUOTES)
     with pytest.raises(ValueError, match="iv"):
@@ -54,6 +65,7 @@ def test_schema_check(table):
 
 def test_fixtures_follow_their_schemas(spark, sf_dir):
     archive.check_schema(fixture.quotes(spark, sf_dir), schemas.QUOTES)
+    archive.check_schema(fixture.uneven_quotes(spark, sf_dir), schemas.QUOTES)
     archive.check_schema(fixture.exo_events(spark, sf_dir), schemas.EVENTS)
     archive.check_schema(fixture.macro(spark, sf_dir), schemas.MACRO)
 
@@ -115,7 +127,45 @@ def test_price_is_close_to_the_closed_form(table):
     sd = 0.25 * math.sqrt(30 / 365)
     d1 = math.log(100 / 105) / sd + sd / 2
     cdf = lambda x: 0.5 * math.erfc(-x / math.sqrt(2))
-    assert row.price == pytest.approx(100 * cdf(d1) - 105 * cdf(d1 - sd), abs=2e-5)
+    assert row.price == pytest.approx(100 * cdf(d1) - 105 * cdf(d1 - sd), abs=1e-12)
+
+
+def test_normal_distribution_in_double_precision(spark):
+    xs = [k / 8 for k in range(-80, 81)] + [7.07, 7.08, -7.07, -7.08, -20.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", norm_cdf(F.col("x")).alias("p"))
+    for r in df.collect():
+        assert r.p == pytest.approx(0.5 * math.erfc(-r.x / math.sqrt(2)), rel=1e-9, abs=1e-15)
+
+
+def test_rows_without_a_price_are_null_and_counted(table):
+    df = pricing.black76_price(table(quote(1, 0), quote(2, 0), quote(3, 0, iv=None)).withColumn("strike", F.when(F.col("quote_id") == 1, 0.0).otherwise(100.0)))
+    got = {r.quote_id: r.price for r in df.collect()}
+    assert got[1] is None and got[3] is None and got[2] > 0
+    counts = {r.rule: r.n_rows for r in profiling.rule_counts(df, rules(priced=True)).collect()}
+    assert counts["price_unknown"] == 2 and counts["price_not_positive"] == 0
+
+
+def test_implied_vol_is_null_beyond_the_bracket(table):
+    df = pricing.black76_price(table(quote(1, 0, iv=6.0), quote(2, 0, iv=0.00005), quote(3, 0, iv=0.3)))
+    got = {r.quote_id: r.implied_vol for r in pricing.implied_vol(df).collect()}
+    assert got[1] is None and got[2] is None and got[3] == pytest.approx(0.3, abs=1e-9)
+
+
+def test_near_and_far_are_the_nearest_listed_tenors(table):
+    rows = [quote(k, 0, tenor=t, iv=iv) for k, (t, iv) in enumerate([(28, 0.9), (33, 0.2), (40, 0.8), (88, 0.7), (95, 0.26), (120, 0.5)])]
+    row = one(features.build_features(table(*rows), only=["atm_iv", "term_slope"]))
+    assert row.atm_iv == pytest.approx(0.2) and row.term_slope == pytest.approx(0.06)
+    other = one(features.build_features(table(*rows), only=["atm_iv"], near=34))
+    assert other.atm_iv == pytest.approx(0.8)
+    assert one(features.build_features(table(*rows), only=["atm_iv"], near=121)).atm_iv is None
+
+
+def test_uneven_quotes_exercise_every_feature_and_pattern(spark):
+    p = Products.of_uneven_fixture(spark, "/root/testdata/sf0.01")
+    distinct = p.features.agg(*[F.count_distinct(F.round(c, 6)).alias(c) for c in features.FEATURES]).first()
+    assert all(distinct[c] > 1 for c in features.FEATURES)
+    patterns = {r.pattern for r in graph.market_pattern(p.scored).select("pattern").distinct().collect()}
+    assert patterns == {"skew_steep", "term_inverted", "wing_rich", "flow_shock", "calm"}
 
 
 def test_implied_vol_is_null_outside_the_bounds(table):
@@ -223,6 +273,12 @@ def test_coverage_shows_zero_cells(spark):
     assert got == {(0, "named"): 1, (0, "market"): 0, (1, "named"): 0, (1, "market"): 0}
 
 
+def test_coverage_shows_unlisted_sources_and_keys(spark):
+    e = spark.createDataFrame([(0, at(0), "regulator"), (9, at(0), "named")], "variety int, start_ts timestamp_ntz, source string")
+    got = {(r.variety, r.source): r.n_events for r in events.event_coverage(e, spark.createDataFrame([(0,)], "variety int"), ["named"]).collect()}
+    assert got == {(0, "named"): 0, (0, "regulator"): 1, (9, "named"): 1}
+
+
 # Warnings
 
 
@@ -237,6 +293,9 @@ def test_levels_grow_with_every_feature(spark):
     rows = [(0, 0.5, 9.0, None), (0, 1.0, 9.0, None), (0, 1.1, 9.0, None), (0, -2.5, 9.0, 0.0), (0, 4.0, -9.0, 0.0)]
     df = spark.createDataFrame(rows, "variety int, z_a double, z_b double, z_c double")
     assert [r.level for r in warnings.score_levels(df, cuts, cols).collect()] == [0, 0, 1, 2, 3]
+    stranger = one(warnings.score_levels(df.limit(1).withColumn("variety", F.lit(7)), cuts, cols))
+    assert stranger.level is None and stranger.no_cuts
+    assert one(warnings.debounce(levels(spark, None))).level is None
 
 
 def test_debounce(spark):
@@ -335,6 +394,13 @@ def test_exposure_ends_after_h_days(spark):
     assert [r.exposure for r in got] == [1, 1, 0, 0, 1]
 
 
+def test_an_alert_on_a_day_without_a_price_counts(spark):
+    alerts = spark.createDataFrame([(0, date(2024, 1, 6), 3)], "variety int, day date, day_level int")
+    returns = spark.createDataFrame([(0, date(2024, 1, d), 0.1) for d in (5, 8, 9)], "variety int, day date, ret double")
+    got = tailrisk.de_expose(returns, alerts, h=2).orderBy("day").collect()
+    assert [(r.day.day, r.exposure) for r in got] == [(5, 1), (8, 0), (9, 1)]
+
+
 def test_improvement_per_convention(spark):
     alerts = spark.createDataFrame([(0, date(2024, 1, 3), 3)], "variety int, day date, day_level int")
     exposed = tailrisk.de_expose(daily(spark, 0.01, -0.01, 0.0, -0.5, 0.02), alerts, h=1)
@@ -411,8 +477,7 @@ def test_sample_is_stable_and_per_stratum(spark):
 def test_dashboard_tables(spark):
     df = levels(spark, 0, 2, 1).unionByName(levels(spark, 3, variety=1))
     assert {r.variety: (r.bar, r.level) for r in views.latest_status(df).collect()} == {0: (at(30), 1), 1: (at(0), 3)}
-    heat = one(views.level_heatmap(df, [0, 1, 2]))
-    assert (heat.v0, heat.v1, heat.v2) == (2, 3, None)
+    assert {(r.variety, r.peak_level) for r in views.level_heatmap(df).collect()} == {(0, 2), (1, 3)}
     total = one(views.level_counts(df).where("grouping_level = 3"))
     assert total.n_bars == 4
     assert [r.peak_level for r in views.top_warnings(warnings.episodes(df), 1).collect()] == [3]

@@ -10,8 +10,8 @@ from tailward.sources import archive, fixture
 
 
 def test_products_from_an_archive(spark, sf_dir, tmp_path):
-    root, out = str(tmp_path / "archive" / "SF"), str(tmp_path / "out")
-    fixture.quotes(spark, sf_dir).write.parquet(root)
+    root, out = str(tmp_path / "archive"), str(tmp_path / "out")
+    fixture.quotes(spark, sf_dir).write.parquet(f"{root}/SF/2024")
     stored = archive.read_archive(spark, root, schemas.QUOTES)
     write_products(Products(stored, fixture.exo_events(spark, sf_dir), fixture.macro(spark, sf_dir), SPLIT), out)
 
@@ -28,3 +28,7 @@ def test_products_from_an_archive(spark, sf_dir, tmp_path):
     sample = spark.read.json(f"{out}/explanation_sample")
     assert sample.groupBy("variety", "level").count().where("count > 2").count() == 0
     assert spark.read.json(f"{out}/latest_status").count() == 6
+    assert spark.read.json(f"{out}/robust_grid").count() == 3 * 3 * 3 * 3
+    for name in ("level_heatmap", "level_counts", "tau_sweep", "coverage"):
+        assert not spark.read.json(f"{out}/{name}").isEmpty()
+    assert not spark.read.parquet(f"{out}/fused_events").isEmpty()
