@@ -32,12 +32,35 @@ def bc_fit(df: DataFrame, features: list[str], label: str = "label", reg: float
 
 
 def bc_coefficients(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """The fitted weights, one row per feature, with the intercept."""
+    """The fitted weights, one row per z-score of ``df``, with the intercept; null for a feature that had no value to learn from."""
     lr, names = model.stages[-1], model.stages[0].getInputCols()
     rows = [(n.removeprefix("z_"), float(w)) for n, w in zip(names, lr.coefficients)] + [("(intercept)", float(lr.intercept))]
+    rows += [(c.removeprefix("z_"), None) for c in df.columns if c.startswith("z_") and c not in names]
     return df.sparkSession.createDataFrame(rows, "feature string, weight double")
 
 
+def bc_gradient(model: PipelineModel, df: DataFrame, label: str = "label") -> DataFrame:
+    """Gradient of the regularised mean log loss at the fitted weights, one row per weight: near zero if the fit is done."""
+    lr, names = model.stages[-1], model.stages[0].getInputCols()
+    lost = F.get(vector_to_array("_prob"), F.lit(1)) - F.col(label).cast("double")
+    x = vector_to_array("_scaled")
+    terms = [F.avg(lost * F.get(x, F.lit(i))) + F.lit(lr.getRegParam() * float(w)) for i, w in enumerate(lr.coefficients)]
+    cells = [F.struct(F.lit(n.removeprefix("z_")).alias("feature"), t.alias("gradient")) for n, t in zip(names, terms, strict=True)]
+    cells.append(F.struct(F.lit("(intercept)").alias("feature"), F.avg(lost).alias("gradient")))
+    return model.transform(df).agg(F.array(*cells).alias("rows")).select(F.inline("rows"))
+
+
+def bc_score_by_weights(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
+    """The probability of the label written out: medians for missing values, scaling, weights, logistic curve."""
+    imputer, _, scaler, lr = model.stages
+    medians = imputer.surrogateDF.first()
+    total = F.lit(float(lr.intercept))
+    for c, mean, std, w in zip(imputer.getInputCols(), scaler.mean, scaler.std, lr.coefficients, strict=True):
+        filled = F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(float(medians[c])))
+        total = total + (filled - float(mean)) * (float(w) / float(std) if std else 0.0)
+    return df.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-total)))
+
+
 def bc_score(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
     """Add the probability of the label."""
     keep = df.columns

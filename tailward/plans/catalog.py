@@ -300,6 +300,24 @@ def _(p: Products) -> DataFrame:
     return rounded(scored.select("variety", "bar", "score"), ["score"], 6)
 
 
+@query("a1_bc_gradient")
+def _(p: Products) -> DataFrame:
+    found = adaptive.bc_gradient(p.model, p.training(p.labelled))
+    return found.select("feature", (F.abs("gradient") < 1e-4).alias("at_optimum"))
+
+
+@query("a2_bc_score_by_weights")
+def _(p: Products) -> DataFrame:
+    both = adaptive.bc_score_by_weights(p.model, adaptive.bc_score(p.model, p.later(p.scored)), "written_out")
+    return both.select("variety", "bar", (F.abs(F.col("score") - F.col("written_out")) < 1e-9).alias("agrees"))
+
+
+@query("a5_adaptive_rule")
+def _(p: Products) -> DataFrame:
+    rule = (F.col("score") >= F.col("tau_star")) & (F.col("rule_level") >= 1)
+    return p.adaptive_alerts.select("variety", "bar", "rule_level", (F.col("alert") == rule).alias("follows_rule"))
+
+
 def _sweep(p: Products) -> DataFrame:
     return adaptive.tau_sweep(p.training(p.labelled).select("variety", "score", "label"))
 
@@ -435,11 +453,10 @@ def _(p: Products) -> DataFrame:
 
 @query("k11_kg_audit")
 def _(p: Products) -> DataFrame:
-    # Analogues and macro observations left out, and edges to conclusions: both kinds of problem appear.
-    nodes, edges = p.graph
-    return graph.kg_audit(
-        nodes.where(~F.col("type").isin(graph.ANALOGUE, graph.MACRO)), edges.where(F.col("relation") != "concludes")
-    )
+    # Edges whose triggers come from the other quote table: every kind of problem appears.
+    uneven = Products.of_uneven_fixture(p.spark, p.sf_dir)
+    explained, _, analogues = p.layers
+    return graph.kg_audit(p.nodes, graph.kg_edges(explained, uneven.triggers, analogues))
 
 
 @query("k12_stratified_sample")

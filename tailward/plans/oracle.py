@@ -222,32 +222,37 @@ greek_tables("_b", "quotes_b")
 
 # Warnings
 
-sizes = " UNION ALL ".join(
-    f"SELECT variety, bar, '{c}' AS feature, z_{c} AS z, round(abs(z_{c}), 6) AS size FROM zscores" for c in FEATURES
-)
-table("sizes", sizes)
-table(
-    "cuts",
-    f"""
+def level_tables(tag: str) -> None:
+    sizes = " UNION ALL ".join(
+        f"SELECT variety, bar, '{c}' AS feature, z_{c} AS z, round(abs(z_{c}), 6) AS size FROM zscores{tag}" for c in FEATURES
+    )
+    table(f"sizes{tag}", sizes)
+    table(
+        f"cuts{tag}",
+        f"""
 SELECT variety, feature, {", ".join(f"round(quantile_cont(size, {q}), 9) AS cut_{i + 1}" for i, q in enumerate(CUT_QUANTILES))}
-FROM sizes WHERE bar < TIMESTAMP '{SPLIT}' GROUP BY variety, feature""",
-)
-table(
-    "scored",
-    """
+FROM sizes{tag} WHERE bar < TIMESTAMP '{SPLIT}' GROUP BY variety, feature""",
+    )
+    table(
+        f"scored{tag}",
+        f"""
 SELECT * REPLACE (CASE WHEN NOT no_cuts THEN level END AS level)
 FROM (SELECT *, CAST(CASE WHEN hits_3 >= 2 THEN 3 WHEN hits_2 >= 2 THEN 2 WHEN hits_1 >= 2 THEN 1 ELSE 0 END AS INT) AS level
 FROM (SELECT s.variety, s.bar, CAST(count(*) FILTER (size > cut_1) AS INT) AS hits_1,
              CAST(count(*) FILTER (size > cut_2) AS INT) AS hits_2, CAST(count(*) FILTER (size > cut_3) AS INT) AS hits_3,
              bool_and(c.variety IS NULL) AS no_cuts
-      FROM sizes s LEFT JOIN cuts c ON s.variety = c.variety AND s.feature = c.feature GROUP BY s.variety, s.bar))""",
-)
-table(
-    "held",
-    """
+      FROM sizes{tag} s LEFT JOIN cuts{tag} c ON s.variety = c.variety AND s.feature = c.feature GROUP BY s.variety, s.bar))""",
+    )
+    table(
+        f"held{tag}",
+        f"""
 SELECT variety, bar, CASE WHEN lag(level) OVER w IS NULL THEN 0 ELSE least(level, lag(level) OVER w) END AS level
-FROM scored WINDOW w AS (PARTITION BY variety ORDER BY bar)""",
-)
+FROM scored{tag} WINDOW w AS (PARTITION BY variety ORDER BY bar)""",
+    )
+
+
+level_tables("")
+level_tables("_b")
 
 
 def runs(source: str, keys: str) -> str:
@@ -403,13 +408,14 @@ FROM (SELECT {keys}, alpha, max(cvar) FILTER (book = 'base') AS cvar_base, max(c
 # Graph
 
 table("warned", "SELECT z.*, s.level FROM zscores z JOIN held s ON z.variety = s.variety AND z.bar = s.bar WHERE s.level >= 1")
-table(
-    "triggers",
-    """
+for _tag in ("", "_b"):
+    table(
+        f"triggers{_tag}",
+        f"""
 SELECT s.variety, s.bar, s.feature, CASE WHEN z > 0 THEN 'up' ELSE 'down' END AS direction, size
-FROM sizes s JOIN cuts c ON s.variety = c.variety AND s.feature = c.feature
-JOIN held l ON l.variety = s.variety AND l.bar = s.bar WHERE l.level >= 1 AND size > cut_1""",
-)
+FROM sizes{_tag} s JOIN cuts{_tag} c ON s.variety = c.variety AND s.feature = c.feature
+JOIN held{_tag} l ON l.variety = s.variety AND l.bar = s.bar WHERE l.level >= 1 AND size > cut_1""",
+    )
 apart = " + ".join(f"(coalesce(a.z_{c}, 0) - coalesce(b.z_{c}, 0)) ** 2" for c in FEATURES)
 table(
     "analogues",
@@ -459,18 +465,19 @@ SELECT DISTINCT md5(type || '|' || key) AS id, type, key FROM (
   SELECT 'macro', CAST(obs_date AS VARCHAR) FROM explained UNION ALL
   SELECT 'conclusion', conclusion FROM explained) WHERE key IS NOT NULL""",
 )
-table(
-    "edges",
-    f"""
+def edge_sql(triggers: str) -> str:
+    return f"""
 SELECT src, dst, relation, count(*) AS weight FROM (
-  SELECT {node("warning", moment("bar"))} AS src, {node("trigger", TRIGGER_KEY)} AS dst, 'triggered_by' AS relation FROM triggers t UNION ALL
+  SELECT {node("warning", moment("bar"))} AS src, {node("trigger", TRIGGER_KEY)} AS dst, 'triggered_by' AS relation FROM {triggers} t UNION ALL
   SELECT {node("trigger", TRIGGER_KEY)}, {node("pattern", "pattern")}, 'shapes'
-    FROM triggers t JOIN explained e ON t.variety = e.variety AND t.bar = e.bar UNION ALL
+    FROM {triggers} t JOIN explained e ON t.variety = e.variety AND t.bar = e.bar UNION ALL
   SELECT {node("warning", moment("bar"))}, {node("analogue", moment("match_bar"))}, 'resembles' FROM analogues UNION ALL
   SELECT {node("warning", moment("bar"))}, {node("macro", "CAST(obs_date AS VARCHAR)")}, 'under_macro' FROM explained WHERE obs_date IS NOT NULL UNION ALL
   SELECT {node("pattern", "pattern")}, {node("conclusion", "conclusion")}, 'concludes' FROM explained)
-GROUP BY src, dst, relation""",
-)
+GROUP BY src, dst, relation"""
+
+
+table("edges", edge_sql("triggers"))
 table(
     "reach",
     f"""
@@ -692,13 +699,12 @@ oracle(
 FROM nodes LEFT JOIN {DEGREES} d USING (id) GROUP BY ROLLUP (type) UNION ALL
 SELECT 'edge', coalesce(relation, '(all)'), count(*), CAST(sum(weight) AS BIGINT), NULL, NULL, NULL FROM edges GROUP BY ROLLUP (relation)""",
 )
-table("some_nodes", "SELECT * FROM nodes WHERE type NOT IN ('analogue', 'macro')")
-table("some_edges", "SELECT * FROM edges WHERE relation <> 'concludes'")
+table("other_edges", edge_sql("triggers_b"))
 oracle(
     "k11_kg_audit",
-    """SELECT 'missing_source' AS problem, src, dst FROM some_edges WHERE src NOT IN (SELECT id FROM some_nodes) UNION ALL
-SELECT 'missing_target', src, dst FROM some_edges WHERE dst NOT IN (SELECT id FROM some_nodes) UNION ALL
-SELECT 'node_without_edge', id, NULL FROM some_nodes WHERE id NOT IN (SELECT src FROM some_edges UNION SELECT dst FROM some_edges)""",
+    """SELECT 'missing_source' AS problem, src, dst FROM other_edges WHERE src NOT IN (SELECT id FROM nodes) UNION ALL
+SELECT 'missing_target', src, dst FROM other_edges WHERE dst NOT IN (SELECT id FROM nodes) UNION ALL
+SELECT 'node_without_edge', id, NULL FROM nodes WHERE id NOT IN (SELECT src FROM other_edges UNION SELECT dst FROM other_edges)""",
 )
 oracle(
     "k12_stratified_sample",
@@ -728,3 +734,18 @@ oracle("f16b_build_features", f"SELECT variety, bar, {rnds(FEATURES)} FROM featu
 oracle("f17b_rolling_zscore", f"SELECT variety, bar, {rnds([f'z_{c}' for c in FEATURES], 6)} FROM zscores_b")
 oracle("g4b_build_greeks", f"SELECT variety, bar, {rnds(GREEK_COLUMNS, 6)} FROM greek_b")
 oracle("k5b_market_pattern", f"SELECT variety, bar, {PATTERN} FROM zscores_b")
+
+# The fitted model: what must hold of it, as its weights have no SQL form
+
+oracle(
+    "a1_bc_gradient",
+    " UNION ALL ".join(
+        [f"SELECT '{c}' AS feature, true AS at_optimum FROM zscores WHERE bar < TIMESTAMP '{SPLIT}' HAVING count(z_{c}) > 0" for c in FEATURES]
+        + ["SELECT '(intercept)', true"]
+    ),
+)
+oracle("a2_bc_score_by_weights", f"SELECT variety, bar, true AS agrees FROM zscores WHERE {LATER}")
+oracle(
+    "a5_adaptive_rule",
+    f"SELECT variety, bar, level AS rule_level, true AS follows_rule FROM held JOIN (SELECT DISTINCT variety FROM stars) USING (variety) WHERE {LATER}",
+)

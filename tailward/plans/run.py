@@ -24,6 +24,7 @@ GRID_DAYS, GRID_ALPHAS, GRID_LEVELS = [1, 3, 5], [0.90, 0.95, 0.99], [1, 2, 3]
 def write_products(p: Products, out: str) -> None:
     """Features, Greeks, warnings, adaptive alerts, backtest, both CVaR conventions, graph, sample and status."""
     archive.write_features(p.features, f"{out}/features")
+    p.features = p.spark.read.schema(p.features.schema).parquet(f"{out}/features")  # what follows reads the product, not the quotes
     archive.write_features(p.greeks, f"{out}/greeks")
     archive.write_features(p.levels.select("variety", "bar", "hits_1", "hits_2", "hits_3", "raw_level", "level", "no_cuts"), f"{out}/warnings")
     archive.write_features(p.adaptive_alerts, f"{out}/adaptive_alerts")

@@ -10,8 +10,9 @@ from compare import connect, differences
 from conftest import ROOT
 
 import __spark_entry__ as entry_points
+from tailward.plans.catalog import QUERIES
+from tailward.plans.oracle import ORACLES as SQL
 
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
 WITHOUT_SQL = {"a1_bc_fit", "a2_bc_score", "a5_adaptive_alerts"}
 
 
@@ -25,6 +26,10 @@ def test_entry_points_load_without_a_session():
     subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT)
 
 
+def test_entry_points_hold_every_query():
+    assert QUERIES.keys() <= entry_points.queries().keys() and SQL.keys() <= entry_points.oracle_sql().keys()
+
+
 def test_every_query_has_sql():
     assert QUERIES.keys() - SQL.keys() == WITHOUT_SQL
     assert not SQL.keys() - QUERIES.keys()
