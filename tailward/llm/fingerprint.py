@@ -1,13 +1,12 @@
 """Document fingerprints that tell how much two versions share: invertible Bloom lookup sketches.
 
-A text's paragraphs (lines, cut after a sentence's end or ``WORDS`` words) are hashed;
-the set of digests goes into a small table: in each of three sub-tables a digest adds
-itself to one of ``CELLS`` cells, which keep a count, the digests' xor and the xor of their
-checks. That table, written out, is the fingerprint. The tables of two versions subtract
+A text's paragraphs (lines, cut after every ``WORDS`` words) are hashed; the set of digests
+goes into a small table: in each of three sub-tables a digest adds itself to one of
+``CELLS`` cells, which keep a count, the digests' xor and the xor of their checks. That table, written out, is the fingerprint. The tables of two versions subtract
 cell by cell, what they share cancels, and peeling the cells that hold a single digest
 recovers the digests in which they differ. If that fails, as there are more differences than
-cells can hold, it is tried again with four times as many cells (the digests dealt over
-four times as many tables), until it succeeds.
+cells can hold, it is tried again with four times as many cells: the digests of a table that
+failed are dealt over four, until every table succeeds.
 
 The likeness of two fingerprints is the number of shared digests over that of all.
 
@@ -25,12 +24,12 @@ from pyspark.sql import functions as F
 
 from .columns import let
 
-WORDS = 16
-CELLS = 16  # of each sub-table; a power of two
+WORDS = 32
+CELLS = 8  # of each sub-table; a power of two
 TABLES = 3
 ROUNDS = 16
-TRIES = 8  # with 1, 4, 16, ... tables
-_PIECE = rf"(?:[^\s]*[^\s.!?][ \t]+){{0,{WORDS - 1}}}[^\s]+"
+TRIES = 10  # with 1, 4, 16, ... tables
+_PIECE = rf"(?:[^\s]+[ \t]+){{0,{WORDS - 1}}}[^\s]+"
 _SHIFTS = (0, 21, 42)  # bits of a digest that give its cell in each sub-table; those from 6 on deal it to a table
 
 
@@ -76,22 +75,21 @@ def peel(cells: Column) -> Column:
         return (F.abs(c["n"]) == 1) & (c["c"] == _check(c["d"]))
 
     def remove(state: Column, single: Column) -> Column:
-        def one(c: Column, i: Column) -> Column:
-            table = F.floor(i / CELLS)
-            shift = F.when(table == 0, 0).when(table == 1, _SHIFTS[1]).otherwise(_SHIFTS[2])
-            place = F.pmod(i, F.lit(CELLS)).cast("bigint")
-            mine = F.filter(single, lambda x: F.call_function("shiftrightunsigned", x["d"], shift).bitwiseAND(F.lit(CELLS - 1).cast("bigint")) == place)
+        def sub_table(k: int, shift: int) -> Column:
+            def one(c: Column, i: Column) -> Column:
+                def less(hits: Column) -> Column:
+                    n = F.aggregate(hits, F.lit(0), lambda acc, x: acc + x["n"])
+                    return F.struct((c["n"] - n).alias("n"), c["d"].bitwiseXOR(_xor(hits, lambda x: x["d"])).alias("d"), c["c"].bitwiseXOR(_xor(hits, lambda x: x["c"])).alias("c"))
 
-            def less(hits: Column) -> Column:
-                n = F.aggregate(hits, F.lit(0), lambda acc, x: acc + x["n"])
-                return F.struct((c["n"] - n).alias("n"), c["d"].bitwiseXOR(_xor(hits, lambda x: x["d"])).alias("d"), c["c"].bitwiseXOR(_xor(hits, lambda x: x["c"])).alias("c"))
+                here = F.filter(single, lambda x: _cell(x["d"], shift) == i)
+                return let(here, lambda hits: F.when(F.size(hits) == 0, c).otherwise(less(hits)))
 
-            return let(mine, lambda hits: F.when(F.size(hits) == 0, c).otherwise(less(hits)))
+            return F.transform(F.slice(state["cells"], k * CELLS + 1, CELLS), one)
 
         plus = F.size(F.filter(single, lambda x: x["n"] == 1))
         return F.when(F.size(single) == 0, F.struct(state["cells"].alias("cells"), state["ours"].alias("ours"), state["theirs"].alias("theirs"), F.lit(False).alias("more"))).otherwise(
             F.struct(
-                F.transform(state["cells"], one).alias("cells"),
+                F.flatten(F.array(*[sub_table(k, shift) for k, shift in enumerate(_SHIFTS)])).alias("cells"),
                 (state["ours"] + plus).alias("ours"),
                 (state["theirs"] + F.size(single) - plus).alias("theirs"),
                 F.lit(True).alias("more"),
@@ -109,23 +107,37 @@ def peel(cells: Column) -> Column:
 
 
 def _difference(a: Column, b: Column, table_a: Column, table_b: Column) -> Column:
-    """(ok, ours, theirs) of two sets of digests by their tables, retried with more tables."""
+    """(ok, ours, theirs) of two sets of digests by their tables; a table that fails is retried as four, each with a quarter of its digests."""
+    none = F.array().cast("array<bigint>")
+
+    def counted(ours: Column, theirs: Column, failed: Column) -> Column:
+        return F.struct(ours.alias("ours"), theirs.alias("theirs"), failed.alias("failed"))
+
+    def retry(state: Column, tables: Column) -> Column:
+        """Peel the tables that failed before, now dealt over ``tables`` tables in all."""
 
-    def attempt(tables: Column) -> Column:
         def dealt(found: Column, g: Column) -> Column:
             return F.filter(found, lambda d: F.shiftrightunsigned(d, 6).bitwiseAND(tables - 1) == g)
 
-        def add(state: Column, g: Column) -> Column:
-            def sum_up(p: Column) -> Column:
-                return F.struct(p["ok"].alias("ok"), (state["ours"] + p["ours"]).alias("ours"), (state["theirs"] + p["theirs"]).alias("theirs"))
+        def add(acc: Column, g: Column) -> Column:
+            def judge(p: Column) -> Column:
+                return F.when(p["ok"], counted(acc["ours"] + p["ours"], acc["theirs"] + p["theirs"], acc["failed"])).otherwise(
+                    counted(acc["ours"], acc["theirs"], F.array_append(acc["failed"], g))
+                )
+
+            return let(peel(_subtract(sketch(dealt(a, g)), sketch(dealt(b, g)))), judge)
 
-            return F.when(state["ok"], let(peel(_subtract(sketch(dealt(a, g)), sketch(dealt(b, g)))), sum_up)).otherwise(state)
+        quarter = (tables / 4).cast("bigint")
+        again = F.flatten(F.transform(state["failed"], lambda g: F.array(*[g + quarter * k for k in range(4)])))
+        return F.aggregate(again, counted(state["ours"], state["theirs"], none), add)
 
-        start = F.struct(F.lit(True).alias("ok"), F.lit(0).alias("ours"), F.lit(0).alias("theirs"))
-        return F.aggregate(F.sequence(F.lit(0).cast("bigint"), tables - 1), start, add)
+    def first(p: Column) -> Column:
+        return F.when(p["ok"], counted(p["ours"], p["theirs"], none)).otherwise(counted(F.lit(0), F.lit(0), F.array(F.lit(0).cast("bigint"))))
 
     sizes = F.transform(F.sequence(F.lit(1), F.lit(TRIES - 1)), lambda k: F.pow(F.lit(4), k).cast("bigint"))
-    return F.aggregate(sizes, peel(_subtract(table_a, table_b)), lambda state, tables: F.when(state["ok"], state).otherwise(attempt(tables)))
+    start = let(peel(_subtract(table_a, table_b)), first)
+    ended = F.aggregate(sizes, start, lambda state, tables: F.when(F.size(state["failed"]) == 0, state).otherwise(retry(state, tables)))
+    return let(ended, lambda e: F.struct((F.size(e["failed"]) == 0).alias("ok"), e["ours"].alias("ours"), e["theirs"].alias("theirs")))
 
 
 def likeness(a: Column, b: Column, table_a: Column, table_b: Column) -> Column:

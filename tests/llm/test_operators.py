@@ -35,7 +35,7 @@ def frame(spark, texts, **more):
 
 
 def likeness_of(a: str, b: str) -> float:
-    piece = re.compile(r"(?:[^ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r.!?][ \t]+){0,15}[^ \t\n\x0b\f\r]+")
+    piece = re.compile(r"(?:[^ \t\n\x0b\f\r]+[ \t]+){0,31}[^ \t\n\x0b\f\r]+")
     x, y = set(piece.findall(a)), set(piece.findall(b))
     return len(x & y) / len(x | y) if x | y else 1.0
 
