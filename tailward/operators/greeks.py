@@ -32,19 +32,35 @@ def hhi(df: DataFrame, group: list[str], part: str, weight: str) -> DataFrame:
 def build_greeks(quotes: DataFrame, width: str = WIDTH, tenor: int = 30) -> DataFrame:
     """At-the-money Greeks of the near tenor, and HHI of open interest by strike, per variety and bar.
 
-    The near tenor of a bar is the nearest listed one of at least ``tenor`` days.
+    The near tenor of a bar is the nearest listed one of at least ``tenor`` days. The quotes
+    are read once: sums and nearest quotes per strike and tenor combine on the map side, and
+    all that follows stays within the bars they are dealt to.
     """
-    atm = select_atm(quotes.where(F.col("tenor_days") >= tenor), width)
-    nearest = F.min("tenor_days").over(Window.partitionBy("variety", "bar"))
-    near = greeks(atm.withColumn("_near", nearest).where(F.col("tenor_days") == F.col("_near")))
+    fields = ["fwd", "strike", "tenor_days", "iv", "cp"]
+    order = F.struct(F.abs(F.col("strike") - F.col("fwd")).alias("distance"), F.col("quote_id").alias("id"))
+    nearest = lambda side: F.min(F.when((F.col("cp") == side) & order["distance"].isNotNull(), F.struct(order.alias("order"), *fields)))
+    known = F.when(order["distance"].isNotNull() & (F.col("tenor_days") >= tenor), F.col("tenor_days"))
+    cells = (
+        with_bar(quotes, "ts", width)
+        .groupBy("variety", "bar", "tenor_days", "strike")
+        .agg(F.sum("open_interest").alias("_oi"), F.min(known).alias("_listed"), nearest("C").alias("_call"), nearest("P").alias("_put"))
+    )
+    near = F.col("_listed") == F.min("_listed").over(Window.partitionBy("variety", "bar"))
+    best = [F.min(F.when(F.col("_is_near"), F.col(c))).alias(c) for c in ("_call", "_put")]
+    strikes = cells.withColumn("_is_near", near).groupBy("variety", "bar", "strike").agg(F.sum("_oi").cast("double").alias("_w"), *best)
+    total = F.sum("_w")
+    bars = strikes.groupBy("variety", "bar").agg(
+        F.try_divide(F.sum(F.col("_w") * F.col("_w")), total * total).alias("oi_hhi"), *[F.min(c).alias(c) for c in ("_call", "_put")]
+    )
+    sides = bars.select("variety", "bar", "oi_hhi", F.explode_outer(F.filter(F.array("_call", "_put"), lambda x: x.isNotNull())).alias("_atm"))
+    priced = greeks(sides.select("variety", "bar", "oi_hhi", *[F.col("_atm")[f].alias(f) for f in fields]))
     call, put = F.col("cp") == "C", F.col("cp") == "P"
-    per_bar = near.groupBy("variety", "bar").agg(
+    return priced.groupBy("variety", "bar").agg(
+        F.first("oi_hhi").alias("oi_hhi"),
         F.max(F.when(call, F.col("delta"))).alias("delta_call"),
         F.max(F.when(put, F.col("delta"))).alias("delta_put"),
         *[F.avg(g).alias(g) for g in ("gamma", "vega", "theta")],
     )
-    focus = hhi(with_bar(quotes, "ts", width), ["variety", "bar"], "strike", "open_interest")
-    return focus.select("variety", "bar", F.col("hhi").alias("oi_hhi")).join(per_bar, ["variety", "bar"], "left")
 
 
 def join_features(features: DataFrame, greek_table: DataFrame, keys: tuple[str, ...] = ("variety", "bar")) -> DataFrame:
