@@ -28,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(base: int, n: int) -> np.ndarray:
     """Powers of ``base`` modulo 2**64, from 0 to ``n``."""
     if base not in _powers or len(_powers[base]) <= n:
-        factors = np.full(max(n + 1, 1 << 21), base, np.uint64)
+        factors = np.full(max(n + 1, 1 << 18), base, np.uint64)
         factors[0] = 1
         powers = np.multiply.accumulate(factors)
         if n >= 1 << 24:
@@ -61,7 +61,7 @@ def _words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     """Each row's distinct shingles, sorted; a row of fewer words has its whole sequence as one."""
     data, at = flat(texts)
-    for first, last in slices(at):
+    for first, last in slices(at, 1 << 17):
         edges = at[first : last + 1] - at[first]
         words, before = _words(_LOWER[data[at[first] : at[last]]], edges)
         whole = np.zeros(max(len(words) - width + 1, 0), np.uint64)
