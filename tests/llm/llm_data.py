@@ -1,3 +1,5 @@
+"""Small tables for the tests of the text operators."""
+
 from __future__ import annotations
 
 import random

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from llm_data import no_docs, odd_docs, sentences  # noqa: F401
 from pyspark.sql import functions as F
 
 from tailward.llm.brown import score_texts
