@@ -180,7 +180,7 @@ def corpus_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_rows: int = 10_000, max_words: int = 400
+    docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_rows: int = 20_000, max_words: int = 400
 ) -> ToxicityModel:
     """Letters from all ``docs``; words from at most ``max_rows`` labelled rows, those whose key hashes lowest.
 
@@ -219,7 +219,7 @@ def fit_toxicity(
     return ToxicityModel(costs, dict(zip(vocabulary, map(float, weights), strict=True)), float(bias))
 
 
-def _logistic(has: list[list[int]], y: np.ndarray, n: np.ndarray, size: int, penalty: float = 1.0, rounds: int = 25):
+def _logistic(has: list[list[int]], y: np.ndarray, n: np.ndarray, size: int, penalty: float = 0.1, rounds: int = 25):
     """Newton steps for a logistic model over presence; ``n`` rows are alike."""
     x = np.zeros((len(has), size + 1))
     for k, places in enumerate(has):
