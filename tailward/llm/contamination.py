@@ -8,8 +8,9 @@ that are no placeholder say nothing and are left out.
 Items of equal canonical text form a template, which its smallest item stands for: of many
 re-parameterised variants each document meets one. Where a document holds ``least`` words
 of a template in a row (or all of a shorter one), its slots are compared: an item's value
-must always be filled with the same value in the document. If at least ``consistent`` of
-the slots agree with that, the document is contaminated.
+must always be filled with the same value in the document. Items of a template may differ
+in which of their slots are equal, so slots are compared with each such pattern that occurs.
+If at least ``consistent`` of the slots agree with one of them, the document is contaminated.
 
 Everything is built-in SQL functions. Null or empty texts and items have no windows.
 Repeated rows of a document count as one in the result, and likewise repeated items.
@@ -74,6 +75,22 @@ def _hashed(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
     return found.select("id", "_found.words", "_found.windows")
 
 
+def _patterns(benchmark: DataFrame, text: str, key: str) -> DataFrame:
+    """Each template's distinct patterns of equal slots: per slot its ``place``, and as ``value`` the number of the first slot filled alike."""
+
+    def numbered(slots: Column) -> Column:
+        def number(values: Column) -> Column:
+            return F.transform(slots, lambda s: F.struct(s["place"].alias("place"), F.array_position(values, s["value"]).alias("value")))
+
+        return let(F.transform(slots, lambda s: s["value"]), number)
+
+    placed = F.transform(_raw_words(F.col(text)), lambda w, i: F.struct(i.alias("place"), F.lower(w).alias("value")))
+    slots = F.filter(placed, lambda s: s["value"].rlike(rf"^[{_MARKS}\p{{N}}]"))
+    each = benchmark.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), _canonical(F.col(text)).alias("words"), let(slots, numbered).alias("pattern"))
+    known = each.groupBy("words").agg(F.min("id").alias("item_id"), F.collect_set("pattern").alias("patterns"))
+    return known.select("item_id", F.explode("patterns").alias("pattern"))
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -87,7 +104,7 @@ def find_contamination(
     consistent: float = 0.8,
 ) -> DataFrame:
     """One row per contaminated document and template: ``doc_id``, ``item_id`` (the template's smallest item), ``words`` in a row,
-    ``item_words``, ``slots`` compared, and ``agreeing``, the share of them that fill equal values alike."""
+    ``item_words``, ``slots`` compared, and ``agreeing``, the share of them that fill equal values of the best fitting item alike."""
     items = _hashed(benchmark, item_text, item_key, width)
     templates = items.where(F.size("words") > 0).groupBy("words").agg(F.min("id").alias("item_id"), F.first("windows").alias("windows"))
     telling = F.lit(plain) if plain <= width else F.lit(width)
@@ -112,15 +129,14 @@ def find_contamination(
     slotted = [F.posexplode(_raw_words(F.col("_text"))).alias("place", "value")]
     is_slot = F.col("value").rlike(rf"^[{_MARKS}\p{{N}}]")
 
-    def values(df: DataFrame, id_: str, text_: str, among: DataFrame, name: str) -> DataFrame:
-        wanted = df.select(F.col(id_).alias(name), F.col(text_).alias("_text")).join(among.select(name).distinct(), name, "left_semi").dropDuplicates([name])
-        return wanted.select(name, *slotted).where(is_slot).select(name, "place", F.lower("value").alias("value"))
-
-    of_item = values(benchmark, item_key, item_text, held, "item_id").withColumnsRenamed({"place": "item_at", "value": "item_value"})
-    of_doc = values(docs, key, text, held, "doc_id").withColumnsRenamed({"place": "at", "value": "doc_value"})
-    filled = spots.join(of_item, ["item_id", "item_at"]).join(of_doc, ["doc_id", "at"]).groupBy("doc_id", "item_id", "item_value", "doc_value").agg(F.count("*").alias("n"))
-    agreed = filled.groupBy("doc_id", "item_id", "item_value").agg(F.sum("n").alias("n"), F.max("n").alias("most")).groupBy("doc_id", "item_id")
+    wanted = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")).join(held.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    of_doc = wanted.select("doc_id", *slotted).where(is_slot).select("doc_id", F.col("place").alias("at"), F.lower("value").alias("doc_value"))
+    of_item = _patterns(benchmark, item_text, item_key).join(held.select("item_id").distinct(), "item_id", "left_semi")
+    of_item = of_item.select("item_id", "pattern", F.explode("pattern").alias("_slot")).select("item_id", "pattern", F.col("_slot.place").alias("item_at"), F.col("_slot.value").alias("item_value"))
+    filled = spots.join(of_doc, ["doc_id", "at"]).join(of_item, ["item_id", "item_at"]).groupBy("doc_id", "item_id", "pattern", "item_value", "doc_value").agg(F.count("*").alias("n"))
+    agreed = filled.groupBy("doc_id", "item_id", "pattern", "item_value").agg(F.sum("n").alias("n"), F.max("n").alias("most")).groupBy("doc_id", "item_id", "pattern")
     agreed = agreed.agg(F.sum("n").alias("slots"), (F.sum("most") / F.sum("n")).alias("agreeing"))
+    agreed = agreed.groupBy("doc_id", "item_id").agg(F.max("slots").alias("slots"), F.max("agreeing").alias("agreeing"))
     judged = held.join(agreed, ["doc_id", "item_id"], "left").select(
         "doc_id", "item_id", "words", F.col("item_words").cast("bigint").alias("item_words"), F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("agreeing", F.lit(1.0)).alias("agreeing")
     )

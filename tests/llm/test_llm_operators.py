@@ -133,6 +133,13 @@ def test_inconsistent_slots_are_no_match(spark):
     assert {r.doc_id for r in find_contamination(frame(spark, [wrong, right]), bench).collect()} == {1}
 
 
+def test_every_pattern_of_equal_slots_counts(spark):
+    text = "the first {} of them and the second {} of them and the third {} of them went home early today"
+    bench = spark.createDataFrame([(1, text.format(12, 12, 12)), (2, text.format(3, 8, 8)), (3, text.format(4, 9, 9))], "item_id bigint, text string")
+    docs = frame(spark, [text.format(3, 8, 8), text.format(5, 5, 5), text.format(6, 6, 1)])
+    assert {(r.doc_id, r.item_id, r.agreeing) for r in find_contamination(docs, bench).collect()} == {(0, 1, 1.0), (1, 1, 1.0)}
+
+
 def test_contamination_of_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(0, "same text twice over here now"), (0, "same text twice over here now"), (None, "a"), (1, None), (2, "")], "item_id bigint, text string")
     assert [(r.doc_id, r.item_id) for r in find_contamination(odd_docs, bench).collect()] == [(5, 0)]
