@@ -140,6 +140,21 @@ def test_every_pattern_of_equal_slots_counts(spark):
     assert {(r.doc_id, r.item_id, r.agreeing) for r in find_contamination(docs, bench).collect()} == {(0, 1, 1.0), (1, 1, 1.0)}
 
 
+def test_slot_dense_and_short_items_are_found(spark):
+    items = [
+        "Anna has 3 kg of rice, 5 kg of beans, 7 kg of corn and 2 kg of salt",  # windows of 8 words hold too few plain ones
+        "rice 1 kg 2 kg 3 kg beans 4 kg 5 kg corn 6 kg 7 kg salt 8 kg 9 kg oil",  # none holds five
+        "capital of the northern island",  # shorter than a window
+        "12 kg 7 kg 12 kg 9 kg",  # says too little as a template
+        "40 kg 3 m",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    clean = ["and 12 kg 8 kg 12 kg 9 kg", "the capital of the southern island lies far from here", "40 kg 4 m of it went there"]
+    docs = frame(spark, [f"We were told that {t} which was all that we knew" for t in items] + clean)
+    got = {(r.doc_id, r.item_id): (r.words, r.item_words) for r in find_contamination(docs, bench).collect()}
+    assert got == {(0, 0): (18, 19), (1, 1): (23, 23), (2, 2): (5, 5), (3, 3): (8, 8), (4, 4): (4, 4)}
+
+
 def test_contamination_of_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(0, "same text twice over here now"), (0, "same text twice over here now"), (None, "a"), (1, None), (2, "")], "item_id bigint, text string")
     assert [(r.doc_id, r.item_id) for r in find_contamination(odd_docs, bench).collect()] == [(5, 0)]
