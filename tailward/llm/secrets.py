@@ -6,7 +6,11 @@ be given in parts: an identifier, a secret and an endpoint. Weak candidates for
 (shorter ids, mixed tokens, short assigned values, addresses) mean nothing alone. They are
 reported, as ``part_id``, ``part_secret`` and ``part_endpoint``, only where a
 complementary part lies within ``scope`` code points: an identifier needs a secret and a
-secret an identifier; an endpoint needs a base span, or an identifier and a secret.
+secret an identifier or an endpoint that it is no part of; an endpoint needs a base span, or
+an identifier and a secret. A mixed token has 12 signs or more, among them letters and
+digits, or small letters before capitals; of those under 20 signs, dates, and words and
+numbers joined by ``-``, ``/`` or ``_``, are none. A token of small letters or of capitals
+alone is a word.
 
 The join of intervals runs inside the row: a sweep over the text's parts in order, one
 forward and one back, carries the last place of each role. All expressions are built-in
@@ -31,21 +35,28 @@ BASE = (
     ("hex", r"[0-9a-f]{16,}", 0, 16),  # the runs of [0-9a-f]+ that are long enough
 )
 # Weak candidates: kind, pattern, least length of the match.
+_SIGN = "[A-Za-z0-9+/_-]"
+_ORDINARY = rf"(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|(?:[A-Za-z]+|[0-9]+)(?:[-/_](?:[A-Za-z]+|[0-9]+))*(?!{_SIGN}))"
 WEAK = (
     ("part_id", r"(?<![A-Za-z0-9])(?:A[A-Z]{2}A[A-Z0-9]{8,}|(?:id|user|login|account|client_?id)[\x20]*[:=][\x20]*[A-Za-z0-9._@-]{4,})", 8),
-    ("part_secret", r"(?<![A-Za-z0-9+/_-])(?=[+/_A-Za-z-]*[0-9])(?=[+/_0-9-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])", 20),
+    ("part_secret", rf"(?<!{_SIGN})(?:(?=[+/_A-Za-z-]*[0-9])(?=[+/_0-9-]*[A-Za-z])(?:{_SIGN}{{20,}}|(?!{_ORDINARY}){_SIGN}{{12,19}})|(?=[A-Za-z+/_-]*[a-z][A-Z])[A-Za-z+/_-]{{12,}})(?!{_SIGN})", 12),
     ("part_endpoint", r"(?:https?|ftp|s3|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|(?<![\w.-])[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}(?![0-9])", 6),
+    # an assigned value of any length; one that is long enough is a base span
+    ("part_secret", r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[^\s"'<>,;]+""", 1),
 )
-KINDS = [kind for kind, *_ in BASE + WEAK]
+KINDS = [kind for kind, *_ in BASE + WEAK] + ["part_secret"]
+_TOKEN, _NAMED, _INNER = len(BASE) + 1, len(BASE) + 3, len(BASE) + 4  # part_secret: a token, an assigned value, a token within an endpoint
 _IDENTIFIER, _SECRET, _ENDPOINT = 0, 1, 2
 _ROLE = {"assign": _SECRET, "access": _IDENTIFIER, "hex": _SECRET, "part_id": _IDENTIFIER, "part_secret": _SECRET, "part_endpoint": _ENDPOINT}
 _SPAN = "struct<start:int,kind:int,end:int>"
 _FAR = 1 << 30
+_NEAR = ("id", "secret", "base", "end")
 
 
-def _gate(kind: str, text: Column) -> Column:
+def _gate(k: int, text: Column) -> Column:
     """A cheap condition that any match implies."""
-    if kind == "assign":
+    kind = KINDS[k]
+    if kind == "assign" or k == _NAMED:
         low = F.lower(text)
         return low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api")
     if kind == "access":
@@ -72,19 +83,20 @@ def _places(kind: int, hits: Column, gaps: Column, sized: Column, least: int) ->
 
 
 def _sweep(parts: Column, back: bool) -> Column:
-    """For each part the distance to the nearest identifier, secret and base span before it (behind it, if ``back``)."""
+    """For each part the distance to the nearest identifier, secret, base span and endpoint before it (behind it, if ``back``)."""
     line = F.reverse(parts) if back else parts
-    near = "array<struct<id:int,secret:int,base:int>>"
-    start = F.struct(*[F.lit(-_FAR).alias(n) for n in ("id", "secret", "base")], F.array().cast(near).alias("out"))
+    near = "array<struct<id:int,secret:int,base:int,end:int>>"
+    start = F.struct(*[F.lit(-_FAR).alias(n) for n in _NEAR], F.array().cast(near).alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
         at, edge = (-p["end"], -p["start"]) if back else (p["start"], p["end"])
         role = F.element_at(F.array(*[F.lit(_ROLE[k]) for k in KINDS]), p["kind"] + 1)
-        gone = F.struct(*[(at - acc[n]).alias(n) for n in ("id", "secret", "base")])
+        gone = F.struct(*[(at - acc[n]).alias(n) for n in _NEAR])
         return F.struct(
             F.when(role == _IDENTIFIER, F.greatest(acc["id"], edge)).otherwise(acc["id"]).alias("id"),
             F.when(role == _SECRET, F.greatest(acc["secret"], edge)).otherwise(acc["secret"]).alias("secret"),
             F.when(p["kind"] < len(BASE), F.greatest(acc["base"], edge)).otherwise(acc["base"]).alias("base"),
+            F.when(role == _ENDPOINT, F.greatest(acc["end"], edge)).otherwise(acc["end"]).alias("end"),
             F.array_append(acc["out"], gone).alias("out"),
         )
 
@@ -99,24 +111,26 @@ def find_secrets(docs: DataFrame, text: str = "text", scope: int = 200) -> DataF
     body = F.col("_text")
     none = F.array().cast("array<string>")
     hits = held.select(
-        "*", *[F.when(_gate(kind, body), F.regexp_extract_all(body, F.lit(pattern), F.lit(0))).otherwise(none).alias(f"_hit_{kind}") for kind, pattern, *_ in rules]
+        "*", *[F.when(_gate(k, body), F.regexp_extract_all(body, F.lit(pattern), F.lit(0))).otherwise(none).alias(f"_hit_{k}") for k, (_, pattern, *_) in enumerate(rules)]
     )
     empty = F.array().cast(f"array<{_SPAN}>")
     spans = hits.select(
         "*",
         *[
             F.when(
-                F.size(f"_hit_{kind}") > 0,
-                _places(k, F.col(f"_hit_{kind}"), F.split(body, pattern, -1), F.regexp_extract_all(body, F.lit(pattern), F.lit(group)), least),
+                F.size(f"_hit_{k}") > 0,
+                _places(k, F.col(f"_hit_{k}"), F.split(body, pattern, -1), F.regexp_extract_all(body, F.lit(pattern), F.lit(group)), least),
             )
             .otherwise(empty)
-            .alias(f"_span_{kind}")
-            for k, (kind, pattern, group, least) in enumerate(rules)
+            .alias(f"_span_{k}")
+            for k, (_, pattern, group, least) in enumerate(rules)
         ],
     )
-    base = F.concat(*[F.col(f"_span_{kind}") for kind, *_ in BASE])
+    base = F.concat(*[F.col(f"_span_{k}") for k in range(len(BASE))])
+    within = F.transform(f"_span_{_TOKEN}", lambda t: F.struct(t["start"], F.when(F.exists(f"_span_{KINDS.index('part_endpoint')}", lambda e: (e["start"] <= t["start"]) & (t["start"] < e["end"])), F.lit(_INNER)).otherwise(F.lit(_TOKEN)).alias("kind"), t["end"]))
+    tokens = within.cast(f"array<{_SPAN}>")
     # a weak candidate that overlaps a base span is that span
-    weak = F.filter(F.concat(*[F.col(f"_span_{kind}") for kind, *_ in WEAK]), lambda w: ~F.exists("_base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    weak = F.filter(F.concat(*[F.col(f"_span_{k}") for k in range(len(BASE), len(rules)) if k != _TOKEN], tokens), lambda w: ~F.exists("_base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     parts = spans.withColumn("_base", base).select("_row", "_base", weak.alias("_weak"))
     parts = parts.withColumn("_parts", F.when(F.size("_weak") == 0, F.array_sort("_base")).otherwise(F.array_sort(F.concat("_base", "_weak"))))
     swept = parts.select(
@@ -126,12 +140,13 @@ def find_secrets(docs: DataFrame, text: str = "text", scope: int = 200) -> DataF
     )
 
     def linked(x: Column) -> Column:
-        near = {n: F.least(x["ahead"][n], x["back"][n]) <= scope for n in ("id", "secret", "base")}
+        near = {n: F.least(x["ahead"][n], x["back"][n]) <= scope for n in _NEAR}
         kind = x["part"]["kind"]
         return (
             F.when(kind < len(BASE), True)
             .when(kind == KINDS.index("part_id"), near["secret"])
-            .when(kind == KINDS.index("part_secret"), near["id"])
+            .when(kind == _INNER, near["id"])
+            .when((kind == _TOKEN) | (kind == _NAMED), near["id"] | near["end"])
             .otherwise(near["base"] | (near["id"] & near["secret"]))
         )
 
