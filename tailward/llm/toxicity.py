@@ -3,7 +3,8 @@
 A word may be written with look-alike signs, repeated letters, or its letters set apart.
 Each such spelling is a lattice: every character stands for itself, for a look-alike
 letter, for a repetition of the letter before or for a mere separator, each at a cost. A
-Viterbi search finds the cheapest letters under a character trigram model of the corpus.
+Viterbi search over the whole spelling, however long, finds the cheapest letters under a
+character trigram model of the corpus.
 The trigrams are counted over all texts. A plainly written word is a lattice with one
 path and stands for itself.
 
@@ -56,7 +57,6 @@ LOOK_ALIKES = {
 SEPARATORS = " .-_*~'`,/\\"
 SUBSTITUTE, REPEAT, DROP = 1.0, 0.5, 0.7  # costs in natural-log units
 LOSE, SPLIT = 12.0, 6.0  # of a sign that is no separator, to leave it out or to end the word there
-LONGEST = 64  # characters of a decoded run; longer ones are decoded in runs of this length
 
 _SIGNS = re.escape("".join(LOOK_ALIKES))
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…–—"
@@ -98,33 +98,42 @@ def trigram_costs(counts: np.ndarray) -> np.ndarray:
 
 def decode(run: str, costs: np.ndarray) -> str:
     """The cheapest letters for a disguised run; a separator kept as a boundary shows as a space."""
-    if len(run) > LONGEST:
-        return " ".join(decode(run[k : k + LONGEST], costs) for k in range(0, len(run), LONGEST))
-    # state: last two symbols and the last letter (a repetition must equal it) -> (cost, text so far)
-    states = {(0, 0, ""): (0.0, "")}
+    # state: last two symbols and the last letter (a repetition must equal it) -> (cost, letters so far: all but the last, the last)
+    states = {(0, 0, ""): (0.0, None)}
     for k, sign in enumerate(run):
         options = [(sign, 0.0)] if sign.isalpha() else [(x, SUBSTITUTE) for x in LOOK_ALIKES.get(sign, "")]
         repeated = any(run[j : j + 3] == sign * 3 for j in (k - 2, k - 1, k) if j >= 0)
         dropped = DROP if sign in SEPARATORS else LOSE
         after: dict = {}
 
-        def offer(key, cost, text, after=after):
+        def offer(key, cost, path, after=after):
             if key not in after or cost < after[key][0]:
-                after[key] = (cost, text)
+                after[key] = (cost, path)
 
-        for (a, b, letter), (cost, text) in states.items():
+        for (a, b, letter), (cost, path) in states.items():
             for x, price in options:
                 c = _code(x)
-                offer((b, c, x), cost + price + costs[a, b, c], text + x)
+                offer((b, c, x), cost + price + costs[a, b, c], (path, x))
                 if repeated and x == letter:
-                    offer((a, b, letter), cost + price + REPEAT, text)
+                    offer((a, b, letter), cost + price + REPEAT, path)
             if not sign.isalpha():
-                offer((a, b, letter), cost + dropped, text)
+                offer((a, b, letter), cost + dropped, path)
                 if sign in SEPARATORS or sign.isdigit():
-                    offer((b, 0, ""), cost + costs[a, b, 0] + (SPLIT if sign.isdigit() else 0), text + " ")
+                    offer((b, 0, ""), cost + costs[a, b, 0] + (SPLIT if sign.isdigit() else 0), (path, " "))
         states = after
-    ends = [(cost + costs[a, b, 0], text) for (a, b, _), (cost, text) in states.items()]
-    return min(ends, default=(0.0, run))[1]
+    ends = [(cost + costs[a, b, 0], path) for (a, b, _), (cost, path) in states.items()]
+    if not ends:
+        return run
+    least = min(cost for cost, _ in ends)
+    return min(_spelt(path) for cost, path in ends if cost == least)
+
+
+def _spelt(path) -> str:
+    letters = []
+    while path is not None:
+        path, letter = path
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 _decoded: dict[str, str] = {}

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_data import no_docs, odd_docs, sentences  # noqa: F401
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from tailward.llm.packing import WordTokenizer, pack_texts
 from tailward.llm.quality import fit_quality, score_quality
 from tailward.llm.secrets import find_secrets, mask_secrets, span_text
 from tailward.llm.similar import component_ids
-from tailward.llm.toxicity import fit_toxicity, score_toxicity
+from tailward.llm.toxicity import count_trigrams, decode, fit_toxicity, score_toxicity, trigram_costs
 
 
 def frame(spark, texts, **more):
@@ -293,6 +294,14 @@ def test_language_is_learned_and_letterless_text_is_und(spark, odd_docs):
     assert predict_language(odd_docs, fit_language(docs.where("false"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_a_word_anywhere_in_a_long_disguised_run_is_found():
+    words = "river stone light winter paper garden music number window silver forest market letter engine circle bridge".split()
+    costs = trigram_costs(count_trigrams(pa.array([" ".join(words[k:] + words[:k]) for k in range(16)] * 40)))
+    for first in range(16):
+        chosen = (words[first:] + words[:first])[:14]
+        assert set(decode(" ".join(" ".join(chosen).replace(" ", "")), costs).split()) == set(chosen)
+
+
 # 7: packing
 
 
