@@ -116,5 +116,39 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(pages).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_secret_scan, op3_contamination, op4_similar_texts, op5_class_model, op6_quality, op7_packing, op8_toxicity, op9_language_id, op10_main_text)}
-ORACLES: dict[str, str] = {}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .middle import fill_in_middle, restore
+
+    turned = restore(fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return turned.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_secret_scan, op3_contamination, op4_similar_texts, op5_class_model, op6_quality, op7_packing, op8_toxicity, op9_language_id, op10_main_text, op11_fill_in_middle)}
+ORACLES: dict[str, str] = {
+    "op11_fill_in_middle": """
+        WITH units AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+                sha256('1:' || CAST(doc_id AS VARCHAR)) AS digest
+            FROM documents
+        ), drawn AS (
+            SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n,
+                CAST('0x' || digest[1:8] AS BIGINT) % (len(units) + 1) AS a, CAST('0x' || digest[9:16] AS BIGINT) % (len(units) + 1) AS b,
+                CAST('0x' || digest[17:24] AS BIGINT) % 100 AS c, CAST('0x' || digest[25:32] AS BIGINT) % 100 AS d
+            FROM units
+        ), parts AS (
+            SELECT *, array_to_string(units[1:least(a, b)], '') AS prefix, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS middle,
+                array_to_string(units[greatest(a, b) + 1:], '') AS suffix,
+                CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90 THEN 'plain'
+                    WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn
+        )
+        SELECT doc_id, n, form,
+            CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM parts
+    """,
+}

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
-from tailward.llm.queries import QUERIES  # noqa: E402
+from compare import connect, differences  # noqa: E402
+
+from tailward.llm.queries import ORACLES, QUERIES  # noqa: E402
 
 COLUMNS = {
     "op1_fingerprint": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
@@ -24,6 +26,7 @@ COLUMNS = {
     "op8_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op9_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op10_main_text": "page_id bigint, url string, text string, n_chars bigint",
+    "op11_fill_in_middle": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
 }
 
 
@@ -48,6 +51,11 @@ def test_columns_and_rows(spark, sf_dir, name):
         assert sorted(r[0] for r in rows) == sorted(r[0] for r in docs.select(key).collect())
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_sql(spark, sf_dir, name):
+    assert differences(QUERIES[name](spark, sf_dir), connect(sf_dir), ORACLES[name]) == []
+
+
 def held_out(spark, name, label, table):
     sf = "/root/testdata/sf0.01"
     truth = spark.read.parquet(f"{sf}/{table}.parquet").select("doc_id", F.col(label).alias("truth"))
