@@ -124,7 +124,22 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turned.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_secret_scan, op3_contamination, op4_similar_texts, op5_class_model, op6_quality, op7_packing, op8_toxicity, op9_language_id, op10_main_text, op11_fill_in_middle)}
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from .bytepairs import Ranks, decode_ids, encode_texts, load_ranks
+
+    ranks = Ranks(load_ranks(path("byte_bpe_multi_50k.tiktoken")))
+    coded = decode_ids(encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks), ranks)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(ranks.little_endian(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_secret_scan, op3_contamination, op4_similar_texts, op5_class_model, op6_quality, op7_packing, op8_toxicity, op9_language_id, op10_main_text, op11_fill_in_middle, op13_byte_pairs)}
 ORACLES: dict[str, str] = {
     "op11_fill_in_middle": """
         WITH units AS (

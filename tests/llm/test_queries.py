@@ -27,6 +27,7 @@ COLUMNS = {
     "op9_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op10_main_text": "page_id bigint, url string, text string, n_chars bigint",
     "op11_fill_in_middle": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
+    "op13_byte_pairs": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
 }
 
 
