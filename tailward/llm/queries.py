@@ -124,6 +124,18 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turned.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tailward.session import stage
+
+    from .codebooks import books_digest, compress, label_totals
+
+    coded, books = compress(table(spark, sf_dir, "embeddings"))
+    coded = stage(coded, "coded")
+    return label_totals(coded).select(
+        F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256")
+    )
+
+
 def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -139,7 +151,44 @@ def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_secret_scan, op3_contamination, op4_similar_texts, op5_class_model, op6_quality, op7_packing, op8_toxicity, op9_language_id, op10_main_text, op11_fill_in_middle, op13_byte_pairs)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_secret_scan, op3_contamination, op4_similar_texts, op5_class_model, op6_quality, op7_packing, op8_toxicity, op9_language_id, op10_main_text, op11_fill_in_middle, op12_vector_codes, op13_byte_pairs)}
+def vector_codes_sql(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """The codebooks' rounds as chained tables; a squared distance is x.x - 2 x.e + e.e, exact on whole numbers."""
+    steps = [
+        """kept AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, vec) AS row, * FROM (
+                SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS vec FROM embeddings
+                WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding))
+        )""",
+        f"""cut AS MATERIALIZED (
+            SELECT row, p, vec[p * len(vec) // {parts} + 1:(p + 1) * len(vec) // {parts}] AS x FROM kept, range({parts}) AS parts(p)
+        )""",
+        f"book0 AS MATERIALIZED (SELECT p, row - 1 AS e, x AS y FROM cut WHERE row <= {entries})",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (
+            SELECT row, p, x, min_by(e, d * {entries} + e) AS e, min(d) AS d FROM (
+                SELECT row, p, x, e, list_dot_product(x, x) - 2 * list_dot_product(x, y) + list_dot_product(y, y) AS d FROM cut JOIN book{k} USING (p))
+            GROUP BY row, p, x
+        )""")
+        if k < rounds:
+            steps.append(f"""mean{k} AS (
+                SELECT p, e, list(m ORDER BY pos) AS y FROM (
+                    SELECT p, e, pos, floor(sum(v) / count(*)) AS m FROM (SELECT p, e, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM near{k}) GROUP BY p, e, pos)
+                GROUP BY p, e
+            )""")
+            steps.append(f"book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(mean{k}.y, book{k}.y) AS y FROM book{k} LEFT JOIN mean{k} USING (p, e))")
+    return f"""
+        WITH {", ".join(steps)}, coded AS (
+            SELECT row, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY row
+        ), digest AS (
+            SELECT sha256(string_agg(array_to_string(list_transform(y, lambda v: CAST(v AS BIGINT)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM kept JOIN coded USING (row), digest
+    """
+
+
 ORACLES: dict[str, str] = {
     "op11_fill_in_middle": """
         WITH units AS (
@@ -166,4 +215,5 @@ ORACLES: dict[str, str] = {
             sha256(text) AS restored_sha256
         FROM parts
     """,
+    "op12_vector_codes": vector_codes_sql(),
 }

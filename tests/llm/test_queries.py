@@ -15,6 +15,7 @@ from compare import connect, differences  # noqa: E402
 
 from tailward.llm.queries import ORACLES, QUERIES  # noqa: E402
 
+TABLES = {"op10_main_text": "pages", "op12_vector_codes": "embeddings"}
 COLUMNS = {
     "op1_fingerprint": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     "op2_secret_scan": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
@@ -27,6 +28,7 @@ COLUMNS = {
     "op9_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op10_main_text": "page_id bigint, url string, text string, n_chars bigint",
     "op11_fill_in_middle": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
+    "op12_vector_codes": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
     "op13_byte_pairs": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
 }
 
@@ -41,7 +43,7 @@ def test_columns_and_rows(spark, sf_dir, name):
     types = dict(df.dtypes)
     wanted = [c.split(" ") for c in COLUMNS[name].split(", ")]
     assert [(n, types.get(n)) for n, _ in wanted] == [tuple(c) for c in wanted]
-    docs = spark.read.parquet(f"{sf_dir}/{'pages' if name.startswith('op10') else 'documents'}.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/{TABLES.get(name, 'documents')}.parquet")
     key = docs.columns[0]
     rows = df.select(key).collect()
     if name.startswith("op3"):
