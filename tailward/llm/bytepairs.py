@@ -5,8 +5,9 @@ of all neighbours whose joined bytes are a token, those of the lowest rank first
 first. Here that is a fold of higher-order functions over a piece's parts. Ranks are a
 literal table of the plan. All byte strings are upper-case hexadecimal.
 
-* Pieces of up to ``SHORT`` bytes carry their parts and the ranks of all neighbours; each
-  step joins one pair and ranks the two pairs it is now part of.
+* Pieces of up to ``SHORT`` bytes carry their boundaries as bits of a number and, for each
+  boundary, the rank of what stands around it; each step removes the boundary of the lowest
+  rank and ranks the two beside it anew.
 * Longer pieces are a string of bracketed parts. The tokens that occur in them are folded in
   order of rank, each joining, from left to right, all parts that make it up. The work is
   linear in the piece for each token that occurs in it, so a run of 100,000 letters is only long.
@@ -29,6 +30,7 @@ are kept, those named like a result replaced; repeated rows and null keys are ro
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -38,11 +40,13 @@ from tailward.session import stage
 
 from .columns import add_columns, let
 
-SHORT = 64  # bytes of a piece folded part by part
+SHORT = 60  # bytes of a piece whose boundaries are bits of a number
+RANK_BUCKETS = 1 << 12
 NONE = 1 << 30  # the rank of bytes that are no token
 MEMO_BYTES = 32 << 20  # bound of the table of frequent words; what it really takes is about a third
 MEMO_WORD = 40  # bytes of the longest word in that table
 BUCKETS = 1 << 16
+Lookup = Callable[[Column], Column]
 # Separators inside a literal table; words with one of them stay outside.
 _ENTRY, _VALUE, _BUCKET = "\x01", "\x02", "\x03"
 
@@ -78,18 +82,8 @@ def load_ranks(path: str) -> list[bytes]:
     return [tokens[k] for k in range(len(tokens))]
 
 
-def _bucket(key: Column) -> Column:
-    return F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1).cast("bigint")).cast("int")
-
-
-def _find(table: Column, key: Column) -> Column:
-    """The value of a key in a table of buckets, or an empty text."""
-    bucket = F.get(table, _bucket(key))
-    return let(bucket, lambda b: F.when(b == "", b).otherwise(F.substring_index(F.split_part(b, F.concat(F.lit(_ENTRY), key, F.lit(_VALUE)), F.lit(2)), _ENTRY, 1)))
-
-
-def _literal(buckets: list[str]) -> Column:
-    return F.split(F.lit(_BUCKET.join(buckets)), _BUCKET)
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.xxhash64(key).bitwiseAND(F.lit(buckets - 1).cast("bigint")).cast("int")
 
 
 def _hex(value: Column) -> Column:
@@ -102,17 +96,21 @@ class Ranks:
     def __init__(self, tokens: list[bytes]):
         self.tokens = tokens
         self.longest = max(map(len, tokens))
-        buckets = [""] * BUCKETS
+        buckets: list[list[str]] = [[] for _ in range(RANK_BUCKETS)]
         for rank, token in enumerate(tokens):
             held = token.hex().upper()
-            buckets[xxhash.xxh64_intdigest(held, 42) % BUCKETS] += f"{_ENTRY}{held}{_VALUE}{rank}"
-        self._table = _literal(buckets)
+            buckets[xxhash.xxh64_intdigest(held, 42) % RANK_BUCKETS].append(f'"{held}":{rank}')
+        self._table = F.from_json(F.lit("[" + ",".join("{" + ",".join(b) + "}" for b in buckets) + "]"), "array<map<string,int>>")
         self._hex = F.split(F.lit(",".join(t.hex().upper() for t in tokens)), ",")
         self._little = F.split(F.lit(",".join(k.to_bytes(4, "little").hex().upper() for k in range(len(tokens)))), ",")
 
-    def rank(self, held: Column) -> Column:
-        """The rank of the token of these bytes; ``NONE`` if there is none."""
-        return let(_find(self._table, held), lambda found: F.when(found == "", NONE).otherwise(found.cast("int")))
+    def looking(self, body: Callable[[Lookup], Column]) -> Column:
+        """``body`` of a function that gives the rank of bytes, ``NONE`` if they are no token; the table is in the plan once."""
+
+        def rank(table: Column) -> Lookup:
+            return lambda held: F.coalesce(F.try_element_at(F.get(table, _bucket(held, RANK_BUCKETS)), held), F.lit(NONE))
+
+        return let(self._table, lambda table: body(rank(table)))
 
     def bytes_of(self, ids: Column) -> Column:
         """The bytes of ids, joined."""
@@ -123,40 +121,58 @@ class Ranks:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self._little, i)), ""))
 
 
-def _short_parts(ranks: Ranks, held: Column) -> Column:
-    """The tokens of a short piece: its parts and the ranks of neighbours are folded, a merge a step."""
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
+
+
+def _highest(bits: Column) -> Column:
+    return F.length(F.bin(bits)) - 1
+
+
+def _lowest(bits: Column) -> Column:
+    return _highest(bits.bitwiseAND(-bits))
+
+
+def _short_parts(rank: Lookup, held: Column) -> Column:
+    """The tokens of a short piece, a boundary removed a step."""
+    n = (F.length(held) / 2).cast("int")
+
+    def between(a: Column, b: Column) -> Column:
+        return F.substring(held, a * 2 + 1, (b - a) * 2)
 
     def step(state: Column, _: Column) -> Column:
-        parts, pairs = state["parts"], state["pairs"]
+        bits, pairs = state["bits"], state["pairs"]
+
+        def remove(at: Column) -> Column:
+            rest = bits - _bit(at)
+            below = rest.bitwiseAND(_bit(at) - 1)
+            ends = F.struct(_highest(below).alias("a"), _lowest(rest - below).alias("b"))
 
-        def merge(at: Column) -> Column:
-            token = F.concat(F.get(parts, at - 1), F.get(parts, at))
-            before = F.when(at > 1, F.array(ranks.rank(F.concat(F.get(parts, at - 2), token)))).otherwise(F.array().cast("array<int>"))
-            after = F.when(at < F.size(pairs), F.array(ranks.rank(F.concat(token, F.get(parts, at + 1))))).otherwise(F.array().cast("array<int>"))
-            left, right = F.slice(pairs, 1, F.greatest(at - 2, F.lit(0))), F.slice(pairs, at + 2, F.size(pairs))
-            return F.struct(
-                F.concat(F.slice(parts, 1, at - 1), F.array(token), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
-                F.concat(left, before, after, right).alias("pairs"),
-            )
+            def join(e: Column) -> Column:
+                a, b = e["a"], e["b"]
+                before = F.when(a > 0, rank(between(_highest(below - _bit(a)), b))).otherwise(NONE)
+                after = F.when(b < n, rank(between(a, _lowest(rest - below - _bit(b))))).otherwise(NONE)
+                new = F.struct(before.alias("before"), after.alias("after"))
+                ranked = lambda x: F.transform(pairs, lambda r, i: F.when(i == at - 1, NONE).when(i == a - 1, x["before"]).when(i == b - 1, x["after"]).otherwise(r))
+                return F.struct(rest.alias("bits"), let(new, ranked).alias("pairs"))
 
-        lowest = F.coalesce(F.array_min(pairs), F.lit(NONE))
-        return let(lowest, lambda m: F.when(m == NONE, state).otherwise(let(F.array_position(pairs, m).cast("int"), merge)))
+            return let(ends, join)
 
-    def fold(parts: Column) -> Column:
-        pairs = F.transform(F.slice(parts, 2, F.size(parts)), lambda p, i: ranks.rank(F.concat(F.get(parts, i), p)))
-        start = F.struct(parts.alias("parts"), pairs.alias("pairs"))
-        return F.aggregate(F.sequence(F.lit(2), F.size(parts)), start, step, lambda state: state["parts"])
+        return let(F.array_min(pairs), lambda m: F.when(m == NONE, state).otherwise(let(F.array_position(pairs, m).cast("int"), remove)))
 
-    return let(F.regexp_extract_all(held, F.lit(".."), F.lit(0)), fold)
+    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda k: rank(F.substring(held, k * 2 - 1, F.lit(4))))
+    left = F.aggregate(F.sequence(F.lit(2), n), F.struct((_bit(n + 1) - 1).alias("bits"), pairs.alias("pairs")), step, lambda state: state["bits"])
+    places = let(left, lambda bits: F.filter(F.sequence(F.lit(0), n), lambda k: bits.bitwiseAND(_bit(k)) != 0))
+    return let(places, lambda at: F.transform(F.slice(at, 2, F.size(at)), lambda b, i: between(F.get(at, i), b)))
 
 
-def _long_parts(ranks: Ranks, held: Column) -> Column:
+def _long_parts(rank: Lookup, longest: int, held: Column) -> Column:
     """The tokens of a piece of any length."""
-    windows = F.regexp_extract_all(held, F.lit(f"(?=((?:..){{2,{ranks.longest}}})).."), F.lit(1))
+    windows = F.regexp_extract_all(held, F.lit(f"(?=((?:..){{2,{longest}}})).."), F.lit(1))
 
     def starts(window: Column) -> Column:
         sizes = F.sequence(F.lit(2), (F.length(window) / 2).cast("int"))
-        found = F.transform(sizes, lambda k: let(F.substring(window, F.lit(1), k * 2), lambda s: F.struct(ranks.rank(s).alias("rank"), s.alias("token"))))
+        found = F.transform(sizes, lambda k: let(F.substring(window, F.lit(1), k * 2), lambda s: F.struct(rank(s).alias("rank"), s.alias("token"))))
         return F.filter(found, lambda m: m["rank"] != NONE)
 
     merges = F.sort_array(F.array_distinct(F.flatten(F.transform(windows, starts))))
@@ -171,19 +187,18 @@ def _long_parts(ranks: Ranks, held: Column) -> Column:
     return F.regexp_extract_all(joined, F.lit("<([0-9A-F]+)>"), F.lit(1))
 
 
-def piece_ids(ranks: Ranks, held: Column) -> Column:
+def piece_ids(rank: Lookup, longest: int, held: Column) -> Column:
     """The ids of a piece, given as hexadecimal bytes."""
 
     def merged(h: Column) -> Column:
-        parts = F.when(F.length(h) <= 2 * SHORT, _short_parts(ranks, h)).otherwise(_long_parts(ranks, h))
-        return F.transform(parts, ranks.rank)
+        return F.transform(F.when(F.length(h) <= 2 * SHORT, _short_parts(rank, h)).otherwise(_long_parts(rank, longest, h)), rank)
 
-    return let(held, lambda h: let(ranks.rank(h), lambda whole: F.when(whole != NONE, F.array(whole)).otherwise(merged(h))))
+    return let(held, lambda h: let(rank(h), lambda whole: F.when(whole != NONE, F.array(whole)).otherwise(merged(h))))
 
 
-def word_ids(ranks: Ranks, word: Column) -> Column:
+def word_ids(rank: Lookup, longest: int, word: Column) -> Column:
     """The ids of a text, every piece of it folded."""
-    return F.flatten(F.transform(F.regexp_extract_all(word, F.lit(PIECE), F.lit(0)), lambda p: piece_ids(ranks, _hex(p))))
+    return F.flatten(F.transform(F.regexp_extract_all(word, F.lit(PIECE), F.lit(0)), lambda p: piece_ids(rank, longest, _hex(p))))
 
 
 def words(text: Column) -> Column:
@@ -229,33 +244,36 @@ def frequent_words(docs: DataFrame, ranks: Ranks, text: str = "text", most: int
     if lowest is None:
         return [""] * BUCKETS
     chosen = usable.where(F.col("level") >= lowest)
-    entry = F.concat(F.lit(_ENTRY), "word", F.lit(_VALUE), _listed(word_ids(ranks, F.col("word"))))
-    made = chosen.select(_bucket(F.col("word")).alias("bucket"), entry.alias("entry"))
+    coded = ranks.looking(lambda rank: word_ids(rank, ranks.longest, F.col("word")))
+    entry = F.concat(F.lit(_ENTRY), "word", F.lit(_VALUE), _listed(coded))
+    made = chosen.select(_bucket(F.col("word"), BUCKETS).alias("bucket"), entry.alias("entry"))
     buckets = [""] * BUCKETS
     for row in made.groupBy("bucket").agg(F.array_join(F.collect_list("entry"), "").alias("entries")).collect():
         buckets[row["bucket"]] = row["entries"]
     return buckets
 
 
-def _encoder(ranks: Ranks, memo: list[str]):
-    table = _literal(memo)
+def _encoded(ranks: Ranks, memo: list[str], text: Column) -> Column:
+    """The ids of a text: of each word from the table of frequent ones, or folded."""
 
-    def of_word(word: Column) -> Column:
-        return let(_find(table, word), lambda held: F.when(held == "", _listed(word_ids(ranks, word))).otherwise(held))
+    def of_text(table: Column, rank: Lookup) -> Column:
+        def of_word(word: Column) -> Column:
+            held = F.struct(F.get(table, _bucket(word, BUCKETS)).alias("bucket"), F.concat(F.lit(_ENTRY), word, F.lit(_VALUE)).alias("key"))
+            value = lambda h: F.call_function("substring_index", F.call_function("substring_index", h["bucket"], h["key"], F.lit(-1)), F.lit(_ENTRY), F.lit(1))
+            return let(held, lambda h: F.when(F.contains(h["bucket"], h["key"]), value(h)).otherwise(_listed(word_ids(rank, ranks.longest, word))))
 
-    def of_text(text: Column) -> Column:
-        listed = F.array_join(F.transform(words(text), of_word), ",")
-        return let(listed, lambda x: F.when(x == "", F.array().cast("array<int>")).otherwise(F.split(x, ",").cast("array<int>")))
+        return F.array_join(F.transform(words(text), of_word), ",")
 
-    return of_text
+    listed = ranks.looking(lambda rank: let(F.split(F.lit(_BUCKET.join(memo)), _BUCKET), lambda table: of_text(table, rank)))
+    return let(listed, lambda x: F.when(x == "", F.array().cast("array<int>")).otherwise(F.split(x, ",").cast("array<int>")))
 
 
 def encode_texts(docs: DataFrame, ranks: Ranks, text: str = "text", out: str = "ids") -> DataFrame:
     """Add the ids of each text as ``out``."""
     if wrong := untrained(ranks):
         raise ValueError(f"the ranks are not those of trained byte pairs, see {wrong[:3]}")
-    encode = _encoder(ranks, frequent_words(docs.select(text), ranks, text))
-    return add_columns(docs, F.struct(encode(F.col(text)).alias(out)), [out])
+    memo = frequent_words(docs.select(text), ranks, text)
+    return add_columns(docs, F.struct(_encoded(ranks, memo, F.col(text)).alias(out)), [out])
 
 
 def decode_ids(df: DataFrame, ranks: Ranks, ids: str = "ids", out: str = "decoded") -> DataFrame:
