@@ -109,34 +109,38 @@ def peel(cells: Column) -> Column:
 def _difference(a: Column, b: Column, table_a: Column, table_b: Column) -> Column:
     """(ok, ours, theirs) of two sets of digests by their tables; a table that fails is retried as four, each with a quarter of its digests."""
     none = F.array().cast("array<bigint>")
+    nothing = F.filter(F.array(F.struct(none.alias("a"), none.alias("b"))), lambda _: F.lit(False))
 
     def counted(ours: Column, theirs: Column, failed: Column) -> Column:
         return F.struct(ours.alias("ours"), theirs.alias("theirs"), failed.alias("failed"))
 
-    def retry(state: Column, tables: Column) -> Column:
-        """Peel the tables that failed before, now dealt over ``tables`` tables in all."""
+    def retry(state: Column, shift: Column) -> Column:
+        """Peel the quarters of the tables that failed before; a failed table carries its own digests, so others are not looked at again."""
 
-        def dealt(found: Column, g: Column) -> Column:
-            return F.filter(found, lambda d: F.shiftrightunsigned(d, 6).bitwiseAND(tables - 1) == g)
+        def quarter(k: int):
+            def of(found: Column) -> Column:
+                return F.filter(found, lambda d: F.call_function("shiftrightunsigned", d, shift).bitwiseAND(F.lit(3).cast("bigint")) == k)
 
-        def add(acc: Column, g: Column) -> Column:
+            return lambda t: F.struct(of(t["a"]).alias("a"), of(t["b"]).alias("b"))
+
+        def add(acc: Column, t: Column) -> Column:
             def judge(p: Column) -> Column:
                 return F.when(p["ok"], counted(acc["ours"] + p["ours"], acc["theirs"] + p["theirs"], acc["failed"])).otherwise(
-                    counted(acc["ours"], acc["theirs"], F.array_append(acc["failed"], g))
+                    counted(acc["ours"], acc["theirs"], F.array_append(acc["failed"], t))
                 )
 
-            return let(peel(_subtract(sketch(dealt(a, g)), sketch(dealt(b, g)))), judge)
+            return let(peel(_subtract(sketch(t["a"]), sketch(t["b"]))), judge)
 
-        quarter = (tables / 4).cast("bigint")
-        again = F.flatten(F.transform(state["failed"], lambda g: F.array(*[g + quarter * k for k in range(4)])))
-        return F.aggregate(again, counted(state["ours"], state["theirs"], none), add)
+        again = F.flatten(F.transform(state["failed"], lambda t: F.array(*[quarter(k)(t) for k in range(4)])))
+        return F.aggregate(again, counted(state["ours"], state["theirs"], nothing), add)
 
     def first(p: Column) -> Column:
-        return F.when(p["ok"], counted(p["ours"], p["theirs"], none)).otherwise(counted(F.lit(0), F.lit(0), F.array(F.lit(0).cast("bigint"))))
+        whole = F.array(F.struct(a.alias("a"), b.alias("b")))
+        return F.when(p["ok"], counted(p["ours"], p["theirs"], nothing)).otherwise(counted(F.lit(0), F.lit(0), whole))
 
-    sizes = F.transform(F.sequence(F.lit(1), F.lit(TRIES - 1)), lambda k: F.pow(F.lit(4), k).cast("bigint"))
+    shifts = F.array(*[F.lit(6 + 2 * k) for k in range(TRIES - 1)])
     start = let(peel(_subtract(table_a, table_b)), first)
-    ended = F.aggregate(sizes, start, lambda state, tables: F.when(F.size(state["failed"]) == 0, state).otherwise(retry(state, tables)))
+    ended = F.aggregate(shifts, start, lambda state, shift: F.when(F.size(state["failed"]) == 0, state).otherwise(retry(state, shift)))
     return let(ended, lambda e: F.struct((F.size(e["failed"]) == 0).alias("ok"), e["ours"].alias("ours"), e["theirs"].alias("theirs")))
 
 
