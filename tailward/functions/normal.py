@@ -21,7 +21,11 @@ def norm_pdf(x: Column) -> Column:
 
 
 def norm_cdf(x: Column) -> Column:
-    """P(Z <= x) in double precision."""
+    """P(Z <= x) in double precision.
+
+    Each part is mentioned once, as a mention is code of its own: the two ways to the tail
+    differ by what the density is multiplied with, and the side only by sign and offset.
+    """
     a = F.abs(x)
     top, bottom, fraction = F.lit(0.0), F.lit(0.0), a + F.lit(0.65)
     for c in UPPER:
@@ -30,6 +34,6 @@ def norm_cdf(x: Column) -> Column:
         bottom = bottom * a + F.lit(c)
     for k in (4.0, 3.0, 2.0, 1.0):
         fraction = a + F.lit(k) / fraction
-    density = F.exp(-a * a / F.lit(2.0))
-    upper = F.when(a < FAR_TAIL, density * top / bottom).otherwise(density / fraction * F.lit(INV_SQRT_2PI))
-    return F.when(x >= 0, F.lit(1.0) - upper).otherwise(upper)
+    shape = F.when(a < FAR_TAIL, top / bottom).otherwise(F.lit(INV_SQRT_2PI) / fraction)
+    side = F.when(x >= 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    return side + (F.lit(1.0) - side * 2) * (F.exp(-a * a / F.lit(2.0)) * shape)
