@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tailward.functions.quantile import weighted_quantiles
 from tailward.operators.events import fuse_events, label_bars
-from tailward.operators.neighbours import similar_history
+from tailward.operators.neighbours import CellIndex, similar_history
 from tailward.operators.profiling import dedup_latest, profile
 from tailward.operators.tailrisk import cvar
 
@@ -88,13 +88,13 @@ def test_labels_match_brute_force(spark):
         assert got[v, bar] == int(any(k == v and bar < s <= bar + timedelta(hours=4) for k, s in starts)), (v, bar)
 
 
-@pytest.mark.parametrize("block", [4, 16, 1000])
-def test_neighbours_match_brute_force(spark, block):
+@pytest.mark.parametrize("cell", [4, 16, 1000])
+def test_neighbours_match_brute_force(spark, cell):
     rng = random.Random(6)
     points = [(0 if i < 90 else 1, i, float(rng.randrange(0, 5)), rng.choice([None, float(rng.randrange(0, 3))])) for i in range(100)]
     df = spark.createDataFrame(points, "variety int, bar int, x double, y double")
     got = {}
-    for r in similar_history(df, ["x", "y"], k=3, block=block).orderBy("variety", "bar", "nth").collect():
+    for r in similar_history(df, ["x", "y"], k=3, cell=cell).orderBy("variety", "bar", "nth").collect():
         got.setdefault((r.variety, r.bar), []).append((round(r.distance, 9), r.match_bar))
     expected = {}
     for v, t, x, y in points:
@@ -106,15 +106,59 @@ def test_neighbours_match_brute_force(spark, block):
     assert got == expected
 
 
-def test_neighbours_skip_blocks_out_of_reach(spark):
-    """Two far clusters: rows of one never need the blocks of the other."""
+def computed(df, vec, cell, k=5):
+    """Pairs whose distance the index computes, and pairs of a row and an earlier one."""
+    index = CellIndex(df, vec, k, "variety", "bar", cell)
+    offered = index.offered.select("variety", F.col("_unit").alias("_to"), F.col("_t").alias("_earlier"), "_apart")
+    queries = index.points.select("variety", F.col("_unit").alias("_to"), "_t")
+    inside = queries.join(offered, ["variety", "_to"]).where("_earlier < _t").count()
+    routed = index.routed(index.own()).select("variety", "_to", "_t", "_far", "_limit")
+    ring = F.col("_limit").isNull() | (F.abs(F.col("_far") - F.col("_apart")) <= F.col("_limit"))
+    across = routed.join(offered, ["variety", "_to"]).where("_earlier < _t").where(ring).count()
+    every = df.groupBy("variety").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+    return inside + across, every
+
+
+def test_neighbours_skip_units_out_of_reach(spark):
+    """Two far clusters: rows of one never need the units of the other."""
     points = [(0, i, 0.0 if i % 8 < 4 else 1000.0 + i % 3) for i in range(64)]
     df = spark.createDataFrame(points, "variety int, bar int, x double")
-    rows = similar_history(df, ["x"], k=2, block=8).collect()
+    rows = similar_history(df, ["x"], k=2, cell=8).collect()
     late = [r for r in rows if r.bar >= 16]
     assert all(r.distance < 10 for r in late)
 
 
+def test_equal_rows_take_the_earliest_and_are_offered_k_times(spark):
+    points = [(0, i, 1.0 if i % 3 else float(i)) for i in range(300)]
+    df = spark.createDataFrame(points, "variety int, bar int, x double")
+    got = {}
+    for r in similar_history(df, ["x"], k=2, cell=16).collect():
+        got.setdefault(r.bar, []).append((r.nth, r.match_bar, r.distance))
+    for _, i, x in points:
+        wanted = sorted((abs(x - y), j) for _, j, y in points[:i])[:2]
+        assert sorted(got.get(i, [])) == [(n, j, d) for n, (d, j) in enumerate(wanted, 1)]
+    done, every = computed(df, ["x"], 16, k=2)
+    assert done < every / 4
+
+
+def test_neighbours_of_heavy_tails_compute_few_pairs(spark):
+    """Shocks of a few factors, as in a surface that moves as a whole: equal to brute force, with a fifth of the pairs at most."""
+    rng = np.random.default_rng(2)
+    n, vec = 2500, [f"f{j}" for j in range(11)]
+    x = rng.standard_t(1.5, (n, 3)) @ rng.normal(size=(3, 11)) + 0.05 * rng.standard_t(2, (n, 11))
+    df = spark.createDataFrame([(0, i, *map(float, v)) for i, v in enumerate(x)], "variety int, bar int, " + ", ".join(f"{c} double" for c in vec))
+    done, every = computed(df, vec, 32)
+    assert done < 0.2 * every
+    got = {}
+    for r in similar_history(df, vec, cell=32).collect():
+        got.setdefault(r.bar, []).append((r.nth, r.match_bar))
+    for i in range(1, n):
+        d = np.zeros(i)
+        for j in range(11):
+            d += (x[i, j] - x[:i, j]) ** 2
+        assert [m for _, m in sorted(got[i])] == np.lexsort((np.arange(i), np.sqrt(d)))[:5].tolist()
+
+
 def test_profile_exact_and_sketch(spark):
     rng = random.Random(8)
     rows = [(rng.choice([None, 1.0, 2.0, rng.random() * 100]), i % 7) for i in range(500)]
