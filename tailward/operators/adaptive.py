@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -9,6 +11,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tailward.functions.time import interval
+from tailward.session import stage
+
+REG_GRID = [0.001, 0.01, 0.1, 1.0]
 TAUS = [round(i / 100, 2) for i in range(1, 100)]
 
 
@@ -18,17 +24,72 @@ def bc_fit(df: DataFrame, features: list[str], label: str = "label", reg: float
     ``df`` must hold the training period only. Missing values become the training
     median; regularisation keeps the coefficients finite on separable labels.
     """
+    return bc_fits(df, features, [reg], label)[0]
+
+
+def bc_fits(df: DataFrame, features: list[str], regs: list[float], label: str = "label") -> list[PipelineModel]:
+    """``bc_fit`` for each regularisation; medians and scales are found once."""
     train = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias(label))
     known = train.agg(*[F.count(c).alias(c) for c in features]).first()
     usable = [c for c in features if known[c] > 0]  # a column without any value has no median
     filled = [f"{c}_filled" for c in usable]
-    stages = [
+    steps = [
         Imputer(inputCols=usable, outputCols=filled, strategy="median"),
         VectorAssembler(inputCols=filled, outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True),
-        LogisticRegression(featuresCol="_scaled", labelCol=label, regParam=reg, probabilityCol="_prob", maxIter=50),
     ]
-    return Pipeline(stages=stages).fit(train)
+    prepared = Pipeline(stages=steps).fit(train)
+    scaled = prepared.transform(train).select("_scaled", label)
+    fit = lambda reg: LogisticRegression(featuresCol="_scaled", labelCol=label, regParam=reg, probabilityCol="_prob", maxIter=50).fit(scaled)
+    return [PipelineModel(stages=[*prepared.stages, fit(reg)]) for reg in regs]
+
+
+def with_folds(df: DataFrame, folds: int, order: str = "bar") -> tuple[DataFrame, list[datetime]]:
+    """Add ``fold`` by equal spans of time, and the start of each: 0 is only learned from, 1 to ``folds`` are judged on."""
+    span = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    if span["lo"] is None:
+        return df.withColumn("fold", F.lit(None).cast("int")), []
+    step = (span["hi"] - span["lo"]) / (folds + 1)
+    starts = [span["lo"] + step * i for i in range(folds + 1)]
+    reached = [(F.col(order) >= F.lit(t).cast("timestamp_ntz")).cast("int") for t in starts[1:]]
+    return df.withColumn("fold", sum(reached, F.lit(0))), starts
+
+
+def tuning_sweep(
+    df: DataFrame, features: list[str], grid: list[float] = REG_GRID, folds: int = 3, horizon: str = "4 hours", label: str = "label", order: str = "bar"
+) -> DataFrame:
+    """Walk-forward choice of the regularisation: one row per fold and grid point, ``chosen`` where its loss is the fold's lowest.
+
+    A fold is judged by models that saw earlier folds only. A label looks ``horizon`` ahead, so
+    bars whose horizon reaches into the fold are left out of its training. Losses are the mean
+    log loss; equal ones go to the stronger regularisation. A fold whose training or own rows
+    hold a single label has no loss and no choice.
+
+    Result: ``fold``, ``reg``, ``n_train``, ``n_valid``, ``train_end``, ``valid_start``, ``log_loss``, ``chosen``.
+    """
+    spark = df.sparkSession
+    folded, starts = with_folds(df.where(F.col(label).isNotNull()), folds, order)
+    rows = stage(folded.select("fold", order, *features, label), "folds")
+    result = []
+    for fold, begin in enumerate(starts[1:], 1):
+        train = rows.where((F.col("fold") < fold) & (F.col(order) + interval(horizon) <= F.lit(begin).cast("timestamp_ntz")))
+        valid = rows.where(F.col("fold") == fold)
+        seen = train.agg(F.count("*").alias("n"), F.sum(label).alias("ones"), F.max(order).alias("end")).first()
+        judged = valid.agg(F.count("*").alias("n"), F.min(order).alias("start")).first()
+        losses = dict.fromkeys(grid)
+        if judged["n"] and seen["ones"] and seen["ones"] < seen["n"]:
+            models = bc_fits(train, features, grid, label)
+            p = lambda i: F.least(F.greatest(F.col(f"p_{i}"), F.lit(1e-15)), F.lit(1 - 1e-15))
+            scored = valid
+            for i, model in enumerate(models):
+                scored = bc_score(model, scored, f"p_{i}")
+            loss = lambda i: F.avg(-F.when(F.col(label) == 1, F.ln(p(i))).otherwise(F.ln(1 - p(i)))).alias(f"loss_{i}")
+            losses = dict(zip(grid, scored.agg(*[loss(i) for i in range(len(grid))]).first(), strict=True))
+        known = [(round(loss, 9), -reg) for reg, loss in losses.items() if loss is not None]
+        best = -min(known)[1] if known else None
+        for reg, loss in losses.items():
+            result.append((fold, float(reg), seen["n"], judged["n"], seen["end"], judged["start"], loss, reg == best))
+    return spark.createDataFrame(result, "fold int, reg double, n_train bigint, n_valid bigint, train_end timestamp_ntz, valid_start timestamp_ntz, log_loss double, chosen boolean")
 
 
 def bc_coefficients(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from tailward.session import stage
 
 KEY = ["variety", "bar"]
 CUT_QUANTILES = [0.90, 0.97, 0.99]
+SKETCH_K = 4096  # rank error of a merged sketch about 0.1 %
 SYSTEM = -1  # stands for "all varieties together" in the system track
 
 
@@ -33,6 +34,33 @@ def calibrate(df: DataFrame, cols: list[str], qs: list[float] = CUT_QUANTILES, k
     return cuts.select(key, "feature", *[F.round(F.get("cuts", F.lit(i)), 9).alias(f"cut_{i + 1}") for i in range(len(qs))])
 
 
+def sketch_days(df: DataFrame, cols: list[str], key: str = "variety", order: str = "bar", k: int = SKETCH_K) -> DataFrame:
+    """One mergeable quantile sketch of ``|z_<col>|`` per key, feature and day.
+
+    A stored table of these is calibrated again each day by adding the day's rows; the bars
+    before are not read. A sketch holds at most a few times ``k`` values, whatever it has seen, and all of them
+    while there are no more than ``k``.
+    """
+    long = df.select(key, F.to_date(order).alias("day"), *[strength(c).alias(c) for c in cols]).unpivot([key, "day"], cols, "feature", "size")
+    return long.groupBy(key, "feature", "day").agg(F.count("size").alias("n"), F.kll_sketch_agg_double("size", k).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, key: str = "variety") -> DataFrame:
+    """One sketch per key and feature: of all days, or of days merged before."""
+    return sketches.groupBy(key, "feature").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def calibrate_sketched(sketches: DataFrame, qs: list[float] = CUT_QUANTILES, key: str = "variety") -> DataFrame:
+    """The cuts of ``calibrate`` from sketches: values that occurred, without interpolation; null for a feature without values.
+
+    The share of values up to a cut is within the sketch's rank error of the quantile (about
+    2.5 / ``k`` ** 0.94 at 99 % confidence), and exact while there are no more than ``k`` values.
+    """
+    merged = merge_sketches(sketches, key)
+    cut = lambda q: F.round(F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q))), 9)
+    return merged.select(key, "feature", *[cut(q).alias(f"cut_{i + 1}") for i, q in enumerate(qs)])
+
+
 def _wide(cuts: DataFrame, cols: list[str], key: str, levels: int) -> DataFrame:
     marks = F.array(*[F.col(f"cut_{i + 1}") for i in range(levels)])
     return cuts.groupBy(key).agg(F.lit(True).alias("_known"), *[F.max(F.when(F.col("feature") == c, marks)).alias(f"cuts_{c}") for c in cols])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tailward import schemas
-from tailward.operators import adaptive, events, features, graph, greeks, pricing, profiling, tailrisk, views, warnings
+from tailward.operators import adaptive, events, features, graph, greeks, pricing, profiling, sessions, tailrisk, views, warnings
 from tailward.operators.features import FEATURES
 from tailward.plans.products import SOURCES, Z_SCORES, Products
 from tailward.session import scratch_path
@@ -122,6 +122,16 @@ def _(p: Products) -> DataFrame:
     return profiling.missing_bars(p.quotes, "variety", "ts")
 
 
+@query("p2_session_coverage")
+def _(p: Products) -> DataFrame:
+    return sessions.session_coverage(p.quotes, p.calendar)
+
+
+@query("p2_missing_open_bars")
+def _(p: Products) -> DataFrame:
+    return sessions.missing_open_bars(p.quotes, p.calendar)
+
+
 @query("p3_align_quality")
 def _(p: Products) -> DataFrame:
     kept = profiling.clean(p.quotes, rules(priced=False))
@@ -241,6 +251,11 @@ def _(p: Products) -> DataFrame:
     return events.label_bars(p.bars.select("variety", "bar"), p.exo)
 
 
+@query("e2_session_labels")
+def _(p: Products) -> DataFrame:
+    return sessions.session_labels(p.bars.select("variety", "bar"), p.exo, p.calendar)
+
+
 @query("e3_event_coverage")
 def _(p: Products) -> DataFrame:
     return events.event_coverage(p.exo, p.quotes, SOURCES)
@@ -254,6 +269,12 @@ def _(p: Products) -> DataFrame:
     return p.cuts
 
 
+@query("w1_calibrate_sketched")
+def _(p: Products) -> DataFrame:
+    days = warnings.sketch_days(p.training(p.scored), features.FEATURES)
+    return warnings.calibrate_sketched(days)
+
+
 @query("w2_score_levels")
 def _(p: Products) -> DataFrame:
     return p.raw_levels.select("variety", "bar", "hits_1", "hits_2", "hits_3", "level", "no_cuts")
@@ -269,6 +290,11 @@ def _(p: Products) -> DataFrame:
     return p.episodes
 
 
+@query("w4_session_episodes")
+def _(p: Products) -> DataFrame:
+    return sessions.session_episodes(p.levels, p.calendar)
+
+
 @query("w5_systemic")
 def _(p: Products) -> DataFrame:
     return warnings.systemic(p.levels)
@@ -300,6 +326,11 @@ def _(p: Products) -> DataFrame:
     return rounded(scored.select("variety", "bar", "score"), ["score"], 6)
 
 
+@query("a1_tuning_sweep")
+def _(p: Products) -> DataFrame:
+    return rounded(adaptive.tuning_sweep(p.training(p.labelled), Z_SCORES), ["log_loss"], 6)
+
+
 @query("a1_bc_gradient")
 def _(p: Products) -> DataFrame:
     found = adaptive.bc_gradient(p.model, p.training(p.labelled))

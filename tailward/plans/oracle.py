@@ -77,8 +77,9 @@ SELECT s.event_id * 28 + (m.i + 3) * 4 + t.t * 2 + p.c AS quote_id, s.ts, s.vari
        CAST(1 + (s.event_id * 5 + m.i + 3) % 50 AS BIGINT) AS bid_size,
        CAST(1 + (s.event_id * 3 + (m.i + 3) * 7 + p.c * 11) % 50 AS BIGINT) AS ask_size,
        CAST(CASE WHEN s.event_id % 13 = 0 THEN 1 ELSE (s.event_id * 11 + (m.i + 3) * 5 + p.c * 2 + t.t) % 3 - 1 END AS INT) AS side
-FROM (SELECT event_id, ts, CAST(user_id % 6 AS INT) AS variety, CAST(100 AS DOUBLE) + value / 10 AS fwd,
-             CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM events WHERE event_id % 3 <> 0) s
+FROM (SELECT event_id, CASE WHEN (hour(ts) * 2 + minute(ts) // 30) % 3 = 0 THEN ts + INTERVAL 30 MINUTES ELSE ts END AS ts,
+             CAST(user_id % 6 AS INT) AS variety, CAST(100 AS DOUBLE) + value / 10 AS fwd,
+             CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM events) s
 CROSS JOIN (VALUES (-3), (-2), (-1), (0), (1), (2), (3)) m(i)
 CROSS JOIN (VALUES (0), (1)) t(t)
 CROSS JOIN (VALUES (0), (1)) p(c))""",
@@ -523,6 +524,26 @@ oracle(
 FROM {GRID} LEFT JOIN {SEEN} GROUP BY ALL""",
 )
 oracle("p2_missing_bars", f"SELECT g.variety, CAST(g.bar AS DATE) AS day, g.bar FROM {GRID} LEFT JOIN {SEEN} WHERE q.bar IS NULL")
+WEEK = "(VALUES (540, 690), (810, 900), (1260, 1500)) h(o, c)"
+table(
+    "open_bars",
+    f"""
+SELECT variety, bar, CAST(row_number() OVER (PARTITION BY variety ORDER BY bar) - 1 AS INT) AS ordinal FROM (
+    SELECT DISTINCT variety, unnest(range(day + o * INTERVAL 1 MINUTE, day + c * INTERVAL 1 MINUTE, INTERVAL 15 MINUTES)) AS bar
+    FROM (SELECT DISTINCT variety, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day FROM quotes) CROSS JOIN {WEEK}
+    WHERE isodow(day) <= 5 AND (o < 1260 OR variety % 2 = 0))""",
+)
+BARS_SEEN = "(SELECT DISTINCT variety, bar FROM quotes) q"
+oracle(
+    "p2_session_coverage",
+    f"""SELECT coalesce(g.variety, q.variety) AS variety, CAST(coalesce(g.bar, q.bar) AS DATE) AS day,
+    count(*) FILTER (g.bar IS NOT NULL AND q.bar IS NOT NULL) AS n_present, count(*) FILTER (q.bar IS NULL) AS n_missing, count(*) FILTER (g.bar IS NULL) AS n_outside
+FROM open_bars g FULL JOIN {BARS_SEEN} ON g.variety = q.variety AND g.bar = q.bar GROUP BY ALL""",
+)
+oracle(
+    "p2_missing_open_bars",
+    f"SELECT g.variety, CAST(g.bar AS DATE) AS day, g.bar FROM open_bars g LEFT JOIN {BARS_SEEN} ON g.variety = q.variety AND g.bar = q.bar WHERE q.bar IS NULL",
+)
 table("kept", "SELECT * FROM quotes WHERE tenor_days > 0 AND open_interest >= 110 AND bid_size + ask_size >= 6")
 feature_tables("_kept", "kept")
 for _name, _other in (("p3_align_quality", "features_kept"), ("p3b_align_quality", "features_b")):
@@ -591,6 +612,13 @@ FROM features f FULL JOIN greek_b g ON f.variety = g.variety AND f.bar = g.bar""
 
 oracle("e1_fuse_events", "SELECT * FROM fused")
 oracle("e2_label_bars", "SELECT variety, bar, label FROM labelled")
+oracle(
+    "e2_session_labels",
+    """SELECT variety, bar, CASE WHEN ordinal IS NOT NULL THEN CAST(EXISTS (
+        SELECT 1 FROM exo x WHERE x.variety = b.variety AND x.start_ts > b.bar AND (b.last IS NULL OR x.start_ts <= b.last)) AS INT) END AS label
+FROM (SELECT q.variety, q.bar, o.ordinal, e.bar AS last FROM (SELECT DISTINCT variety, bar FROM quotes) q
+      LEFT JOIN open_bars o ON o.variety = q.variety AND o.bar = q.bar LEFT JOIN open_bars e ON e.variety = o.variety AND e.ordinal = o.ordinal + 16) b""",
+)
 oracle(
     "e3_event_coverage",
     """SELECT variety, source, min(start_ts) AS first_start, max(start_ts) AS last_start, count(start_ts) AS n_events
@@ -601,9 +629,20 @@ FULL JOIN exo USING (variety, source) GROUP BY ALL""",
 # Rule warnings and backtest
 
 oracle("w1_calibrate", "SELECT * FROM cuts")
+# A sketch keeps all values while they are few, as in each variety here, so its cuts are the discrete quantiles.
+DISCRETE = ", ".join(rnd(f"quantile_disc(size, {q})", 9, f"cut_{i}") for i, q in enumerate(CUT_QUANTILES, 1))
+oracle("w1_calibrate_sketched", f"SELECT variety, feature, {DISCRETE} FROM sizes WHERE bar < TIMESTAMP '{SPLIT}' GROUP BY variety, feature")
 oracle("w2_score_levels", "SELECT * FROM scored")
 oracle("w3_debounce", "SELECT * FROM held")
 oracle("w4_episodes", runs("held", "variety"))
+oracle(
+    "w4_session_episodes",
+    """SELECT variety, min(bar) AS start_bar, max(bar) AS end_bar, count(*) AS n_bars, max(level) AS peak_level
+FROM (SELECT *, sum(CASE WHEN last IS NULL OR ordinal > last + 2 THEN 1 ELSE 0 END) OVER (PARTITION BY variety ORDER BY bar) AS run
+      FROM (SELECT h.variety, h.bar, h.level, o.ordinal, lag(o.ordinal) OVER (PARTITION BY h.variety ORDER BY h.bar) AS last
+            FROM held h JOIN open_bars o ON o.variety = h.variety AND o.bar = h.bar WHERE h.level >= 1))
+GROUP BY variety, run""",
+)
 oracle(
     "w5_systemic",
     "SELECT bar, count(*) FILTER (level >= 1) AS n_varieties, count(*) FILTER (level >= 1) >= 3 AS is_systemic FROM held GROUP BY bar",

@@ -12,7 +12,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailward.operators import adaptive, events, features, graph, greeks, tailrisk, warnings
+from tailward.operators import adaptive, events, features, graph, greeks, sessions, tailrisk, warnings
 from tailward.operators.bars import to_bars
 from tailward.operators.neighbours import similar_history
 from tailward.session import stage
@@ -51,6 +51,12 @@ class Products:
     def bars(self) -> DataFrame:
         return to_bars(self.quotes, "variety", "ts", "fwd", "volume", "quote_id")
 
+    @cached_property
+    def calendar(self) -> DataFrame:
+        """Open bars of the days with quotes."""
+        days = self.quotes.select("variety", F.to_date("ts").alias("day")).distinct()
+        return sessions.open_bars(sessions.weekly_sessions(days, fixture.week(self.spark)))
+
     @cached_property
     def features(self) -> DataFrame:
         return features.build_features(self.quotes)

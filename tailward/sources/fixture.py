@@ -60,12 +60,14 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uneven_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two thirds of the events, each a snapshot of 7 strikes and 2 tenors that differ from event to event.
+    """All events, each a snapshot of 7 strikes and 2 tenors that differ from event to event.
 
-    Volatility bends by event over moneyness and tenor; some are unknown, and some strikes are zero.
+    Events of every third half hour are moved to the next one, so that bars are missing. Volatility
+    bends by event over moneyness and tenor; some are unknown, and some strikes are zero.
     """
     legs = F.array(*[F.struct(F.lit(i).alias("m"), F.lit(t).alias("t"), F.lit(p).alias("p")) for i in range(-3, 4) for t in (0, 1) for p in (0, 1)])
-    events = _events(spark, sf_dir).where(F.col("event_id") % 3 != 0).select("event_id", "ts", "user_id", "value", "props")
+    moved = F.when((F.hour("ts") * 2 + F.floor(F.minute("ts") / 30)) % 3 == 0, F.col("ts") + F.expr("INTERVAL 30 MINUTES")).otherwise(F.col("ts"))
+    events = _events(spark, sf_dir).select("event_id", moved.alias("ts"), "user_id", "value", "props")
     snaps = events.repartition("event_id").select("event_id", "ts", _variety(), (F.lit(100.0) + F.col("value") / 10).alias("fwd"), _k().alias("k"))
     m, p, t, eid, k = F.col("m"), F.col("p"), F.col("t"), F.col("event_id"), F.col("k")
     tenor = F.when(t == 0, 20 + eid % 3 * 7).otherwise(85 + eid % 4 * 6).cast("int")
@@ -116,3 +118,10 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.to_date("ts").alias("obs_date"))
         .agg(F.round(F.avg("value"), 6).alias("macro_index"))
     )
+
+
+def week(spark: SparkSession) -> DataFrame:
+    """A weekly plan of sessions: mornings and afternoons on weekdays, and nights that run past midnight for even varieties."""
+    day = [(v, d, a, b) for v in range(6) for d in range(1, 6) for a, b in ((9 * 60, 11 * 60 + 30), (13 * 60 + 30, 15 * 60))]
+    night = [(v, d, 21 * 60, 25 * 60) for v in (0, 2, 4) for d in range(1, 6)]
+    return spark.createDataFrame(day + night, "variety int, weekday int, open_minute int, close_minute int")

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+import re
 from datetime import date, datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tailward import schemas
 from tailward.functions.normal import norm_cdf
 from tailward.operators import adaptive, bars, events, features, graph, greeks, pricing, profiling, tailrisk, views, warnings
-from tailward.plans.catalog import rules
+from tailward.plans.catalog import QUERIES, rules
 from tailward.plans.products import Products
 from tailward.sources import archive, fixture
 
@@ -137,6 +139,66 @@ def test_normal_distribution_in_double_precision(spark):
         assert r.p == pytest.approx(0.5 * math.erfc(-r.x / math.sqrt(2)), rel=1e-9, abs=1e-15)
 
 
+def test_volatility_takes_few_steps_and_equals_bisection():
+    rng = np.random.default_rng(0)
+    n = 20_000
+    fwd, years = rng.uniform(80, 150, n), rng.uniform(0.02, 2, n)
+    strike, vol = fwd * np.exp(rng.normal(0, 0.2, n)), np.exp(rng.uniform(np.log(0.05), np.log(3), n))
+
+    def worth(iv):
+        d1 = np.log(fwd / strike) / (iv * np.sqrt(years)) + iv * np.sqrt(years) / 2
+        return fwd * pricing._cdf(d1) - strike * pricing._cdf(d1 - iv * np.sqrt(years))
+
+    price = worth(vol)
+    found, taken = pricing.call_volatility(price, fwd, strike, years, 1e-4, 5.0, 1e-11, 60)
+    low, high = np.full(n, 1e-4), np.full(n, 5.0)
+    for _ in range(60):
+        mid = (low + high) / 2
+        below = worth(mid) < price
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    d1 = np.log(fwd / strike) / (vol * np.sqrt(years)) + vol * np.sqrt(years) / 2
+    firm = fwd * np.sqrt(years) * np.exp(-d1 * d1 / 2) > 1e-2  # a price that says what the volatility is
+    assert firm.mean() > 0.9 and np.abs(found - mid)[firm].max() < 1e-9
+    assert taken[firm].mean() < 11 and np.quantile(taken[firm], 0.99) < 25
+
+
+def test_price_methods_stay_below_the_compile_limit(spark, sf_dir):
+    """The generated methods of pricing queries are small enough for the JVM to compile."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # only a plan that is final has its code
+    try:
+        for name in ("f2_black76_price", "p4_validate", "f3_implied_vol"):
+            plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan()
+            text = spark.sparkContext._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+            assert sizes and max(sizes) < 8000, (name, sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_sketched_cuts_merge_by_day_within_their_rank_error(spark):
+    rng = np.random.default_rng(5)
+    n = 40_000
+    size = rng.standard_t(1.5, n)
+    rows = [(int(k % 3), T0 + timedelta(minutes=15 * (k // 3)), float(v), None) for k, v in enumerate(size)]
+    df = spark.createDataFrame(rows, "variety int, bar timestamp_ntz, z_a double, z_b double")
+    days = warnings.sketch_days(df, ["a", "b"], k=400)
+    assert days.select("day").distinct().count() > 100
+    merged = warnings.merge_sketches(days.where("day < '2024-02-01'")).unionByName(days.where("day >= '2024-02-01'").select("variety", "feature", "n", "sketch"))
+    cuts = {(r.variety, r.feature): r for r in warnings.calibrate_sketched(merged).collect()}
+    assert len(cuts) == 6
+    for v in range(3):
+        held = np.sort(np.abs(size[v::3]))
+        row = cuts[v, "a"]
+        for q, cut in zip(warnings.CUT_QUANTILES, (row.cut_1, row.cut_2, row.cut_3), strict=True):
+            assert abs(np.searchsorted(held, cut, "right") / len(held) - q) < 2.5 / 400**0.94
+        assert cuts[v, "b"].cut_1 is None
+    whole = {(r.variety, r.feature): r for r in warnings.calibrate_sketched(warnings.sketch_days(df.where("bar < '2024-01-05'"), ["a"], k=4096)).collect()}
+    for v in range(3):
+        few = np.sort(np.round(np.abs(size[v::3][: 96 * 4 - 36]), 6))
+        for q, cut in zip(warnings.CUT_QUANTILES, (whole[v, "a"].cut_1, whole[v, "a"].cut_2, whole[v, "a"].cut_3), strict=True):
+            assert cut == few[int(np.ceil(q * len(few))) - 1]
+
+
 def test_rows_without_a_price_are_null_and_counted(table):
     df = pricing.black76_price(table(quote(1, 0), quote(2, 0), quote(3, 0, iv=None)).withColumn("strike", F.when(F.col("quote_id") == 1, 0.0).otherwise(100.0)))
     got = {r.quote_id: r.price for r in df.collect()}
