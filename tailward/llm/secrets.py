@@ -7,7 +7,7 @@ be given in parts: an identifier, a secret and an endpoint. Weak candidates for
 reported, as ``part_id``, ``part_secret`` and ``part_endpoint``, only where a
 complementary part lies within ``scope`` code points: an identifier needs a secret and a
 secret an identifier or an endpoint that it is no part of; an endpoint needs a base span, or
-an identifier and a secret. A mixed token has 12 signs or more, among them letters and
+an identifier and a secret. A token within an identifier is that identifier's value and no secret. A mixed token has 12 signs or more, among them letters and
 digits, or small letters before capitals; of those under 20 signs, dates, and words and
 numbers joined by ``-``, ``/`` or ``_``, are none. A token of small letters or of capitals
 alone is a word.
@@ -128,9 +128,13 @@ def find_secrets(docs: DataFrame, text: str = "text", scope: int = 200) -> DataF
     )
     base = F.concat(*[F.col(f"_span_{k}") for k in range(len(BASE))])
     within = F.transform(f"_span_{_TOKEN}", lambda t: F.struct(t["start"], F.when(F.exists(f"_span_{KINDS.index('part_endpoint')}", lambda e: (e["start"] <= t["start"]) & (t["start"] < e["end"])), F.lit(_INNER)).otherwise(F.lit(_TOKEN)).alias("kind"), t["end"]))
-    tokens = within.cast(f"array<{_SPAN}>")
+    # a part is no complement of itself: a token within an identifier is its value, and an identifier within an assigned value is that value
+    ids, named = f"_span_{KINDS.index('part_id')}", f"_span_{_NAMED}"
+    apart = lambda spans: lambda w: ~F.exists(spans, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
+    tokens = F.filter(within.cast(f"array<{_SPAN}>"), apart(ids))
+    others = [F.filter(ids, apart(named))] + [F.col(f"_span_{k}") for k in range(len(BASE), len(rules)) if k not in (_TOKEN, KINDS.index("part_id"))]
     # a weak candidate that overlaps a base span is that span
-    weak = F.filter(F.concat(*[F.col(f"_span_{k}") for k in range(len(BASE), len(rules)) if k != _TOKEN], tokens), lambda w: ~F.exists("_base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    weak = F.filter(F.concat(*others, tokens), apart("_base"))
     parts = spans.withColumn("_base", base).select("_row", "_base", weak.alias("_weak"))
     parts = parts.withColumn("_parts", F.when(F.size("_weak") == 0, F.array_sort("_base")).otherwise(F.array_sort(F.concat("_base", "_weak"))))
     swept = parts.select(
