@@ -1,7 +1,7 @@
 """Benchmark items in documents, also with other numbers, names or units.
 
 Text is made canonical: a number becomes one placeholder, a unit after a number another,
-and a capitalised word inside a sentence a third; other words are lower-cased. Items of
+and a capitalised word a third, as names also begin sentences; other words are lower-cased. Items of
 equal canonical text form a template, which its smallest item stands for: of many
 re-parameterised variants each document meets one. An item with fewer than ``plain`` words
 that are no placeholder (in all of its words, if it is shorter) says too little for that:
@@ -11,7 +11,8 @@ Hash joins find where a document and a template may agree: each run of ``width``
 words of which ``plain`` are no placeholder, each run of ``plain`` such words that
 placeholders stretch beyond ``width``, each run of ``width`` words as they are where some
 item needs that, and the whole of each item of fewer words. All words are then compared
-along the diagonal found. Where a document holds ``least`` words of a template in a row (or
+along the diagonal found; there a name's place in an item takes a word in lower case too, and a
+capitalised word equals the same word of an item in lower case. Where a document holds ``least`` words of a template in a row (or
 all of a shorter one), the slots of the passage are compared: an item's value must always
 be filled with the same value in it. Items of a template may differ in which of their slots
 are equal, so slots are compared with each such pattern that occurs. If at least
@@ -48,7 +49,7 @@ _WORD = rf"[{_MARKS}]?[\p{{L}}\p{{M}}]+|\p{{N}}+(?:[.,]\p{{N}}+)*"
 def _marked(text: Column) -> Column:
     """The text's words with marks before names and units."""
     clean = F.translate(F.coalesce(text.cast("string"), F.lit("")), _MARKS, "  ")
-    named = F.regexp_replace(clean, r"(?<=[\p{L}\p{N},;:] )(?=\p{Lu}\p{Ll})", _NAME)
+    named = F.regexp_replace(clean, r"(?<![\p{L}\p{M}\p{N}])(?=\p{Lu}\p{Ll})", _NAME)
     units = "|".join(sorted((u for u in UNITS if u.isalpha()), key=len, reverse=True))
     return F.regexp_replace(named, rf"(?<=\p{{N}}) ?(?=(?i:{units})(?![\p{{L}}\p{{N}}]))", " " + _UNIT)
 
@@ -215,7 +216,13 @@ def find_contamination(
             return F.struct(longest.alias("n"), F.when(enough & ~F.col("verbatim"), let(long, slots)).otherwise(F.array().cast("array<struct<place:int,value:string>>")).alias("slots"))
 
         ends = F.size(x["ours"])
-        other = F.filter(F.sequence(F.lit(0), ends), lambda i: (i == ends) | ~F.get(x["ours"], i).eqNullSafe(F.get(x["theirs"], i)))
+
+        def differs(i: Column) -> Column:
+            ours, theirs, value = F.get(x["ours"], i), F.get(x["theirs"], i), F.get(x["values"], i)
+            cased = (ours == value) | (ours.startswith(_NAME) & ~_is_slot(theirs))  # said with other capitals
+            return ~(ours.eqNullSafe(theirs) | F.coalesce(cased, F.lit(False)))
+
+        other = F.filter(F.sequence(F.lit(0), ends), lambda i: (i == ends) | differs(i))
         return let(let(other, parts), judged)
 
     held = found.join(wanted, "doc_id").join(compared, "template").select("doc_id", "copy", "template", "item_id", "item_words", "ahead", let(aligned, passage).alias("_p"))
