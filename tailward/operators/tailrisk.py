@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailward.functions.quantile import weighted_quantiles
 
 ALPHA = 0.95
+# Cumulative probabilities of 0, 1, 2, ... events of a Poisson distribution with mean 1.
+POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(13)]
 METHOD, COMPETITION = "method", "competition"
 
 
@@ -120,6 +124,50 @@ def cvar_improvement(exposed: DataFrame, alphas: list[float] | None = None, targ
     return out.withColumn("meets_target", F.coalesce(F.round("improvement", 9) > F.lit(target), F.lit(False)))
 
 
+def block_weights(days: DataFrame, draws: int, block: int = 5, seed: int = 1) -> DataFrame:
+    """(block, draw, weight): how often each draw takes each block of ``block`` days, Poisson with mean 1; blocks it does not take have no row.
+
+    A weight follows from a hash of seed, block and draw, so draws are the same in every run
+    and no table is resampled. The size is that of the calendar times ``draws``.
+    """
+    blocks = days.select(_block(block).alias("block")).distinct().where("block is not null")
+    each = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("block"), F.col("draw")), 256)
+    uniform = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    weight = sum(((F.col("_u") >= F.lit(c)).cast("int") for c in POISSON), F.lit(0))
+    return each.withColumn("_u", uniform).select("block", "draw", weight.alias("weight")).where("weight > 0")
+
+
+def _block(days: int) -> Column:
+    return F.floor(F.unix_date("day") / F.lit(days)).cast("int")
+
+
+def bootstrap_improvement(
+    exposed: DataFrame, draws: int = 200, block: int = 5, alpha: float = ALPHA, interval: tuple[float, float] = (0.05, 0.95), target: float = 0.1, seed: int = 1
+) -> DataFrame:
+    """An interval for the improvement of each convention and side, by drawing blocks of days with Poisson weights.
+
+    All varieties of a day are drawn together, and the days of a block, so what moves together
+    stays together. A draw's VaR and CVaR count each loss as often as its block was drawn; one
+    without losses, or without a base CVaR, has no improvement and is left out of the interval.
+
+    Result: ``convention``, ``side``, ``n_draws`` with an improvement, ``low``, ``median``, ``high``, and ``share_above`` the target.
+    """
+    held = conventions(exposed).withColumn("block", _block(block))
+    weights = block_weights(exposed, draws, block, seed)
+    books = F.inline(F.array(*[F.struct(F.lit(b).alias("book"), F.col(f"{b}_loss").alias("loss")) for b in ("base", "strategy")]))
+    by = ["convention", "side", "book", "draw"]
+    drawn = held.select("convention", "side", "block", books).where("loss is not null").join(weights, "block").withColumn("_loss", F.round("loss", 9))
+    cuts = drawn.groupBy(*by).agg(F.round(F.percentile("_loss", F.lit(alpha), F.col("weight")), 12).alias("var"))
+    tail = F.when(F.col("_loss") >= F.col("var"), F.col("weight"))
+    risk = drawn.join(cuts, by).groupBy(*by).agg(F.try_divide(F.sum(F.col("loss") * tail), F.sum(tail)).alias("cvar"))
+    pick = lambda book: F.max(F.when(F.col("book") == book, F.col("cvar")))
+    better = risk.groupBy("convention", "side", "draw").agg((F.lit(1.0) - F.try_divide(pick("strategy"), pick("base"))).alias("improvement"))
+    at = F.percentile("improvement", F.array(F.lit(interval[0]), F.lit(0.5), F.lit(interval[1])))
+    found = better.groupBy("convention", "side").agg(F.count("improvement").alias("n_draws"), at.alias("_at"), F.avg((F.round("improvement", 9) > target).cast("double")).alias("share_above"))
+    return found.select("convention", "side", "n_draws", *[F.get("_at", F.lit(k)).alias(n) for k, n in enumerate(("low", "median", "high"))], "share_above")
+
+
 def robust_grid(returns: DataFrame, alerts: DataFrame, hs: list[int], alphas: list[float], levels: list[int]) -> DataFrame:
     """Improvement for every combination of days, level and alpha, in one pass.
 

@@ -420,6 +420,11 @@ def _(p: Products) -> DataFrame:
     return rounded(grid, IMPROVEMENT, 6)
 
 
+@query("c6_block_bootstrap")
+def _(p: Products) -> DataFrame:
+    return rounded(tailrisk.bootstrap_improvement(p.exposed), ["low", "median", "high", "share_above"], 6)
+
+
 @query("c7_robust_subperiod")
 def _(p: Products) -> DataFrame:
     return rounded(tailrisk.robust_subperiod(p.exposed), IMPROVEMENT, 6)

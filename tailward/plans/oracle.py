@@ -6,6 +6,7 @@ import re
 
 from tailward.functions.normal import FAR_TAIL, INV_SQRT_2PI, LOWER, UPPER
 from tailward.operators.features import FEATURES
+from tailward.operators.tailrisk import POISSON
 from tailward.operators.warnings import CUT_QUANTILES
 from tailward.plans.products import SPLIT
 
@@ -705,6 +706,22 @@ oracle(
     "c6_robust_grid",
     f"SELECT h, level, convention, side, {IMPROVEMENT} FROM ({improved('book_grid', ['h', 'level', 'convention', 'side'], (0.90, 0.95, 0.99))})",
 )
+TAKEN = " + ".join(f"CAST(u >= {c!r} AS INT)" for c in POISSON)
+table(
+    "book_drawn",
+    f"""
+SELECT b.convention, b.side, b.book, w.draw, b.loss FROM book_losses b JOIN (
+    SELECT block, draw, {TAKEN} AS weight FROM (
+        SELECT block, draw, CAST('0x' || sha256('1:' || block || ':' || draw)[1:8] AS BIGINT) / 4294967296.0::DOUBLE AS u
+        FROM (SELECT DISTINCT CAST(floor((day - DATE '1970-01-01') / 5) AS INT) AS block FROM book_losses) CROSS JOIN range(200) d(draw))
+) w ON w.block = CAST(floor((b.day - DATE '1970-01-01') / 5) AS INT) CROSS JOIN range(30) r(k) WHERE r.k < w.weight""",
+)
+oracle(
+    "c6_block_bootstrap",
+    f"""SELECT convention, side, count(improvement) AS n_draws, {rnd("quantile_cont(improvement, 0.05)", 6, "low")}, {rnd("quantile_cont(improvement, 0.5)", 6, "median")},
+    {rnd("quantile_cont(improvement, 0.95)", 6, "high")}, {rnd("avg(CAST(round(improvement, 9) > 0.1 AS INT))", 6, "share_above")}
+FROM ({improved("book_drawn", ["convention", "side", "draw"])}) GROUP BY convention, side""",
+)
 oracle("c7_robust_subperiod", f"SELECT scope, convention, side, {IMPROVEMENT} FROM ({improved('book_scopes', ['scope', 'convention', 'side'])})")
 
 # Knowledge graph

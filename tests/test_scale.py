@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -13,7 +13,7 @@ from tailward.functions.quantile import weighted_quantiles
 from tailward.operators.events import fuse_events, label_bars
 from tailward.operators.neighbours import CellIndex, similar_history
 from tailward.operators.profiling import dedup_latest, profile
-from tailward.operators.tailrisk import cvar
+from tailward.operators.tailrisk import block_weights, bootstrap_improvement, cvar
 
 T0 = datetime(2024, 1, 1)
 
@@ -199,3 +199,35 @@ def test_features_scan_only_what_they_need(spark, tmp_path, sf_dir):
     full = plan(build_features(stored))
     assert full.count("FileScan") == 1 and "CartesianProduct" not in full and "NestedLoop" not in full
     assert "Python" not in full
+
+
+def test_bootstrap_equals_numpy_with_the_same_weights(spark):
+    rng = np.random.default_rng(4)
+    days = [date(2024, 1, 1) + timedelta(days=k) for k in range(40)]
+    rows = [(v, d, None if k == 0 else float(r), int(e)) for v in (0, 1) for k, (d, r, e) in enumerate(zip(days, rng.standard_t(2, 40) / 50, rng.random(40) < 0.7, strict=True))]
+    exposed = spark.createDataFrame(rows, "variety int, day date, ret double, exposure int").withColumn("strategy_ret", F.col("ret") * F.col("exposure"))
+    weights = {(r.block, r.draw): r.weight for r in block_weights(exposed, 300, 5).collect()}
+    counts = np.array([weights.get((b, d), 0) for b in {b for b, _ in weights} for d in range(300)])
+    assert abs(counts.mean() - 1) < 0.1 and abs(counts.var() - 1) < 0.2
+    got = {(r.convention, r.side): r for r in bootstrap_improvement(exposed, 300, 5).collect()}
+
+    def cvar_of(losses):
+        var = np.round(np.quantile(np.round(losses, 9), 0.95), 12)
+        return losses[np.round(losses, 9) >= var].mean()
+
+    for convention, side, sign in (("method", "long", -1), ("competition", "long", -1), ("competition", "short", 1)):
+        found = []
+        for draw in range(300):
+            base, kept = [], []
+            for _, d, r, e in rows:
+                if r is not None:
+                    n = weights.get(((d - date(1970, 1, 1)).days // 5, draw), 0)
+                    base += [sign * r] * n
+                    kept += [sign * r * e] * n
+            if base:
+                found.append(1 - cvar_of(np.array(kept)) / cvar_of(np.array(base)))
+        row = got[convention, side]
+        assert row.n_draws == len(found)
+        assert (row.low, row.median, row.high) == pytest.approx(tuple(np.quantile(found, [0.05, 0.5, 0.95])), abs=1e-9)
+        assert row.share_above == pytest.approx(np.mean(np.round(found, 9) > 0.1))
+    assert bootstrap_improvement(exposed.where("false"), 10).count() == 0
