@@ -15,6 +15,7 @@ from tailward.session import stage
 KEY = ["variety", "bar"]
 CUT_QUANTILES = [0.90, 0.97, 0.99]
 SKETCH_K = 4096  # rank error of a merged sketch about 0.1 %
+CLASSES = 24  # of window lengths; the last one holds all above 2 ** 22 hours
 SYSTEM = -1  # stands for "all varieties together" in the system track
 
 
@@ -114,8 +115,23 @@ def systemic(df: DataFrame, level: int = 1, n: int = 3) -> DataFrame:
     return bars.withColumn("is_systemic", F.col("n_varieties") >= n)
 
 
-def _days(start: Column, end: Column) -> Column:
-    return F.explode(F.sequence(F.to_date(start), F.to_date(end)))
+def _length_class(opens: Column, closes: Column) -> Column:
+    """The least class whose bins, of 2 ** class hours, are no shorter than the window."""
+    hours = minutes_between(closes, opens) / 60
+    return sum(((hours > F.lit(float(1 << j))).cast("int") for j in range(CLASSES - 1)), F.lit(0))
+
+
+def _bin(ts: Column, cls: Column) -> Column:
+    hours = minutes_between(ts, F.lit("1970-01-01").cast("timestamp_ntz")) / 60
+    return F.floor(hours / F.call_function("shiftleft", F.lit(1).cast("bigint"), cls))
+
+
+def listed_windows(events: DataFrame, lead: str, keys: tuple[str, ...] = ("variety",)) -> DataFrame:
+    """Events under the bins that their windows ``[start - lead, end]`` touch: two at most, as a class's bins are no shorter than its windows."""
+    opens = F.col("start_ts") - interval(lead)
+    classed = events.select(*keys, "start_ts", "end_ts", opens.alias("_opens"), _length_class(opens, F.col("end_ts")).alias("_class")).where("end_ts is not null")
+    bins = F.array_distinct(F.array(_bin(F.col("_opens"), F.col("_class")), _bin(F.col("end_ts"), F.col("_class"))))
+    return classed.withColumn("_bin", F.explode(bins))
 
 
 def match_events(
@@ -123,19 +139,21 @@ def match_events(
 ) -> DataFrame:
     """Pairs of a warning and an event with the warning in ``[start - lead, end]``.
 
-    An interval join has no equality for Spark to partition on, so each event is listed
-    under the days its window touches and meets the warnings of those days only.
+    An interval join has no equality for Spark to partition on, so events are dealt to
+    classes by length, and within a class to bins of doubling width: an event of any length is
+    listed twice at most. A warning is looked up once in each class that occurs.
     ``first_lead_minutes`` is the lead of the event's earliest matching warning.
     """
-    opens = F.col("start_ts") - interval(lead)
-    listed = events.select(*keys, "start_ts", "end_ts").withColumn("_day", _days(opens, F.col("end_ts")))
-    asked = warnings.select(*keys, F.col(at).alias("warned_at")).withColumn("_day", F.to_date("warned_at"))
+    listed = stage(listed_windows(events, lead, keys), "listed-windows")
+    classes = sorted(r["_class"] for r in listed.select("_class").distinct().collect())  # at most CLASSES
+    asked = warnings.select(*keys, F.col(at).alias("warned_at")).withColumn("_class", F.explode(F.array(*[F.lit(c) for c in classes]).cast("array<int>")))
+    asked = asked.withColumn("_bin", _bin(F.col("warned_at"), F.col("_class")))
     per_event = Window.partitionBy(*keys, "start_ts", "end_ts")
     lead_minutes = minutes_between(F.col("start_ts"), F.col("warned_at"))
     return (
-        asked.join(listed, [*keys, "_day"])
-        .where(F.col("warned_at").between(opens, F.col("end_ts")))
-        .drop("_day")
+        asked.join(listed, [*keys, "_class", "_bin"])
+        .where(F.col("warned_at").between(F.col("_opens"), F.col("end_ts")))
+        .drop("_class", "_bin", "_opens")
         .withColumn("lead_minutes", lead_minutes)
         .withColumn("first_lead_minutes", F.max("lead_minutes").over(per_event))
     )

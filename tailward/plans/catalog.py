@@ -482,6 +482,14 @@ def _(p: Products) -> DataFrame:
     return graph.trace(edges, severe).join(nodes, "id").select("id", "type", "hops")
 
 
+@query("k9_trace_routes")
+def _(p: Products) -> DataFrame:
+    nodes, edges = p.graph
+    severe = p.warned.where(F.col("level") == 3).select(graph.node_id(graph.WARNING, graph.moment_key()).alias("id"))
+    said = F.transform("route", lambda s: F.concat(F.coalesce(F.concat(F.lit("-"), s["relation"], F.lit("> ")), F.lit("")), s["id"]))
+    return graph.trace_routes(edges, severe).join(nodes, "id").select("id", "type", "hops", F.array_join(said, " ").alias("route"))
+
+
 @query("k10_kg_stats")
 def _(p: Products) -> DataFrame:
     return rounded(graph.kg_stats(*p.graph), ["mean_degree"], 6)

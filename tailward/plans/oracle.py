@@ -746,6 +746,16 @@ oracle(
     "k9_trace",
     "SELECT r.id, n.type, r.hops FROM (SELECT id, min(hops) AS hops FROM reach GROUP BY id) r JOIN nodes n ON n.id = r.id",
 )
+table("route0", "SELECT DISTINCT id, id AS route FROM reach WHERE hops = 0")
+for _hop in (1, 2, 3):
+    _seen = " AND ".join(f"e.dst NOT IN (SELECT id FROM route{k})" for k in range(_hop))
+    table(
+        f"route{_hop}",
+        f"""SELECT e.dst AS id, r.route || ' -' || e.relation || '> ' || e.dst AS route FROM edges e JOIN route{_hop - 1} r ON r.id = e.src
+WHERE {_seen} QUALIFY row_number() OVER (PARTITION BY e.dst ORDER BY e.src, e.relation) = 1""",
+    )
+ROUTES = " UNION ALL ".join(f"SELECT id, CAST({k} AS INT) AS hops, route FROM route{k}" for k in range(4))
+oracle("k9_trace_routes", f"SELECT r.id, n.type, r.hops, r.route FROM ({ROUTES}) r JOIN nodes n ON n.id = r.id")
 DEGREES = """(SELECT id, CAST(sum(o) AS BIGINT) AS o, CAST(sum(i) AS BIGINT) AS i FROM (SELECT src AS id, 1 AS o, 0 AS i FROM edges
 UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY id)"""
 oracle(

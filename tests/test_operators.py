@@ -521,6 +521,23 @@ def test_trace_grows_with_depth_and_survives_cycles(spark, small_graph):
     assert reach == [{"a": 0}, {"a": 0, "b": 1}, {"a": 0, "b": 1, "c": 2}, {"a": 0, "b": 1, "c": 2, "gone": 3}]
 
 
+def test_routes_keep_the_smallest_predecessor_and_survive_cycles(spark):
+    rows = [("a", "c", "r"), ("b", "c", "q"), ("a", "c", "p"), ("c", "d", "r"), ("d", "a", "r"), ("b", "d", "z"), ("d", "e", "r"), ("c", "e", "s")]
+    edges = spark.createDataFrame(rows, "src string, dst string, relation string")
+    seeds = spark.createDataFrame([("a",), ("b",), ("a",)], "id string")
+    got = {r.id: (r.hops, [tuple(x) for x in r.route]) for r in graph.trace_routes(edges, seeds).collect()}
+    assert got == {
+        "a": (0, [(None, "a")]),
+        "b": (0, [(None, "b")]),
+        "c": (1, [(None, "a"), ("p", "c")]),
+        "d": (1, [(None, "b"), ("z", "d")]),
+        "e": (2, [(None, "a"), ("p", "c"), ("s", "e")]),
+    }
+    hops = {r.id: r.hops for r in graph.trace(edges, seeds).collect()}
+    assert hops == {k: v for k, (v, _) in got.items()}
+    assert graph.trace_routes(edges, seeds.where("false")).count() == 0
+
+
 def test_stats_totals(small_graph):
     got = {(r.part, r.type): r for r in graph.kg_stats(*small_graph).collect()}
     assert got["node", "(all)"].n == 4 and got["node", "y"].max_out == 2

@@ -14,6 +14,7 @@ from tailward.operators.events import fuse_events, label_bars
 from tailward.operators.neighbours import CellIndex, similar_history
 from tailward.operators.profiling import dedup_latest, profile
 from tailward.operators.tailrisk import block_weights, bootstrap_improvement, cvar
+from tailward.operators.warnings import listed_windows, match_events
 
 T0 = datetime(2024, 1, 1)
 
@@ -231,3 +232,23 @@ def test_bootstrap_equals_numpy_with_the_same_weights(spark):
         assert (row.low, row.median, row.high) == pytest.approx(tuple(np.quantile(found, [0.05, 0.5, 0.95])), abs=1e-9)
         assert row.share_above == pytest.approx(np.mean(np.round(found, 9) > 0.1))
     assert bootstrap_improvement(exposed.where("false"), 10).count() == 0
+
+
+def test_events_of_any_length_are_listed_twice_at_most(spark):
+    """Windows from minutes to years, warnings at their edges: equal to brute force over all pairs."""
+    rng = random.Random(12)
+    spans = [timedelta(0), timedelta(minutes=7), timedelta(hours=4), timedelta(days=3), timedelta(days=90), timedelta(days=2000)]
+    events = [(v, (s := T0 + timedelta(minutes=rng.randrange(0, 600_000))), s + rng.choice(spans)) for v in (0, 1) for _ in range(40)]
+    events += [(0, T0, None), (0, T0 + timedelta(days=1), T0), (1, T0 + timedelta(hours=4), T0 + timedelta(hours=4))]
+    asked = [(v, T0 + timedelta(minutes=rng.randrange(0, 600_000))) for v in (0, 1) for _ in range(80)]
+    asked += [(v, at) for v, s, e in events[:20] for at in (s - timedelta(hours=4), s, e) if e is not None] + [(1, T0)]
+    asked = sorted(set(asked))
+    e = spark.createDataFrame(events, "variety int, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    w = spark.createDataFrame(asked, "variety int, start_bar timestamp_ntz")
+    listed = listed_windows(e, "4 hours")
+    assert listed.groupBy("variety", "start_ts", "end_ts").count().agg(F.max("count")).first()[0] <= 2 * max(events.count(x) for x in events)
+    assert listed.select("_class").distinct().count() > 4
+    got = sorted((r.variety, r.warned_at, r.start_ts, r.end_ts) for r in match_events(w, e).collect())
+    wanted = sorted((v, t, s, x) for v, t in asked for u, s, x in events if u == v and x is not None and s - timedelta(hours=4) <= t <= x)
+    assert got == wanted and len(got) > 100
+    assert match_events(w, e.where("false")).count() == 0
