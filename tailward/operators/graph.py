@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailward.operators.warnings import strength
+from tailward.operators.asof import asof_join
 from tailward.session import stage
 
 WARNING, TRIGGER, PATTERN, ANALOGUE, MACRO, CONCLUSION = "warning", "trigger", "pattern", "analogue", "macro", "conclusion"
@@ -60,22 +61,9 @@ def macro_state(macro: DataFrame, back: int = 5) -> DataFrame:
 
 
 def macro_asof(df: DataFrame, macro: DataFrame, ts: str = "bar") -> DataFrame:
-    """Add the last macro observation dated before the day of ``ts``; an equal date is not before.
-
-    Only the distinct days enter the ordered union (the calendar bounds them); rows then
-    find their day's observation by equality.
-    """
-    seen = macro.select(F.col("obs_date").alias("_day"), F.lit(1).alias("_side"), F.struct("obs_date", *[c for c in macro.columns if c != "obs_date"]).alias("_obs"))
-    asked = df.select(F.to_date(ts).alias("_day")).distinct().select("_day", F.lit(0).alias("_side"), F.lit(None).cast(seen.schema["_obs"].dataType).alias("_obs"))
-    w = Window.partitionBy("_series").orderBy("_day", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    by_day = (
-        asked.unionByName(seen)
-        .withColumn("_series", F.lit("macro_index"))
-        .withColumn("_obs", F.last("_obs", ignorenulls=True).over(w))
-        .where(F.col("_side") == 0)
-        .select("_day", "_obs.*")
-    )
-    return df.withColumn("_day", F.to_date(ts)).join(by_day, "_day", "left").drop("_day")
+    """Add the last macro observation dated before the day of ``ts``; an equal date is not before."""
+    dated = df.withColumn("_day", F.to_date(ts))
+    return asof_join(dated, macro, "_day", "obs_date", [], strict=True).drop("_day")
 
 
 def conclude(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tailward import schemas
 from tailward.operators import adaptive, events, features, graph, greeks, pricing, profiling, sessions, tailrisk, views, warnings
+from tailward.operators.asof import asof_join
 from tailward.operators.features import FEATURES
 from tailward.plans.products import SOURCES, Z_SCORES, Products
 from tailward.session import scratch_path
@@ -453,6 +454,13 @@ def _(p: Products) -> DataFrame:
     return graph.macro_asof(p.bars.select("variety", "bar"), p.macro)
 
 
+@query("k4_quote_asof")
+def _(p: Products) -> DataFrame:
+    """The forward price last quoted at or before the start of each event."""
+    quoted = p.quotes.select("variety", F.col("ts").alias("quoted_at"), "fwd")
+    return asof_join(p.exo.select("src_id", "variety", "start_ts"), quoted, "start_ts", "quoted_at", ["variety"])
+
+
 @query("k5_market_pattern")
 def _(p: Products) -> DataFrame:
     return graph.market_pattern(p.scored).select("variety", "bar", "pattern")

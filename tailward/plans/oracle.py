@@ -730,6 +730,11 @@ oracle("k1_kg_nodes", "SELECT * FROM nodes")
 oracle("k2_trigger_edges", "SELECT * FROM triggers")
 oracle("k3_similar_history", f"SELECT variety, bar, match_bar, {rnd('distance', 6)}, nth FROM analogues")
 oracle("k4_macro_asof", "SELECT b.variety, b.bar, m.obs_date, m.macro_index FROM bars b ASOF LEFT JOIN macro_obs m ON CAST(b.bar AS DATE) > m.obs_date")
+oracle(
+    "k4_quote_asof",
+    """SELECT x.src_id, x.variety, x.start_ts, q.ts AS quoted_at, q.fwd
+FROM exo x ASOF LEFT JOIN (SELECT variety, ts, max(fwd) AS fwd FROM quotes GROUP BY ALL) q ON x.variety = q.variety AND x.start_ts >= q.ts""",
+)
 oracle("k5_market_pattern", "SELECT variety, bar, pattern FROM concluded")
 oracle("k6_conclude", "SELECT variety, bar, level, obs_date, macro_high, conclusion FROM concluded")
 oracle("k7_kg_edges", "SELECT * FROM edges")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tailward.functions.quantile import weighted_quantiles
+from tailward.operators.asof import asof_join
 from tailward.operators.events import fuse_events, label_bars
 from tailward.operators.neighbours import CellIndex, similar_history
 from tailward.operators.profiling import dedup_latest, profile
@@ -252,3 +254,31 @@ def test_events_of_any_length_are_listed_twice_at_most(spark):
     wanted = sorted((v, t, s, x) for v, t in asked for u, s, x in events if u == v and x is not None and s - timedelta(hours=4) <= t <= x)
     assert got == wanted and len(got) > 100
     assert match_events(w, e.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_asof_over_ranges_matches_brute_force(spark, strict):
+    """Ticks of several series, one holding most, with ties, nulls and gaps wider than a range."""
+    rng = random.Random(8)
+    ticks = [(rng.choice([0, 0, 0, 1, 2]), rng.choice([rng.randrange(0, 400), rng.randrange(5000, 5400)]), rng.choice([None, rng.randrange(9)])) for _ in range(800)]
+    ticks += [(3, None, 1), (None, 5, 1)]
+    asked = [(k, rng.choice([0, 1, 2, 3, 4]), rng.choice([rng.randrange(-5, 420), rng.randrange(4000, 5500), None])) for k in range(600)] + [(600, None, 10)]
+    right = spark.createDataFrame(ticks, "s int, at int, v int")
+    left = spark.createDataFrame(asked, "id int, s int, t int")
+    joined = asof_join(left, right, "t", "at", ["s"], strict)
+    assert joined.columns == ["id", "s", "t", "at", "v"]
+    got = {r.id: (r.at, r.v) for r in joined.collect()}
+    size = lambda v: -1 if v is None else v
+    for k, s, t in asked:
+        earlier = [(at, v) for u, at, v in ticks if u == s and None not in (s, at, t) and (at < t or (at == t and not strict))]
+        assert got[k] == (max(earlier, key=lambda x: (x[0], size(x[1]))) if earlier else (None, None)), (k, s, t)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"windowspecdefinition\((?:_at|_side|_part)", plan)  # every window has the series and its range as key, or the series
+    assert asof_join(left, right.where("false"), "t", "at", ["s"]).where("at is not null").count() == 0
+
+
+def test_asof_without_a_key_has_no_window_over_all_rows(spark):
+    left = spark.createDataFrame([(k, float(k)) for k in range(200)], "t int, x double")
+    right = spark.createDataFrame([(k, float(k)) for k in range(0, 200, 7)], "at int, v double")
+    got = {r.t: r["at"] for r in asof_join(left, right, "t", "at", [], strict=True).collect()}
+    assert got == {k: (k - 1) // 7 * 7 if k else None for k in range(200)}
