@@ -34,21 +34,27 @@ def _var_spread(known: DataFrame, by: list[str], levels: list[float]) -> DataFra
     return found.select(*by, F.col("q").alias("alpha"), F.col("quantile").alias("var"))
 
 
+def _var_whole(known: DataFrame, by: list[str], levels: list[float]) -> DataFrame:
+    found = known.groupBy(*by).agg(F.percentile("_loss", F.array(*[F.lit(a) for a in levels])).alias("_at"))
+    return found.select(*by, F.inline(F.arrays_zip(F.array(*[F.lit(a) for a in levels]).alias("alpha"), F.col("_at").alias("var"))))
+
+
 def cvar(
-    df: DataFrame, loss: str = "loss", alphas: list[float] | None = None, by: list[str] | None = None
+    df: DataFrame, loss: str = "loss", alphas: list[float] | None = None, by: list[str] | None = None, spread: bool = True
 ) -> DataFrame:
     """Per group and level: VaR (exact quantile of loss) and CVaR (mean of the losses from VaR on).
 
     Losses are ranked to 9 digits, so that one equal to VaR counts as equal.
     Quantiles are found over range partitions, so a group that collects many varieties
-    does not gather in one task.
+    does not gather in one task. Without ``spread`` a group's distinct losses are held by one
+    task, in fewer jobs: for groups of days, which the calendar bounds.
     """
     levels = alphas or [ALPHA]
     known = df.where(F.col(loss).isNotNull()).withColumn("_loss", F.round(loss, 9))
     on = by or ["_all"]
     if not by:
         known = known.withColumn("_all", F.lit(1))
-    cuts = _var_spread(known, on, levels).withColumn("var", F.round("var", 12))
+    cuts = (_var_spread if spread else _var_whole)(known, on, levels).withColumn("var", F.round("var", 12))
     out = known.join(cuts, on).groupBy(*on, "alpha", "var").agg(
         F.avg(F.when(F.col("_loss") >= F.col("var"), F.col(loss))).alias("cvar"),
         F.count(F.lit(1)).alias("n_losses"),
@@ -105,13 +111,13 @@ def conventions(exposed: DataFrame) -> DataFrame:
     return both.select("*", F.explode(used).alias("convention"))
 
 
-def improvement(losses: DataFrame, by: list[str], alphas: list[float] | None = None) -> DataFrame:
+def improvement(losses: DataFrame, by: list[str], alphas: list[float] | None = None, spread: bool = True) -> DataFrame:
     """1 - CVaR(strategy) / CVaR(base) per group and level; ``losses`` has ``base_loss`` and ``strategy_loss``."""
     books = F.array(
         F.struct(F.lit("base").alias("book"), F.col("base_loss").alias("loss")),
         F.struct(F.lit("strategy").alias("book"), F.col("strategy_loss").alias("loss")),
     )
-    measured = cvar(losses.select(*by, F.inline(books)), "loss", alphas, [*by, "book"])
+    measured = cvar(losses.select(*by, F.inline(books)), "loss", alphas, [*by, "book"], spread)
     pick = lambda book: F.max(F.when(F.col("book") == book, F.col("cvar")))
     sides = measured.groupBy(*by, "alpha").agg(pick("base").alias("cvar_base"), pick("strategy").alias("cvar_strategy"))
     better = F.lit(1.0) - F.try_divide(F.col("cvar_strategy"), F.col("cvar_base"))
@@ -172,7 +178,7 @@ def robust_grid(returns: DataFrame, alerts: DataFrame, hs: list[int], alphas: li
     """Improvement for every combination of days, level and alpha, in one pass.
 
     The look-backs share one sort; each day then fans out to the (h, level) cells, a
-    constant factor, and all alphas come from one percentile aggregate.
+    constant factor, and all alphas come from one percentile aggregate; a cell has one row per variety and day.
     """
     wide = _with_alerts(returns, alerts).select("_priced", "variety", "day", "ret", *[_recent_level(h).alias(f"_recent_{h}") for h in hs]).where("_priced")
     cells = F.array(
@@ -183,7 +189,7 @@ def robust_grid(returns: DataFrame, alerts: DataFrame, hs: list[int], alphas: li
         ]
     )
     exposed = wide.select("variety", "day", "ret", F.inline(cells)).withColumn("strategy_ret", F.col("ret") * F.col("exposure"))
-    return improvement(conventions(exposed), ["h", "level", "convention", "side"], alphas)
+    return improvement(conventions(exposed), ["h", "level", "convention", "side"], alphas, spread=False)
 
 
 def robust_subperiod(exposed: DataFrame, alphas: list[float] | None = None) -> DataFrame:
