@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from tailward.session import stage
 
-MEMO_WORDS = 500_000  # words whose ids a task keeps; when full, it starts anew
+MEMO_BYTES = 12 << 20  # what the words and ids that a task keeps may take; when full, it starts anew
+_ENTRY = 210  # bytes of an entry besides its characters and ids: two objects and their place in the table
 # Characters at which splitting or lower-casing a text is left to the tokenizer: separators it takes for signs, and its special tokens' start.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _SIGNS = string.punctuation.replace("'", "")  # an apostrophe may join what follows it
@@ -59,6 +60,7 @@ class WordTokenizer(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = _byte_letters()
+        self.held = 0
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -73,6 +75,7 @@ class WordTokenizer(dict):
         else:
             ids = self._whole(word)
         self[word] = ids
+        self.held += _ENTRY + len(word) + len(ids)
         return ids
 
     def ids(self, text: str) -> bytes:
@@ -83,8 +86,9 @@ class WordTokenizer(dict):
             text.encode("latin-1")
         except UnicodeEncodeError:
             return self._whole(text)
-        if len(self) > MEMO_WORDS:
+        if self.held > MEMO_BYTES:
             self.clear()
+            self.held = 0
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
