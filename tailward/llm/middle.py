@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import add_columns, packed, quoted, unpacked
-from .flat import flat, slices
+from .flat import slices
 
 # The markers before prefix, suffix and middle.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -34,7 +34,13 @@ _UNIT = rb"([A-Za-z]+|[\x00-\x40\x5b-\x60\x7b-\x7f]|[\xc0-\xff][\x80-\xbf]*)"  #
 _END = b"\xff"
 _ANY = "|".join((PREFIX, SUFFIX, MIDDLE))
 _FIELDS = "form string, n bigint, output string, prefix_chars bigint, middle_chars bigint"
-SLICE = 1 << 22  # bytes of text a task cuts into units at a time
+SLICE = 1 << 19  # bytes of text a task works on at a time; a unit takes some sixty bytes besides its own
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``SLICE`` bytes."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    return slices(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), SLICE)
 
 
 def draws(key: Column, seed: str = "1") -> list[Column]:
@@ -104,8 +110,7 @@ def fill_in_middle(docs: DataFrame, text: str = "text", key: str = "doc_id", see
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, at = flat(batch.column(2))
-            for first, last in slices(at, SLICE):
+            for first, last in _slices(batch.column(2)):
                 part = batch.slice(first, last - first)
                 h = [pc.list_element(part.column(1), k) for k in range(4)]
                 form, n, output, before, between = _transform(part.column(2).cast(pa.large_string()), h, plain_from, spm_below)
@@ -135,6 +140,7 @@ def restore(df: DataFrame, output: str = "output", form: str = "form", out: str
 
     @F.arrow_udf("string")
     def back(whole: pa.Array, kind: pa.Array) -> pa.Array:
-        return _restore(whole, kind).cast(pa.string())
+        parts = [_restore(whole.slice(a, b - a), kind.slice(a, b - a)).cast(pa.string()) for a, b in _slices(whole)]
+        return pa.concat_arrays([*parts, pa.array([], pa.string())])
 
     return add_columns(df, F.struct(back(quoted(output), quoted(form)).alias(out)), [out])
