@@ -168,7 +168,7 @@ def test_slot_dense_and_short_items_are_found(spark):
     clean = ["and 12 kg 8 kg 12 kg 9 kg", "the capital of the southern island lies far from here", "40 kg 4 m of it went there"]
     docs = frame(spark, [f"We were told that {t} which was all that we knew" for t in items] + clean)
     got = {(r.doc_id, r.item_id): (r.words, r.item_words) for r in find_contamination(docs, bench).collect()}
-    assert got == {(0, 0): (18, 19), (1, 1): (23, 23), (2, 2): (5, 5), (3, 3): (8, 8), (4, 4): (4, 4)}
+    assert got == {(0, 0): (19, 19), (1, 1): (23, 23), (2, 2): (5, 5), (3, 3): (8, 8), (4, 4): (4, 4)}
 
 
 def test_contamination_of_odd_rows(spark, odd_docs, no_docs):
