@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import re
 
+import pytest
 from llm_data import no_docs, odd_docs, sentences  # noqa: F401
 
+from tailward.llm import middle
 from tailward.llm.middle import fill_in_middle, restore
 
 
@@ -24,7 +26,10 @@ def plain_version(doc_id, text):
     return "psm", len(units), f"<P>{prefix}<S>{suffix}<M>{middle}", len(prefix), len(middle)
 
 
-def test_equals_the_plain_version(spark, sentences):
+@pytest.mark.parametrize("size", [1, 700, 1 << 19])
+def test_equals_the_plain_version(spark, sentences, monkeypatch, size):
+    """Also where a batch is worked on in many slices, down to single rows."""
+    monkeypatch.setattr(middle, "SLICE", size)
     texts = sentences(300, 5) + ["", None, "a", "<", "<P", "<P<S", "M>x<", "has <M> inside", "\x00\n\u0085 é漢🙂", "🙂", "S>P>M>"] * 9
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     rows = restore(fill_in_middle(docs)).collect()
