@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tailward.functions.order import time_order
 from tailward.functions.time import WIDTH, with_bar
 
 
@@ -13,11 +14,13 @@ def to_bars(
 ) -> DataFrame:
     """First, highest, lowest and last price, summed volume and row count per key and bar.
 
-    Rows of equal time are ordered by ``row_id``. All aggregates combine before the shuffle.
+    Rows of equal time are ordered by ``row_id``, a bigint. All aggregates combine before the
+    shuffle, in a hash table of the task's bars: no task sorts its rows.
     """
-    at = F.struct(ts, row_id)
+    at = F.col("_at")
     return (
         with_bar(df, ts, width)
+        .withColumn("_at", time_order(ts, F.col("bar"), row_id))
         .groupBy(key, "bar")
         .agg(
             F.min_by(px, at).alias("open"),

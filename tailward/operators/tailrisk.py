@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tailward.functions.order import time_order
 from tailward.functions.quantile import weighted_quantiles
 
 ALPHA = 0.95
@@ -23,9 +24,9 @@ def log_returns(df: DataFrame, key: str = "variety", ts: str = "bar", px: str =
 
 def daily_closes(quotes: DataFrame, px: str = "fwd") -> DataFrame:
     """Last price per variety and day."""
-    return quotes.groupBy("variety", F.to_date("ts").alias("day")).agg(
-        F.max_by(px, F.struct("ts", "quote_id")).alias("close")
-    )
+    dated = quotes.withColumn("day", F.to_date("ts"))
+    at = time_order("ts", F.col("day").cast("timestamp_ntz"), "quote_id")
+    return dated.withColumn("_at", at).groupBy("variety", "day").agg(F.max_by(px, "_at").alias("close"))
 
 
 def _var_spread(known: DataFrame, by: list[str], levels: list[float]) -> DataFrame:

@@ -114,6 +114,16 @@ def test_bars_order_equal_times_by_id(table):
     assert second.bar == at(15) and second.open == second.close == 50.0
 
 
+def test_bars_keep_the_order_of_any_id_and_instant(spark):
+    far, low = 2**63 - 1, -(2**63)
+    rows = [(1, at(1), far, 1.0), (1, at(1), low, 2.0), (1, at(1), 0, 3.0), (2, at(1), low, 4.0), (2, at(1), None, 5.0), (3, at(1), far, 6.0)]
+    rows += [(3, at(1) + timedelta(microseconds=1), low, 7.0), (None, at(2), 1, 8.0)]
+    df = spark.createDataFrame(rows, "variety int, ts timestamp_ntz, quote_id bigint, fwd double").withColumn("volume", F.lit(1))
+    by_time = {r.variety: (r.open, r.close) for r in bars.to_bars(df, "variety", "ts", "fwd", "volume", "quote_id").collect()}
+    assert by_time == {1: (2.0, 1.0), 2: (5.0, 4.0), 3: (6.0, 7.0), None: (8.0, 8.0)}
+    assert {r.variety: r.close for r in tailrisk.daily_closes(df).collect()} == {1: 1.0, 2: 4.0, 3: 7.0, None: 8.0}
+
+
 def test_parity_and_round_trip(spark, sf_dir):
     quotes = fixture.quotes(spark, sf_dir)
     priced = pricing.black76_price(quotes.withColumn("iv", F.lit(0.3)))
