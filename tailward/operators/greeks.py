@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tailward.functions.order import id_order
 from tailward.functions.time import WIDTH, with_bar
 from tailward.operators.pricing import greeks
 from tailward.operators.profiling import dedup_latest
+from tailward.session import stage
 
-ATM_GROUP = ["variety", "bar", "tenor_days", "cp"]
+KEY = ["variety", "bar"]
+ATM_GROUP = [*KEY, "tenor_days", "cp"]
+FIELDS = ["fwd", "strike", "tenor_days", "iv"]
 
 
 def select_atm(quotes: DataFrame, width: str = WIDTH) -> DataFrame:
@@ -29,31 +33,30 @@ def hhi(df: DataFrame, group: list[str], part: str, weight: str) -> DataFrame:
     )
 
 
+def _near_atm(quotes: DataFrame, width: str, tenor: int) -> DataFrame:
+    """Per variety, bar and side the near tenor's quote nearest the forward; ties go to the lowest id."""
+    distance = F.abs(F.col("strike") - F.col("fwd"))
+    known = with_bar(quotes, "ts", width).withColumn("distance", distance).where(F.col("distance").isNotNull() & (F.col("tenor_days") >= tenor))
+    listed = known.groupBy(*ATM_GROUP).agg(F.min("distance").alias("distance"))
+    near = F.col("tenor_days") == F.min("tenor_days").over(Window.partitionBy(*KEY))
+    least = stage(listed.withColumn("_near", near).where(F.col("_near") & F.col("cp").isin("C", "P")).drop("_near"), "least-distances")
+    same = [known[k].eqNullSafe(least[k]) for k in (*ATM_GROUP, "distance")]
+    at = known.join(least, same, "left_semi").withColumn("_at", id_order("quote_id", *FIELDS))
+    return at.groupBy(*KEY, "cp").agg(*[F.min_by(f, "_at").alias(f) for f in FIELDS])
+
+
 def build_greeks(quotes: DataFrame, width: str = WIDTH, tenor: int = 30) -> DataFrame:
     """At-the-money Greeks of the near tenor, and HHI of open interest by strike, per variety and bar.
 
     The near tenor of a bar is the nearest listed one of at least ``tenor`` days. The quotes
-    are read once: sums and nearest quotes per strike and tenor combine on the map side, and
-    all that follows stays within the bars they are dealt to.
+    are read three times, and each time combine in a hash table on the map side: open interest by
+    strike, the least distance of each tenor and side, and, of the quotes at that distance, the
+    lowest id. A table of least distances, one row per bar, tenor and side, is written between.
     """
-    fields = ["fwd", "strike", "tenor_days", "iv", "cp"]
-    order = F.struct(F.abs(F.col("strike") - F.col("fwd")).alias("distance"), F.col("quote_id").alias("id"))
-    nearest = lambda side: F.min(F.when((F.col("cp") == side) & order["distance"].isNotNull(), F.struct(order.alias("order"), *fields)))
-    known = F.when(order["distance"].isNotNull() & (F.col("tenor_days") >= tenor), F.col("tenor_days"))
-    cells = (
-        with_bar(quotes, "ts", width)
-        .groupBy("variety", "bar", "tenor_days", "strike")
-        .agg(F.sum("open_interest").alias("_oi"), F.min(known).alias("_listed"), nearest("C").alias("_call"), nearest("P").alias("_put"))
-    )
-    near = F.col("_listed") == F.min("_listed").over(Window.partitionBy("variety", "bar"))
-    best = [F.min(F.when(F.col("_is_near"), F.col(c))).alias(c) for c in ("_call", "_put")]
-    strikes = cells.withColumn("_is_near", near).groupBy("variety", "bar", "strike").agg(F.sum("_oi").cast("double").alias("_w"), *best)
-    total = F.sum("_w")
-    bars = strikes.groupBy("variety", "bar").agg(
-        F.try_divide(F.sum(F.col("_w") * F.col("_w")), total * total).alias("oi_hhi"), *[F.min(c).alias(c) for c in ("_call", "_put")]
-    )
-    sides = bars.select("variety", "bar", "oi_hhi", F.explode_outer(F.filter(F.array("_call", "_put"), lambda x: x.isNotNull())).alias("_atm"))
-    priced = greeks(sides.select("variety", "bar", "oi_hhi", *[F.col("_atm")[f].alias(f) for f in fields]))
+    bars = hhi(with_bar(quotes, "ts", width), KEY, "strike", "open_interest").withColumnRenamed("hhi", "oi_hhi")
+    atm = _near_atm(quotes, width, tenor)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY]
+    priced = greeks(bars.join(atm.withColumnsRenamed({k: f"_{k}" for k in KEY}), same, "left").select(*KEY, "oi_hhi", *FIELDS, "cp"))
     call, put = F.col("cp") == "C", F.col("cp") == "P"
     return priced.groupBy("variety", "bar").agg(
         F.first("oi_hhi").alias("oi_hhi"),

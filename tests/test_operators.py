@@ -124,6 +124,12 @@ def test_bars_keep_the_order_of_any_id_and_instant(spark):
     assert {r.variety: r.close for r in tailrisk.daily_closes(df).collect()} == {1: 1.0, 2: 4.0, 3: 7.0, None: 8.0}
 
 
+def test_no_task_sorts_quotes_for_bars_or_greeks(table):
+    df = table(quote(1, 0))
+    for out in (bars.to_bars(df, "variety", "ts", "fwd", "volume", "quote_id"), tailrisk.daily_closes(df), greeks.build_greeks(df)):
+        assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_parity_and_round_trip(spark, sf_dir):
     quotes = fixture.quotes(spark, sf_dir)
     priced = pricing.black76_price(quotes.withColumn("iv", F.lit(0.3)))
@@ -322,6 +328,17 @@ def test_atm_ties_go_to_the_lowest_id(table):
     assert picked.quote_id == 5
 
 
+def test_greeks_take_the_lowest_id_whole_and_keep_bars_without_a_pair(table):
+    rows = [quote(7, 1, mny=1, iv=0.3), quote(5, 2, mny=-1, iv=0.5), quote(5, 3, mny=1, iv=0.7), quote(1, 1, mny=2)]  # an id that occurs twice
+    rows += [quote(8, 1, tenor=29, variety=1), quote(9, 1, "P", tenor=45, variety=2), quote(10, 1, tenor=90, variety=2), quote(11, 1, variety=None)]
+    got = {r.variety: r for r in greeks.build_greeks(table(*rows)).collect()}
+    both = greeks.build_greeks(table(*rows[1:2])), greeks.build_greeks(table(*rows[2:3]))
+    assert got[0].vega in [one(b).vega for b in both] and got[0].oi_hhi == pytest.approx(3 / 8)
+    assert (got[1].oi_hhi, got[1].delta_call, got[1].vega) == (1.0, None, None)
+    assert got[2].delta_call is None and got[2].delta_put < 0
+    assert got[None].delta_call > 0
+
+
 def test_hhi_bounds(table):
     df = table(quote(1, 0, mny=0, oi=50), quote(2, 0, mny=1, oi=50), quote(3, 0, mny=0, oi=0, variety=1))
     got = {r.variety: r.hhi for r in greeks.hhi(df, ["variety"], "strike", "open_interest").collect()}
