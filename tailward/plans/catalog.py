@@ -68,15 +68,17 @@ def _with_exchange(quotes: DataFrame) -> DataFrame:
 @query("s1_read_archive")
 def _(p: Products) -> DataFrame:
     root = scratch_path(p.spark, "archive")
-    _with_exchange(p.quotes).write.partitionBy("exchange").parquet(root)
+    archive.write_archive(_with_exchange(p.quotes), root, EXCHANGES)
     back = archive.read_archive(p.spark, root, schemas.QUOTES)
-    return back.groupBy("exchange", "variety").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.countDistinct("quote_id").alias("n_ids"),
-        F.sum("volume").alias("volume"),
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
-    )
+    return profiling.count_ids(
+        back,
+        ["exchange", "variety"],
+        "quote_id",
+        n_rows=(F.count(F.lit(1)), F.sum),
+        volume=(F.sum("volume"), F.sum),
+        first_ts=(F.min("ts"), F.min),
+        last_ts=(F.max("ts"), F.max),
+    ).withColumnRenamed("n_distinct", "n_ids")
 
 
 @query("s2_write_features")

@@ -31,6 +31,18 @@ def read_archive(spark: SparkSession, root: str, schema: T.StructType, exchange_
     return files.select(*schema.fieldNames(), F.regexp_extract(path, below, 1).alias("exchange"))
 
 
+def write_archive(df: DataFrame, root: str, values: list[str], by: str = "exchange") -> None:
+    """Write each of ``values`` of ``by`` into its folder below ``root``; a row of another value, or of none, is an error.
+
+    There is one pass per value, whose rows go straight to their files. A single partitioned write
+    would sort each task's rows by value first, and quotes are far more than a task holds.
+    """
+    known = F.col(by).isin(values)
+    for value in values:
+        mine = F.when(known, F.col(by) == value).otherwise(F.raise_error(F.lit(f"{by} is not one of {', '.join(values)}")))
+        df.where(mine).drop(by).write.parquet(f"{root}/{by}={value}")
+
+
 def check_schema(df: DataFrame, schema: T.StructType) -> None:
     """Fail early, on the driver and without a job, when a table lacks a column or has another type."""
     have = {f.name: f.dataType for f in df.schema.fields}

@@ -50,6 +50,28 @@ def test_archive_takes_the_exchange_from_the_path(spark, tmp_path, table):
     assert {(r.quote_id, r.exchange) for r in df.collect()} == {(0, "SF"), (1, "INE"), (9, "GF")}
 
 
+def test_archive_is_written_by_exchange_without_a_sort(spark, tmp_path, table):
+    df = table(quote(1, 0), quote(2, 0, variety=1)).withColumn("exchange", F.when(F.col("variety") == 0, "SF").otherwise("INE"))
+    archive.write_archive(df, str(tmp_path / "a"), ["SF", "INE"])
+    back = archive.read_archive(spark, str(tmp_path / "a"), schemas.QUOTES)
+    assert {(r.quote_id, r.exchange) for r in back.collect()} == {(1, "SF"), (2, "INE")}
+    for k, wrong in enumerate((F.lit("XX"), F.lit(None).cast("string"))):
+        with pytest.raises(Exception, match="is not one of"):
+            archive.write_archive(df.withColumn("exchange", wrong), str(tmp_path / f"b{k}"), ["SF", "INE"])
+
+
+def test_ids_count_once_and_neighbours_share_a_row(spark):
+    ids = [0, 1, 63, 64, -1, -64, -65, 2**63 - 1, -(2**63), 1, 1]
+    df = spark.createDataFrame([(1, i) for i in ids] + [(2, None)], "k int, id bigint")
+    out = profiling.count_ids(df, ["k"], "id", n=(F.count(F.lit(1)), F.sum), least=(F.min("id"), F.min))
+    assert {(r.k, r.n_distinct, r.n, r.least) for r in out.collect()} == {(1, 9, 11, -(2**63)), (2, 0, 1, None)}
+    dense = profiling.count_ids(spark.range(0, 64_000, 1, 1), [], "id")
+    assert one(dense).n_distinct == 64_000
+    quotes = spark.range(10).select((F.col("id") % 2).alias("k"), "id")
+    text = profiling.count_ids(quotes, ["k"], "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and "partial_bit_or" in text
+
+
 def test_archive_refuses_what_it_cannot_place(spark, tmp_path, table):
     table(quote(1, 0)).write.parquet(str(tmp_path / "a" / "2024" / "01"))
     with pytest.raises(ValueError, match="no exchange"):
