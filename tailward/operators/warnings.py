@@ -196,7 +196,8 @@ def backtest(
     Variety track: a variety's episodes against its fused events. System track: episodes
     of bars where at least ``n`` varieties warn, against events fused over all varieties,
     which ``fused`` holds as rows of the variety ``SYSTEM`` (see ``for_both_tracks``).
-    A warning is an episode start; a ratio is null on a zero denominator.
+    A warning is an episode start; a ratio is null on a zero denominator. Leads are added up in
+    whole microseconds, so the mean does not depend on the order of rows.
     """
     keys = ("min_level", "variety")
     warned = stage(episodes(both_tracks(levels, n, max_level), 1, gap, keys), "track-episodes")
@@ -204,11 +205,12 @@ def backtest(
     events = stage(listed.select("*", F.explode(F.sequence(F.lit(1), F.lit(max_level))).alias("min_level")), "track-events")
     pairs = stage(match_events(warned, events, lead, keys), "track-pairs")
     hit_warnings = pairs.select(*keys, "warned_at").distinct()
-    hit_events = pairs.groupBy(*keys, "start_ts", "end_ts").agg(F.max("lead_minutes").alias("lead"))
+    lead_micros = F.timestamp_diff("MICROSECOND", F.min("warned_at"), F.col("start_ts"))
+    hit_events = pairs.groupBy(*keys, "start_ts", "end_ts").agg(lead_micros.alias("lead"))
 
     def tally(df: DataFrame, **figures: Column) -> DataFrame:
         names = ("n_warnings", "n_matched_warnings", "n_events", "n_matched_events", "lead_sum")
-        return df.select(*keys, *[figures.get(c, F.lit(0)).cast("double").alias(c) for c in names])
+        return df.select(*keys, *[figures.get(c, F.lit(0)).cast("bigint").alias(c) for c in names])
 
     one = F.lit(1)
     rows = (
@@ -219,13 +221,13 @@ def backtest(
     )
     counts = ("n_warnings", "n_matched_warnings", "n_events", "n_matched_events")
     total = rows.groupBy(_track().alias("track"), "min_level").agg(
-        *[F.sum(c).cast("bigint").alias(c) for c in counts], F.sum("lead_sum").alias("lead_sum")
+        *[F.sum(c).alias(c) for c in counts], F.sum("lead_sum").alias("lead_sum")
     )
     p, r = F.col("precision"), F.col("recall")
     return (
         total.withColumn("precision", F.try_divide("n_matched_warnings", "n_warnings"))
         .withColumn("recall", F.try_divide("n_matched_events", "n_events"))
         .withColumn("f1", F.try_divide(p * r * 2, p + r))
-        .withColumn("mean_lead_minutes", F.try_divide("lead_sum", "n_matched_events"))
+        .withColumn("mean_lead_minutes", F.try_divide("lead_sum", F.col("n_matched_events") * F.lit(60e6)))
         .drop("lead_sum")
     )

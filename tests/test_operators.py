@@ -444,6 +444,15 @@ def test_backtest_counts_and_null_ratios(spark):
     assert (none.n_warnings, none.n_events, none.precision, none.recall, none.mean_lead_minutes) == (0, 1, None, 0.0, None)
 
 
+def test_mean_lead_is_exact_in_any_order(spark):
+    leads = [6533191989, 6650458215, 12934111386]  # microseconds; as doubles of minutes every order of addition rounds down
+    lv = spark.createDataFrame([(k, at(0), 1) for k in range(3)], "variety int, bar timestamp_ntz, level int")
+    starts = [at(0) + timedelta(microseconds=m) for m in leads]
+    ev = spark.createDataFrame([(k, s, s + timedelta(hours=1)) for k, s in enumerate(starts)], "variety int, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    got = warnings.backtest(lv, ev).where("track = 'variety' and min_level = 1").select("*", F.round("mean_lead_minutes", 6).alias("mean")).first()
+    assert (got.n_matched_events, got.mean) == (3, 145.098676)
+
+
 # Adaptive
 
 
