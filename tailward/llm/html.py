@@ -18,8 +18,11 @@ pass through, and result columns replace those of the same name.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -173,21 +176,54 @@ def matching(a: int, b: int) -> int:
         return _parts[a][2]
     if _parts[a][0] != _parts[b][0]:
         return 0
-    if (a, b) not in _matched:
-        x, y = _parts[a][1], _parts[b][1]
-        _matched[a, b] = 1 + _table(x, y)[-1][-1]
-    return _matched[a, b]
+    if (a, b) in _matched:
+        return _matched[a, b]
+    for row in _rows(np.zeros(len(_parts[b][1]) + 1, np.int64), _parts[a][1], _parts[b][1]):
+        pass
+    n = 1 + int(row[-1])
+    if len(_matched) < 1_000_000:  # remembered to save time alone
+        _matched[a, b] = n
+    return n
+
+
+def _rows(row: np.ndarray, x: Sequence[int], y: Sequence[int]) -> Iterator[np.ndarray]:
+    """Best match of starts of two child lists: ``row``, for what is before ``x``, and one for each start of ``x``, over all starts of ``y``."""
+    yield row
+    kinds = {j: k for k, j in enumerate(dict.fromkeys(y))}
+    place = np.array([kinds[j] for j in y], int)
+    weights: dict[int, np.ndarray] = {}
+    for i in x:
+        if i not in weights:
+            if len(weights) * len(kinds) > 1_000_000:
+                weights.clear()
+            weights[i] = np.array([matching(i, j) for j in kinds], np.int64)
+        row = np.concatenate([row[:1], np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights[i][place]))])
+        yield row
 
 
-def _table(x: tuple[int, ...], y: tuple[int, ...]) -> list[list[int]]:
-    """Best match of each pair of starts of two child lists."""
-    rows = [[0] * (len(y) + 1)]
-    for i in x:
-        last, row = rows[-1], [0]
-        for k, j in enumerate(y):
-            row.append(max(last[k + 1], row[-1], last[k] + matching(i, j)))
-        rows.append(row)
-    return rows
+def _matched_places(x: Sequence[int], y: Sequence[int]) -> list[tuple[int, int]]:
+    """Places matched in the best match of two child lists, from their ends.
+
+    Every ``step``-th row is kept and the rows between are computed again, so lists of any length
+    take memory for some ``2 * sqrt(len(x))`` rows, and all take the same path.
+    """
+    step = math.isqrt(len(x)) + 1
+    kept = [row for k, row in enumerate(_rows(np.zeros(len(y) + 1, np.int64), x, y)) if k % step == 0]
+    out: list[tuple[int, int]] = []
+    i, j, first, rows = len(x), len(y), len(x) + 1, []
+    while i and j:
+        if i - 1 < first:
+            first = (i - 1) // step * step
+            rows = list(_rows(kept[first // step], x[first:i], y))
+        at, before = rows[i - first], rows[i - 1 - first]
+        if at[j] == before[j]:
+            i -= 1
+        elif at[j] == at[j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out
 
 
 def align(a: Node, b: Node, found: dict[int, int]) -> None:
@@ -207,20 +243,8 @@ def align(a: Node, b: Node, found: dict[int, int]) -> None:
     m, n = len(x) - start - end, len(y) - start - end
     if not m or not n:
         return
-    if m * n > 40_000:  # a long list against another: in order, tag by tag
-        for k in range(min(m, n)):
-            align(a.kids[start + k], b.kids[start + k], found)
-        return
-    rows = _table(tuple(x[start : start + m]), tuple(y[start : start + n]))
-    i, j = m, n
-    while i and j:
-        if rows[i][j] == rows[i - 1][j]:
-            i -= 1
-        elif rows[i][j] == rows[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            align(a.kids[start + i], b.kids[start + j], found)
+    for i, j in _matched_places(x[start : start + m], y[start : start + n]):
+        align(a.kids[start + i], b.kids[start + j], found)
 
 
 def blocks(root: Node, texts: list[str]) -> list[tuple[list[int], str]]:
@@ -275,7 +299,7 @@ def slots(page: str, reference: str) -> list[dict]:
     """The page's blocks, each with the reference text that stands unchanged at its place, or -1."""
     if not page:
         return []
-    if len(_parts) > 100_000 or len(_matched) > 1_000_000:
+    if len(_parts) > 100_000 or len(_matched) >= 1_000_000:
         for known in (_shapes, _parts, _matched, _references):
             known.clear()
     root, texts = parse(page)
