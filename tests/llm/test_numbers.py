@@ -99,3 +99,22 @@ def test_disguised_words_are_restored():
         assert word in restored_words(f"the {run} of", costs), run
     assert restored_words("plain words, only!", costs) == {"plain", "words", "only"}
     assert decode("x" * 200, costs)
+
+
+def test_quality_learns_from_every_label(spark):
+    """The pairs hold every labelled row, and the cuts are quantiles of all of them."""
+    from pyspark.sql import functions as F
+
+    from tailward.llm import quality
+
+    rows = [(k, int(k % 7 > 1), f"k{k}") for k in range(15_000)]
+    df = spark.createDataFrame([(y, k, k.encode()) for _, y, k in rows], "y int, k string, bins binary").withColumn("_hash", F.xxhash64("k"))
+    worse = sum(y == 0 for _, y, _ in rows)
+    pairs = quality.draw_pairs(df, len(rows) - worse, worse, 5)
+    n, better, others = pairs.agg(F.count("*"), F.countDistinct("better"), F.countDistinct("worse")).first()
+    assert (n, better, others) == ((len(rows) - worse) * 5, len(rows) - worse, worse)
+    docs = spark.createDataFrame([(k, "x" * (1 + k // 100), k % 2) for k in range(15_000)], "doc_id bigint, text string, quality int")
+    model = quality.fit_quality(docs)
+    sizes = np.log1p(1 + np.arange(15_000) // 100)
+    expected = np.unique([np.nextafter(0, 1), *np.quantile(sizes, np.linspace(0, 1, 11)[1:-1]), *np.quantile(sizes, (0.25, 0.5, 0.75))])
+    assert np.allclose(model.cuts[quality.FEATURES.index("log_bytes")], expected)
