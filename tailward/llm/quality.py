@@ -33,6 +33,7 @@ from .flat import flat, row_sums, slices
 FEATURES = """upper_share digit_share space_share bang_share pipe_share symbol_share stop_share comma_share line_share foreign_share
 word_length distinct_words repeated_next distinct_lines longest_word log_words log_bytes symbol_words capital_words
 """.split()
+FEATURE_COLUMN = "quality_features"
 _KINDS = {
     "upper_share": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "digit_share": b"0123456789",
@@ -170,19 +171,30 @@ def _cuts(rows: DataFrame, bins: int) -> list[np.ndarray]:
     return [np.unique([*c, np.nextafter(0, 1)]) for c in at]
 
 
+def _features():
+    @F.arrow_udf("array<double>")
+    def features(texts: pa.Array) -> pa.Array:
+        return pa.array(list(text_features(texts)), pa.list_(pa.float64()))
+
+    return features
+
+
+def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Features in the place of texts, so that a join with labels moves no text."""
+    return docs.withColumn(FEATURE_COLUMN, _features()(F.col(text).cast("string"))).drop(text)
+
+
 def fit_quality(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", each: int = 5, bins: int = 10) -> QualityModel:
     """Fit on all rows labelled 1 or 0, and ``each`` pairs of each row of the more frequent label.
 
     The cuts, the pairs, the sums of every Newton step, the threshold and the slope come from
-    all these rows; the driver gets quantiles and sums alone.
+    all these rows; the driver gets quantiles and sums alone. ``labelled`` may hold features
+    (``with_features``) in the place of texts.
     """
 
-    @F.arrow_udf("array<double>")
-    def features(texts: pa.Array) -> pa.Array:
-        return pa.array(list(text_features(texts)), pa.list_(pa.float64()))
-
-    kept = labelled.select(F.col(label).cast("int").alias("y"), F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t")).where("y in (0, 1)")
-    rows = stage(kept.select("y", "k", features("t").alias("x")), "labelled-features")
+    x = F.col(FEATURE_COLUMN) if FEATURE_COLUMN in labelled.columns else _features()(F.col(text).cast("string"))
+    kept = labelled.where(F.col(label).cast("int").isin(0, 1))
+    rows = stage(kept.select(F.col(label).cast("int").alias("y"), F.col(key).cast("string").alias("k"), x.alias("x")), "labelled-features")
     n_better, n = rows.agg(F.count_if(F.col("y") == 1), F.count("*")).first()
     if n_better in (0, n):
         constant = 0.0 if not n else (10.0 if n_better else -10.0)
