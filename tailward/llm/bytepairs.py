@@ -2,55 +2,59 @@
 
 A text is split into pieces by the vocabulary's pattern, and each piece's bytes are merged:
 of all neighbours whose joined bytes are a token, those of the lowest rank first, leftmost
-first. Here that is a fold of higher-order functions over a piece's parts. Ranks are a
-literal table of the plan. All byte strings are upper-case hexadecimal.
-
-* Pieces of up to ``SHORT`` bytes carry their boundaries as bits of a number and, for each
-  boundary, the rank of what stands around it; each step removes the boundary of the lowest
-  rank and ranks the two beside it anew.
-* Longer pieces are a string of bracketed parts. The tokens that occur in them are folded in
-  order of rank, each joining, from left to right, all parts that make it up. The work is
-  linear in the piece for each token that occurs in it, so a run of 100,000 letters is only long.
-
-One pass over the tokens of a long piece is the whole algorithm because no merge makes one of
-lower rank possible: in a trained vocabulary the merges below a token's own rank reduce the
-token to two parts. ``encode_texts`` refuses ranks of which that is not true.
-
-The fold runs over distinct words (runs of non-spaces with the space before them, and runs
-of white space; no piece reaches over their ends). All of them are counted,
-and as many of the most frequent as ``MEMO_BYTES`` bounds become a second literal table, word
-to ids; a word outside it is folded where it stands, with the same result. So no text is
-shuffled, only one row per distinct word and input partition.
-
-Decoding looks up each id's bytes and joins them. Null texts count as empty; an empty text
-has no ids. Null ids, and ids the vocabulary does not have, decode to nothing. Other columns
-are kept, those named like a result replaced; repeated rows and null keys are rows like others.
+first. A piece that is a token itself needs no merges.
+
+* Pieces of up to ``SHORT`` bytes are merged together: those of one length are the rows of a
+  matrix of ids, beside one of the ranks of neighbours; each step joins the lowest neighbours of
+  every row and ranks the two beside them anew, and rows without any leave.
+* Longer pieces keep neighbours in a heap by rank and place, so the work grows with n log n and
+  a run of 100,000 letters is only long.
+
+The merges are done for distinct words (runs of non-spaces with the space before them, and runs
+of white space; no piece reaches over their ends). Spark counts all of them, and as many of the
+most frequent as ``MEMO_BYTES`` bounds are merged once and broadcast, word to ids. Any other
+word is merged by the task that meets it, which keeps what it has merged until that takes
+``MEMO_BYTES``, and then starts anew; the result is the same. So no text is shuffled, only one
+row per distinct word and input partition.
+
+Decoding looks up each id's bytes and joins them, a batch of rows at a time. Null texts count as
+empty; an empty text has no ids. Null ids, and ids the vocabulary does not have, decode to
+nothing. Other columns are kept, those named like a result replaced; repeated rows and null keys
+are rows like others. ``encode_texts`` refuses ranks of which merges do not reduce every token
+to two parts below its own rank, as no training makes them.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable
-
-import xxhash
+import re
+import sys
+import unicodedata
+from array import array
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from functools import cache
+from heapq import heapify, heappop, heappush
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tailward.session import stage
 
-from .columns import add_columns, let
+from .columns import add_columns
 
-SHORT = 60  # bytes of a piece whose boundaries are bits of a number
-RANK_BUCKETS = 1 << 12
+SHORT = 60  # bytes of a piece that is a row of a matrix
 NONE = 1 << 30  # the rank of bytes that are no token
-MEMO_BYTES = 32 << 20  # bound of the table of frequent words; what it really takes is about a third
+MEMO_BYTES = 32 << 20  # bound of the table of frequent words, and of the words that a task keeps besides
+TOGETHER = 200_000  # pieces whose unknown ones are merged at once
+IDS = 500_000  # ids looked up at once
 MEMO_WORD = 40  # bytes of the longest word in that table
-BUCKETS = 1 << 16
-Lookup = Callable[[Column], Column]
-# Separators inside a literal table; words with one of them stay outside.
-_ENTRY, _VALUE, _BUCKET = "\x01", "\x02", "\x03"
+_ENTRY = 190  # bytes of an entry besides its characters and ids: two objects and their place in the table
 
-# Letters and numbers of Unicode 14 to 16, which an older Java does not know as such.
+# Letters and numbers of Unicode 14 to 16, which an older Python does not know as such.
 LETTERS_SINCE = """
 870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7CD A7D0-A7D1 A7D3 A7D5-A7DC A7F2-A7F4
 10570-1057A 1057C-1058A 1058C-10592 10594-10595 10597-105A1 105A3-105B1 105B3-105B9 105BB-105BC 105C0-105F3 10780-10785 10787-107B0
@@ -62,14 +66,31 @@ LETTERS_SINCE = """
 NUMBERS_SINCE = "10D40-10D49 116D0-116E3 11BF0-11BF9 11F50-11F59 16130-16139 16AC0-16AC9 16D70-16D79 1CCF0-1CCF9 1D2C0-1D2D3 1E4F0-1E4F9 1E5F1-1E5FA"
 
 
-def _ranges(listed: str) -> str:
-    return "".join("-".join(rf"\x{{{c}}}" for c in r.split("-")) for r in listed.split())
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # white space of Unicode
+# The vocabulary's pattern as Spark has it, for counting: (?U) gives white space its Unicode meaning.
+COUNTED = r"(?U)'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _kind(initial: str, listed: str, last: int) -> str:
+    """The characters of a general category up to ``last``, as ranges of a pattern's class."""
+    points = {c for c in range(last + 1) if unicodedata.category(chr(c))[0] == initial}
+    for ends in (r.split("-") for r in listed.split()):
+        points.update(c for c in range(int(ends[0], 16), int(ends[-1], 16) + 1) if c <= last)
+    firsts = sorted(c for c in points if c - 1 not in points)
+    lasts = sorted(c for c in points if c + 1 not in points)
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(firsts, lasts))
+
+
+@cache
+def piece_pattern(last: int) -> re.Pattern:
+    """The vocabulary's pattern, for texts without characters beyond ``last``: the fewer ranges, the faster."""
+    letter, number = _kind("L", LETTERS_SINCE, last), _kind("N", NUMBERS_SINCE, last)
+    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
-_LETTER, _NUMBER = rf"\p{{L}}{_ranges(LETTERS_SINCE)}", rf"\p{{N}}{_ranges(NUMBERS_SINCE)}"
-# The vocabulary's pattern; (?U) gives white space its Unicode meaning.
-PIECE = rf"(?U)'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+"
-WORD = r"(?U) ?\S+|\s+(?!\S)|\s+"
+def pieces(text: str) -> list[str]:
+    last = 0x7F if text.isascii() else 0xFFFF if max(text) <= "\uffff" else sys.maxunicode
+    return piece_pattern(last).findall(text)
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -82,131 +103,162 @@ def load_ranks(path: str) -> list[bytes]:
     return [tokens[k] for k in range(len(tokens))]
 
 
-def _bucket(key: Column, buckets: int) -> Column:
-    return F.xxhash64(key).bitwiseAND(F.lit(buckets - 1).cast("bigint")).cast("int")
+def _joined(ids: Column, parts: list[bytes]) -> Column:
+    """What ``parts`` has for each row's ids, joined; nothing for ids that it does not have."""
 
+    @F.arrow_udf("binary")
+    def join(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held = pa.array([*parts, b""], pa.large_binary())
+        for batch in batches:
+            starts, flat = batch.offsets.to_numpy(), pc.fill_null(batch.values, -1).to_numpy()
+            first = 0
+            while first < len(batch):
+                end = max(first + 1, int(starts.searchsorted(starts[first] + IDS, "right")) - 1)
+                some = flat[starts[first] : starts[end]]
+                taken = held.take(pa.array(np.where((some >= 0) & (some < len(parts)), some, len(parts))))
+                at = np.frombuffer(taken.buffers()[1], np.int64)[starts[first : end + 1] - starts[first]] if len(some) else np.zeros(end - first + 1, np.int64)
+                yield pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - first, [None, pa.py_buffer(at), taken.buffers()[2]]).cast(pa.binary())
+                first = end
 
-def _hex(value: Column) -> Column:
-    return F.hex(value.cast("binary"))
+    return join(ids)
 
 
 class Ranks:
-    """Tokens by rank, as literals of a plan."""
+    """Tokens by rank."""
 
     def __init__(self, tokens: list[bytes]):
         self.tokens = tokens
-        self.longest = max(map(len, tokens))
-        buckets: list[list[str]] = [[] for _ in range(RANK_BUCKETS)]
-        for rank, token in enumerate(tokens):
-            held = token.hex().upper()
-            buckets[xxhash.xxh64_intdigest(held, 42) % RANK_BUCKETS].append(f'"{held}":{rank}')
-        self._table = F.from_json(F.lit("[" + ",".join("{" + ",".join(b) + "}" for b in buckets) + "]"), "array<map<string,int>>")
-        self._hex = F.split(F.lit(",".join(t.hex().upper() for t in tokens)), ",")
-        self._little = F.split(F.lit(",".join(k.to_bytes(4, "little").hex().upper() for k in range(len(tokens)))), ",")
-
-    def looking(self, body: Callable[[Lookup], Column]) -> Column:
-        """``body`` of a function that gives the rank of bytes, ``NONE`` if they are no token; the table is in the plan once."""
-
-        def rank(table: Column) -> Lookup:
-            return lambda held: F.coalesce(F.try_element_at(F.get(table, _bucket(held, RANK_BUCKETS)), held), F.lit(NONE))
-
-        return let(self._table, lambda table: body(rank(table)))
 
     def bytes_of(self, ids: Column) -> Column:
         """The bytes of ids, joined."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self._hex, i)), ""))
+        return _joined(ids, self.tokens)
 
     def little_endian(self, ids: Column) -> Column:
         """The ids as 32-bit numbers, joined."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self._little, i)), ""))
-
-
-def _bit(k: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
-
-
-def _highest(bits: Column) -> Column:
-    return F.length(F.bin(bits)) - 1
-
-
-def _lowest(bits: Column) -> Column:
-    return _highest(bits.bitwiseAND(-bits))
-
-
-def _short_parts(rank: Lookup, held: Column) -> Column:
-    """The tokens of a short piece, a boundary removed a step."""
-    n = (F.length(held) / 2).cast("int")
-
-    def between(a: Column, b: Column) -> Column:
-        return F.substring(held, a * 2 + 1, (b - a) * 2)
-
-    def step(state: Column, _: Column) -> Column:
-        bits, pairs = state["bits"], state["pairs"]
-
-        def remove(at: Column) -> Column:
-            rest = bits - _bit(at)
-            below = rest.bitwiseAND(_bit(at) - 1)
-            ends = F.struct(_highest(below).alias("a"), _lowest(rest - below).alias("b"))
-
-            def join(e: Column) -> Column:
-                a, b = e["a"], e["b"]
-                before = F.when(a > 0, rank(between(_highest(below - _bit(a)), b))).otherwise(NONE)
-                after = F.when(b < n, rank(between(a, _lowest(rest - below - _bit(b))))).otherwise(NONE)
-                new = F.struct(before.alias("before"), after.alias("after"))
-                ranked = lambda x: F.transform(pairs, lambda r, i: F.when(i == at - 1, NONE).when(i == a - 1, x["before"]).when(i == b - 1, x["after"]).otherwise(r))
-                return F.struct(rest.alias("bits"), let(new, ranked).alias("pairs"))
+        return _joined(ids, [k.to_bytes(4, "little") for k in range(len(self.tokens))])
 
-            return let(ends, join)
 
-        return let(F.array_min(pairs), lambda m: F.when(m == NONE, state).otherwise(let(F.array_position(pairs, m).cast("int"), remove)))
+@cache
+def pair_ranks(tokens: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Every two tokens whose joined bytes are a token, as one number in ascending order, and the joined token's rank."""
+    rank = {t: k for k, t in enumerate(tokens)}
+    found = sorted((rank[t[:k]] * len(tokens) + rank[t[k:]], r) for r, t in enumerate(tokens) for k in range(1, len(t)) if t[:k] in rank and t[k:] in rank)
+    return np.array([key for key, _ in found] + [len(tokens) ** 2]), np.array([r for _, r in found] + [NONE], np.int32)
 
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda k: rank(F.substring(held, k * 2 - 1, F.lit(4))))
-    left = F.aggregate(F.sequence(F.lit(2), n), F.struct((_bit(n + 1) - 1).alias("bits"), pairs.alias("pairs")), step, lambda state: state["bits"])
-    places = let(left, lambda bits: F.filter(F.sequence(F.lit(0), n), lambda k: bits.bitwiseAND(_bit(k)) != 0))
-    return let(places, lambda at: F.transform(F.slice(at, 2, F.size(at)), lambda b, i: between(F.get(at, i), b)))
 
+def _short_parts(pairs: tuple[np.ndarray, np.ndarray], tokens: int, parts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and ids of pieces of equal length, given as rows of the ids of their bytes.
 
-def _long_parts(rank: Lookup, longest: int, held: Column) -> Column:
-    """The tokens of a piece of any length."""
-    windows = F.regexp_extract_all(held, F.lit(f"(?=((?:..){{2,{longest}}})).."), F.lit(1))
-
-    def starts(window: Column) -> Column:
-        sizes = F.sequence(F.lit(2), (F.length(window) / 2).cast("int"))
-        found = F.transform(sizes, lambda k: let(F.substring(window, F.lit(1), k * 2), lambda s: F.struct(rank(s).alias("rank"), s.alias("token"))))
-        return F.filter(found, lambda m: m["rank"] != NONE)
-
-    merges = F.sort_array(F.array_distinct(F.flatten(F.transform(windows, starts))))
-
-    def apply(state: Column, m: Column) -> Column:
-        token = m["token"]
-        n = (F.length(token) / 2).cast("int")
-        pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.concat(F.lit("<"), F.substring(token, F.lit(1), k * 2), F.lit("><"), F.substring(token, k * 2 + 1, (n - k) * 2), F.lit(">")))
-        return F.regexp_replace(state, F.array_join(pairs, "|"), F.concat(F.lit("<"), token, F.lit(">")))
-
-    joined = F.aggregate(merges, F.regexp_replace(held, "(..)", "<$1>"), apply)
-    return F.regexp_extract_all(joined, F.lit("<([0-9A-F]+)>"), F.lit(1))
-
-
-def piece_ids(rank: Lookup, longest: int, held: Column) -> Column:
-    """The ids of a piece, given as hexadecimal bytes."""
-
-    def merged(h: Column) -> Column:
-        return F.transform(F.when(F.length(h) <= 2 * SHORT, _short_parts(rank, h)).otherwise(_long_parts(rank, longest, h)), rank)
-
-    return let(held, lambda h: let(rank(h), lambda whole: F.when(whole != NONE, F.array(whole)).otherwise(merged(h))))
-
-
-def word_ids(rank: Lookup, longest: int, word: Column) -> Column:
-    """The ids of a text, every piece of it folded."""
-    return F.flatten(F.transform(F.regexp_extract_all(word, F.lit(PIECE), F.lit(0)), lambda p: piece_ids(rank, longest, _hex(p))))
-
-
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-
+    Each step joins every row's lowest pair, so all rows that go on are equally long.
+    """
 
-def _listed(ids: Column) -> Column:
-    return F.array_join(ids, ",")
+    def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) * tokens + right
+        at = pairs[0].searchsorted(key)
+        return np.where(pairs[0][at] == key, pairs[1][at], NONE)
+
+    places = np.arange(len(parts))
+    ranked = ranks(parts[:, :-1], parts[:, 1:])
+    while len(places):
+        if not (width := ranked.shape[1]):
+            yield places, parts
+            return
+        k = ranked.argmin(axis=1)
+        lowest = ranked[np.arange(len(k)), k]
+        done = lowest == NONE
+        yield places[done], parts[done]
+        places, parts, ranked, k, lowest = (x[~done] for x in (places, parts, ranked, k, lowest))
+        row, at = np.arange(len(k)), k[:, None]
+        parts = np.where(np.arange(width) <= at, parts[:, :-1], parts[:, 1:])
+        parts[row, k] = lowest
+        ranked = np.where(np.arange(width - 1) < at, ranked[:, :-1], ranked[:, 1:])
+        for first, some in ((k - 1, k > 0), (k, k < width - 1)):
+            i, j = row[some], first[some]
+            ranked[i, j] = ranks(parts[i, j], parts[i, j + 1])
+
+
+def _long_parts(rank: dict[bytes, int], piece: bytes) -> list[int]:
+    """The ids of a piece of any length."""
+    n = len(piece)
+    before, after = array("q", range(-1, n)), array("q", range(1, n + 2))  # the boundaries beside each boundary
+    waiting = [rank[piece[k : k + 2]] * n + k for k in range(n - 1) if piece[k : k + 2] in rank]
+    heapify(waiting)
+    while waiting:
+        lowest, a = divmod(heappop(waiting), n)
+        if (b := after[a]) >= n or rank.get(piece[a : after[b]]) != lowest:
+            continue  # what began here has been joined to something else
+        c = after[a] = after[b]
+        before[c], after[b] = a, n + 1  # no part begins at b any more
+        if a and (r := rank.get(piece[before[a] : c])) is not None:
+            heappush(waiting, r * n + before[a])
+        if c < n and (r := rank.get(piece[a : after[c]])) is not None:
+            heappush(waiting, r * n + a)
+    ids, a = [], 0
+    while a < n:
+        ids.append(rank[piece[a : after[a]]])
+        a = after[a]
+    return ids
+
+
+class PieceIds(dict):
+    """32-bit ids of pieces, little-endian as the machines are; the items are the pieces met so far."""
+
+    def __init__(self, tokens: list[bytes], frequent: dict[str, bytes]):
+        super().__init__(frequent)
+        self.rank = {t: k for k, t in enumerate(tokens)}
+        self.bytes = np.array([self.rank.get(bytes([k]), 0) for k in range(256)], np.int32)
+        self.pairs = pair_ranks(tuple(tokens))
+        self.frequent, self.held = frequent, 0
+
+    def merged(self, distinct: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """Distinct pieces with their ids."""
+        rest = defaultdict(list)
+        for piece in distinct:
+            held = piece.encode()
+            if (whole := self.rank.get(held)) is not None:
+                yield piece, whole.to_bytes(4, "little")
+            elif len(held) <= SHORT:
+                rest[len(held)].append((piece, held))
+            else:
+                yield piece, array("I", _long_parts(self.rank, held)).tobytes()
+        for n, equal in rest.items():
+            parts = self.bytes[np.frombuffer(b"".join([held for _, held in equal]), np.uint8).reshape(-1, n)]
+            for places, found in _short_parts(self.pairs, len(self.rank), parts):
+                held, size = found.astype("<u4").tobytes(), 4 * found.shape[1]
+                for k, place in enumerate(places.tolist()):
+                    yield equal[place][0], held[k * size : k * size + size]
+
+    def of_texts(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of texts, given by their pieces."""
+        if self.held > MEMO_BYTES:
+            self.clear()
+            self.update(self.frequent)
+            self.held = 0
+        new = dict(self.merged(set().union(*texts).difference(self)))
+        self.update(new)
+        self.held += sum(map(len, new)) + sum(map(len, new.values())) + _ENTRY * len(new)
+        return [b"".join(map(self.__getitem__, text)) for text in texts]
+
+
+def _encoded(ranks: Ranks, text: Column, frequent=None) -> Column:
+    """The ids of a text: of each word from the broadcast table of frequent ones, or merged."""
+    tokens = ranks.tokens
+
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = PieceIds(tokens, frequent.value if frequent else {})
+        for texts in batches:
+            some, size = [], 0
+            for k, text in enumerate(texts, 1):
+                some.append(pieces(text.as_py() or ""))
+                size += len(some[-1])
+                if size > TOGETHER or k == len(texts):
+                    coded = known.of_texts(some)
+                    ends = np.cumsum([0, *[len(ids) // 4 for ids in coded]])
+                    yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+                    some, size = [], 0
+
+    return encode(text)
 
 
 def untrained(ranks: Ranks) -> list[int]:
@@ -225,16 +277,16 @@ def untrained(ranks: Ranks) -> list[int]:
     return wrong
 
 
-def frequent_words(docs: DataFrame, ranks: Ranks, text: str = "text", most: int = MEMO_BYTES) -> list[str]:
-    """The most frequent words and their ids, bucket by bucket: at most ``most`` bytes.
+def frequent_words(docs: DataFrame, ranks: Ranks, text: str = "text", most: int = MEMO_BYTES) -> dict[str, bytes]:
+    """The most frequent words and their ids: at most ``most`` bytes.
 
     All texts are counted. Words are taken by the eighth of a power of two of their count, the
-    greatest first, while the bytes they could need at most (seven a byte) are within ``most``.
+    greatest first, while the bytes they could need at most are within ``most``.
     """
-    found = docs.select(F.explode(words(F.col(text))).alias("word"))
+    found = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(COUNTED), F.lit(0))).alias("word"))
     counted = stage(found.groupBy("word").agg(F.floor(F.log2(F.count("*")) * 8).cast("int").alias("level")), "words")
-    usable = counted.where((F.octet_length("word") <= MEMO_WORD) & ~F.col("word").rlike(r"[\x00-\x03]"))
-    sizes = usable.groupBy("level").agg(F.sum(F.octet_length("word") * 7 + 2).alias("bytes")).collect()  # some hundred levels
+    usable = counted.where(F.octet_length("word") <= MEMO_WORD)
+    sizes = usable.groupBy("level").agg(F.sum(F.octet_length("word") * 5 + _ENTRY).alias("bytes")).collect()  # some hundred levels
     lowest, total = None, 0
     for row in sorted(sizes, key=lambda r: -r["level"]):
         total += row["bytes"]
@@ -242,38 +294,17 @@ def frequent_words(docs: DataFrame, ranks: Ranks, text: str = "text", most: int
             break
         lowest = row["level"]
     if lowest is None:
-        return [""] * BUCKETS
-    chosen = usable.where(F.col("level") >= lowest)
-    coded = ranks.looking(lambda rank: word_ids(rank, ranks.longest, F.col("word")))
-    entry = F.concat(F.lit(_ENTRY), "word", F.lit(_VALUE), _listed(coded))
-    made = chosen.select(_bucket(F.col("word"), BUCKETS).alias("bucket"), entry.alias("entry"))
-    buckets = [""] * BUCKETS
-    for row in made.groupBy("bucket").agg(F.array_join(F.collect_list("entry"), "").alias("entries")).collect():
-        buckets[row["bucket"]] = row["entries"]
-    return buckets
-
-
-def _encoded(ranks: Ranks, memo: list[str], text: Column) -> Column:
-    """The ids of a text: of each word from the table of frequent ones, or folded."""
-
-    def of_text(table: Column, rank: Lookup) -> Column:
-        def of_word(word: Column) -> Column:
-            held = F.struct(F.get(table, _bucket(word, BUCKETS)).alias("bucket"), F.concat(F.lit(_ENTRY), word, F.lit(_VALUE)).alias("key"))
-            value = lambda h: F.call_function("substring_index", F.call_function("substring_index", h["bucket"], h["key"], F.lit(-1)), F.lit(_ENTRY), F.lit(1))
-            return let(held, lambda h: F.when(F.contains(h["bucket"], h["key"]), value(h)).otherwise(_listed(word_ids(rank, ranks.longest, word))))
-
-        return F.array_join(F.transform(words(text), of_word), ",")
-
-    listed = ranks.looking(lambda rank: let(F.split(F.lit(_BUCKET.join(memo)), _BUCKET), lambda table: of_text(table, rank)))
-    return let(listed, lambda x: F.when(x == "", F.array().cast("array<int>")).otherwise(F.split(x, ",").cast("array<int>")))
+        return {}
+    coded = usable.where(F.col("level") >= lowest).select("word", ranks.little_endian(_encoded(ranks, F.col("word"))).alias("ids"))
+    return {row["word"]: bytes(row["ids"]) for row in coded.collect()}
 
 
 def encode_texts(docs: DataFrame, ranks: Ranks, text: str = "text", out: str = "ids") -> DataFrame:
     """Add the ids of each text as ``out``."""
     if wrong := untrained(ranks):
         raise ValueError(f"the ranks are not those of trained byte pairs, see {wrong[:3]}")
-    memo = frequent_words(docs.select(text), ranks, text)
-    return add_columns(docs, F.struct(_encoded(ranks, memo, F.col(text)).alias(out)), [out])
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_words(docs.select(text), ranks, text))
+    return add_columns(docs, F.struct(_encoded(ranks, F.col(text), frequent).alias(out)), [out])
 
 
 def decode_ids(df: DataFrame, ranks: Ranks, ids: str = "ids", out: str = "decoded") -> DataFrame:
