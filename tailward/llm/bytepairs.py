@@ -48,9 +48,9 @@ from .columns import add_columns
 
 SHORT = 60  # bytes of a piece that is a row of a matrix
 NONE = 1 << 30  # the rank of bytes that are no token
-MEMO_BYTES = 32 << 20  # bound of the table of frequent words, and of the words that a task keeps besides
-TOGETHER = 200_000  # pieces whose unknown ones are merged at once
-IDS = 500_000  # ids looked up at once
+MEMO_BYTES = 12 << 20  # bound of the table of frequent words, and of the words that a task keeps besides
+TOGETHER = 50_000  # pieces whose unknown ones are merged at once
+IDS = 100_000  # ids looked up at once
 MEMO_WORD = 40  # bytes of the longest word in that table
 _ENTRY = 190  # bytes of an entry besides its characters and ids: two objects and their place in the table
 
@@ -104,21 +104,21 @@ def load_ranks(path: str) -> list[bytes]:
 
 
 def _joined(ids: Column, parts: list[bytes]) -> Column:
-    """What ``parts`` has for each row's ids, joined; nothing for ids that it does not have."""
+    """What ``parts`` has for each row's ids, joined; nothing for ids that it does not have, and for a null row."""
 
     @F.arrow_udf("binary")
-    def join(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def join(batch: pa.Array) -> pa.Array:
         held = pa.array([*parts, b""], pa.large_binary())
-        for batch in batches:
-            starts, flat = batch.offsets.to_numpy(), pc.fill_null(batch.values, -1).to_numpy()
-            first = 0
-            while first < len(batch):
-                end = max(first + 1, int(starts.searchsorted(starts[first] + IDS, "right")) - 1)
-                some = flat[starts[first] : starts[end]]
-                taken = held.take(pa.array(np.where((some >= 0) & (some < len(parts)), some, len(parts))))
-                at = np.frombuffer(taken.buffers()[1], np.int64)[starts[first : end + 1] - starts[first]] if len(some) else np.zeros(end - first + 1, np.int64)
-                yield pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - first, [None, pa.py_buffer(at), taken.buffers()[2]]).cast(pa.binary())
-                first = end
+        starts, flat = batch.offsets.to_numpy(), batch.values
+        joined, first = [pa.array([], pa.binary())], 0
+        while first < len(batch):
+            end = max(first + 1, int(starts.searchsorted(starts[first] + IDS, "right")) - 1)
+            some = pc.fill_null(flat.slice(starts[first], starts[end] - starts[first]), -1).to_numpy()
+            taken = held.take(pa.array(np.where((some >= 0) & (some < len(parts)), some, len(parts))))
+            at = np.frombuffer(taken.buffers()[1], np.int64)[starts[first : end + 1] - starts[first]] if len(some) else np.zeros(end - first + 1, np.int64)
+            joined.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - first, [None, pa.py_buffer(at), taken.buffers()[2]]).cast(pa.binary()))
+            first = end
+        return pa.concat_arrays(joined)
 
     return join(ids)
 
@@ -309,4 +309,4 @@ def encode_texts(docs: DataFrame, ranks: Ranks, text: str = "text", out: str = "
 
 def decode_ids(df: DataFrame, ranks: Ranks, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the bytes of each row's ids as ``out``."""
-    return add_columns(df, F.struct(ranks.bytes_of(F.coalesce(F.col(ids), F.array().cast("array<int>"))).alias(out)), [out])
+    return add_columns(df, F.struct(ranks.bytes_of(F.col(ids)).alias(out)), [out])
