@@ -10,12 +10,12 @@ first. A piece that is a token itself needs no merges.
 * Longer pieces keep neighbours in a heap by rank and place, so the work grows with n log n and
   a run of 100,000 letters is only long.
 
-The merges are done for distinct words (runs of non-spaces with the space before them, and runs
-of white space; no piece reaches over their ends). Spark counts all of them, and as many of the
-most frequent as ``MEMO_BYTES`` bounds are merged once and broadcast, word to ids. Any other
-word is merged by the task that meets it, which keeps what it has merged until that takes
-``MEMO_BYTES``, and then starts anew; the result is the same. So no text is shuffled, only one
-row per distinct word and input partition.
+The merges are done for distinct pieces. Spark counts all of them, and as many of the most
+frequent as ``MEMO_BYTES`` bounds are merged once and broadcast, piece to ids. Any other piece is
+merged by the task that meets it, which keeps what it has merged until that takes ``MEMO_BYTES``,
+and then starts anew; the result is the same. So no text is shuffled, only one row per distinct
+piece and input partition. Spark's pattern may know fewer letters than the vocabulary's; that
+changes only which pieces are counted, never how a text is split.
 
 Decoding looks up each id's bytes and joins them, a batch of rows at a time. Null texts count as
 empty; an empty text has no ids. Null ids, and ids the vocabulary does not have, decode to
